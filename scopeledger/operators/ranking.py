@@ -38,35 +38,37 @@ def with_order_stats(
     tie: Sequence[str],
     asc: bool = True,
     p: Sequence[str] = (),
+    amount: str | None = None,
     single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Add ``row_no``, ``rank``, ``running``, ``total`` and ``rows`` per group ``p``.
 
     Order is ``value`` (NULL last) and then ``tie``, which must make it total.
+    ``running`` and ``total`` sum ``amount``, by default the value itself.
     """
-    p, tie = list(p), list(tie)
+    p, tie, amount = list(p), list(tie), amount or value
     base = settle(df)
     rows = base.count()
     by_value = F.col(value).asc_nulls_last() if asc else F.col(value).desc_nulls_last()
     if rows <= single_task_rows:
-        return _one_window(base, value, by_value, tie, p)
-    return _ranged(base, value, by_value, tie, p, -(-rows // single_task_rows))
+        return _one_window(base, value, by_value, tie, p, amount)
+    return _ranged(base, value, by_value, tie, p, amount, -(-rows // single_task_rows))
 
 
-def _one_window(base: DataFrame, value: str, by_value: Column, tie: list[str], p: list[str]) -> DataFrame:
+def _one_window(base: DataFrame, value: str, by_value: Column, tie: list[str], p: list[str], amount: str) -> DataFrame:
     ordered = W.partitionBy(*p).orderBy(by_value, *tie)
     whole = W.partitionBy(*p)
     return (
         base.withColumn("row_no", F.row_number().over(ordered).cast("long"))
         .withColumn("rank", F.rank().over(W.partitionBy(*p).orderBy(by_value)).cast("long"))
-        .withColumn("running", F.sum(value).over(ordered.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("total", F.sum(value).over(whole))
+        .withColumn("running", F.sum(amount).over(ordered.rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("total", F.sum(amount).over(whole))
         .withColumn("rows", F.count(F.lit(1)).over(whole))
     )
 
 
 def _ranged(
-    base: DataFrame, value: str, by_value: Column, tie: list[str], p: list[str], ranges: int
+    base: DataFrame, value: str, by_value: Column, tie: list[str], p: list[str], amount: str, ranges: int
 ) -> DataFrame:
     keys = [F.col(c) for c in p]
     parts = settle(
@@ -77,12 +79,12 @@ def _ranged(
     local = (
         parts.withColumn("_row", F.row_number().over(inside).cast("long"))
         .withColumn("_rank", F.rank().over(W.partitionBy(*slot).orderBy(by_value)).cast("long"))
-        .withColumn("_running", F.sum(value).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("_running", F.sum(amount).over(inside.rowsBetween(W.unboundedPreceding, 0)))
     )
     # one row per range: sizes, sums, edge values and where the last value starts
     edges = local.groupBy(*slot).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.sum(value).alias("_sum"),
+        F.sum(amount).alias("_sum"),
         F.min_by(value, "_row").alias("_first"),
         F.max_by(value, "_row").alias("_last"),
         F.max("_rank").alias("_last_rank"),
