@@ -127,7 +127,10 @@ def with_views(body: str, views: dict[str, str] | None = None) -> str:
     body = body.strip()
     if not ctes:
         return body
-    return f"with {ctes}" + (f",\n{body[5:]}" if body[:5].lower() == "with " else f"\n{body}")
+    for opening in ("with recursive ", "with "):
+        if body.lower().startswith(opening):
+            return f"{opening}{ctes},\n{body[len(opening):]}"
+    return f"with {ctes}\n{body}"
 
 
 def present(df: DataFrame, digits: dict[str, int] | None = None) -> DataFrame:
