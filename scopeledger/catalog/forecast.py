@@ -1 +1,221 @@
-"""Registered queries."""
+"""Forecasting as registered queries.
+
+The three fitted models have no SQL counterpart; the reports around them are
+checked on the straight-line forecast, which has.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from scopeledger.catalog.kpis import change_sql, mean_sql
+from scopeledger.catalog.registry import query
+from scopeledger.model.lookups import METRIC_ROWS
+from scopeledger.operators.calendar import future_months, resample_monthly
+from scopeledger.operators.reshape import unpivot_report
+from scopeledger.plans import forecast as P
+from scopeledger.sources.binding import Bound
+from scopeledger.sources.loaders import load_emissions
+
+HORIZON = 24
+
+
+def fleet(b: Bound, metric: str = "total_emissions") -> DataFrame:
+    return P.prepare_series(b.combined(), metric)
+
+
+def regional(b: Bound) -> DataFrame:
+    return P.prepare_series(load_emissions(b.spark, b.tables()), "total_emissions", ["region"])
+
+
+_KINDS = {row[0]: (row[2], row[3]) for row in METRIC_ROWS}
+
+
+@query("f01_metric_series", "\nunion all ".join(
+    f"select '{label}' as target, date, {mean_sql(c) if kind == 'mean' else f'cast(sum({c}) as double)'} as y from combined group by date"
+    for label, (c, kind) in _KINDS.items()
+))
+def f01(b: Bound):
+    wide = resample_monthly(b.combined(), "date", {c: (kind, c) for c, kind in _KINDS.values()})
+    return unpivot_report(wide, ["date"], {c: label for label, (c, _) in _KINDS.items()}, "target", "y")
+
+
+_REGIONAL = """
+rm as (select region, date, sum(total_emissions) as y from emis e join facilities f on e.facility_id = f.facility_id group by 1, 2),
+rs as (select *, row_number() over (partition by region order by date) - 1 as idx, row_number() over (partition by region order by date desc) as back,
+              count(*) over (partition by region) as n from rm)"""
+
+
+@query("f02_regional_series", "with " + _REGIONAL + " select region, date, cast(y as double) as y from rs where n >= 12")
+def f02(b: Bound):
+    return regional(b)
+
+
+@query("f02_facility_series", """
+with s as (select facility_id, min(date) as lo, max(date) as hi from emissions group by 1),
+g as (select facility_id, cast(unnest(generate_series(lo, hi, interval 1 month)) as date) as date from s)
+select g.facility_id, g.date, coalesce(cast(total_emissions as double), 0) as y
+from g left join emis e on e.facility_id = g.facility_id and e.date = g.date""")
+def f02_facility(b: Bound):
+    return P.prepare_series(load_emissions(b.spark, b.tables()), "total_emissions", ["facility_id"])
+
+
+@query("f03_train_test_split", "with " + _REGIONAL + """
+select region, date, cast(y as double) as y, back <= 6 as is_test from rs""")
+def f03(b: Bound):
+    return P.split_tail(regional(b), 6, ["region"])
+
+
+@query("f04_holt_winters_by_region", digits={"yhat": 2, "lower": 2, "upper": 2})
+def f04(b: Bound):
+    return P.fit_forecast(regional(b), "holt_winters", HORIZON, p=["region"])
+
+
+@query("f04_holt_winters_damped_by_facility", digits={"yhat": 2, "lower": 2, "upper": 2})
+def f04_damped(b: Bound):
+    series = P.prepare_series(load_emissions(b.spark, b.tables()), "total_emissions", ["facility_id"])
+    return P.fit_forecast(series, "holt_winters", HORIZON, {"damped": True}, ["facility_id"])
+
+
+@query("f05_trend_fourier_by_region", digits={"yhat": 2, "lower": 2, "upper": 2})
+def f05(b: Bound):
+    return P.fit_forecast(regional(b), "trend_fourier", HORIZON, p=["region"])
+
+
+@query("f05_trend_fourier_multiplicative", digits={"yhat": 2, "lower": 2, "upper": 2})
+def f05_multiplicative(b: Bound):
+    params = {"multiplicative": True, "quarterly": True, "level": 0.95}
+    return P.fit_forecast(regional(b), "trend_fourier", HORIZON, params, ["region"])
+
+
+@query("f06_sarima_by_region", digits={"yhat": 2, "lower": 2, "upper": 2, "aic": 2, "bic": 2, "loglik": 2})
+def f06(b: Bound):
+    return P.fit_forecast(regional(b), "sarima", HORIZON, p=["region"])
+
+
+@query("f07_trend_accuracy", "with " + _REGIONAL + """,
+fit as (select region, regr_slope(cast(y as double), idx) as s, regr_intercept(cast(y as double), idx) as i from rs where back > 6 group by 1),
+t as (select rs.region, cast(y as double) as y, i + s * idx as yhat from rs join fit on rs.region = fit.region where back <= 6),
+a as (select region, avg(abs(y - yhat)) as mae, sqrt(avg((y - yhat) * (y - yhat))) as rmse, avg(abs((y - yhat) / nullif(y, 0))) * 100 as mape from t group by 1)
+select region, round(mae, 3) as mae, round(rmse, 3) as rmse, round(mape, 8) as mape,
+       case when mape < 10 then 'excellent' when mape < 20 then 'good' else 'moderate' end as accuracy_band from a""",
+       digits={"mae": 3, "rmse": 3, "mape": 8})
+def f07(b: Bound):
+    return P.accuracy(P.trend_test_predictions(regional(b), 6, ["region"]), p=["region"])
+
+
+@query("f07_model_accuracy")
+def f07_models(b: Bound):
+    """Test error of the three fitted models, region by region."""
+    series = regional(b)
+    scored = [
+        P.accuracy(P.fit_forecast(series, m, HORIZON, p=["region"]), p=["region"]).withColumn("model", F.lit(m))
+        for m in ("holt_winters", "trend_fourier", "sarima")
+    ]
+    out = scored[0].unionByName(scored[1]).unionByName(scored[2])
+    return out.select("model", "region", *[F.round(c, 2).alias(c) for c in ("mae", "rmse", "mape")], "accuracy_band")
+
+
+_SCENARIOS = """
+sc as (select * from (values ('Business as Usual', 1.0::double, 0.0::double, false), ('Aggressive Decarbonization', 0.85::double, 0.0005::double, true),
+      ('Efficiency Focus', 0.90::double, 0.001::double, false), ('Combined Strategy', 0.80::double, 0.0005::double, false)) t(scenario, end_factor, pue_step, ramp))"""
+
+
+def _line_sql(aggregate: str, where: str = "") -> str:
+    """History, straight-line fit and its extension as CTEs h, fit and fc."""
+    return f"""
+h as (select date, {aggregate} as y from combined {where} group by date),
+hi as (select date, cast(y as double) as y, row_number() over (order by date) - 1 as idx, row_number() over (order by date desc) as back from h where y is not null),
+fit as (select regr_slope(y, idx) as s, regr_intercept(y, idx) as i, count(*) as n, max(date) as last_date,
+               1.96::double * (select stddev_pop(y) from hi where back <= 12) as hw, (select arg_max(y, date) from hi) as now from hi),
+fc as (select last_day(last_date + to_months(cast(step as integer))) as date, step - 1 as step, i + s * (n + step - 1) as yhat, hw, now
+       from fit, (select unnest(range(1, {HORIZON} + 1)) as step))"""
+
+
+def _line(b: Bound, metric: str) -> tuple[DataFrame, DataFrame]:
+    history = fleet(b, metric)
+    return history, P.extend_trend(history, HORIZON)
+
+
+@query("f08_emission_scenarios", "with " + _line_sql("sum(total_emissions)") + "," + _SCENARIOS + f""",
+a as (select *, 1 + (end_factor - 1) * step / {HORIZON - 1} as f from fc, sc)
+select scenario, date, step, round(yhat * f, 2) as yhat, round((yhat - hw) * f, 2) as lower, round((yhat + hw) * f, 2) as upper from a""",
+       digits={"yhat": 2, "lower": 2, "upper": 2})
+def f08(b: Bound):
+    return P.apply_scenarios(_line(b, "total_emissions")[1], P.scenarios(b.spark), "total_emissions")
+
+
+@query("f09_pue_scenarios", "with " + _line_sql(mean_sql("pue")) + "," + _SCENARIOS + """
+select scenario, date, step, round(yhat - step * pue_step, 8) as yhat, round(yhat - hw, 8) as lower, round(yhat + hw, 8) as upper from fc, sc""",
+       digits={"yhat": 8, "lower": 8, "upper": 8})
+def f09(b: Bound):
+    return P.apply_scenarios(_line(b, "pue")[1], P.scenarios(b.spark), "pue")
+
+
+@query("f10_cfe_scenarios", "with " + _line_sql(mean_sql("cfe_pct")) + "," + _SCENARIOS + f"""
+select scenario, date, step, round(case when ramp then least(1, now + step * ((1 - now) / least(60, {HORIZON}))) else yhat end, 8) as yhat,
+       round(yhat - hw, 8) as lower, round(yhat + hw, 8) as upper from fc, sc""", digits={"yhat": 8, "lower": 8, "upper": 8})
+def f10(b: Bound):
+    history, ahead = _line(b, "cfe_pct")
+    current = history.agg(F.max_by("y", "date").alias("y"))
+    return P.apply_scenarios(ahead, P.scenarios(b.spark), "cfe_pct", current=current)
+
+
+@query("f11_scenario_comparison", "with " + _line_sql("sum(total_emissions)") + "," + _SCENARIOS + f""",
+t as (select scenario, sum(yhat * (1 + (end_factor - 1) * step / {HORIZON - 1})) as total from fc, sc group by 1),
+u as (select total as bau from t where scenario = 'Business as Usual')
+select scenario, round(total, 1) as total, round(bau - total, 1) as reduction, round((bau - total) / bau * 100, 8) as reduction_pct from t, u""",
+       digits={"total": 1, "reduction": 1, "reduction_pct": 8})
+def f11(b: Bound):
+    adjusted = P.apply_scenarios(_line(b, "total_emissions")[1], P.scenarios(b.spark), "total_emissions")
+    return P.compare_scenarios(adjusted)
+
+
+@query("f12_target_lines", """
+with c as (select * from (values ('Total Emissions', 'total_emissions', 'Scope 1 & 2', 1.0::double, null), ('Scope 1 Emissions', 'scope1_tonnes', 'Scope 1 & 2', 0.05::double, null),
+  ('Scope 2 Emissions', 'scope2_market_tonnes', 'Scope 1 & 2', 0.20::double, null), ('Scope 3 Emissions', 'scope3_tonnes', 'Scope 3', 0.75::double, null),
+  ('PUE (Efficiency)', 'pue', null, null, 1.08::double), ('Water Consumption', 'water_consumption_gallons', null, null, null),
+  ('Carbon-Free Energy %', 'cfe_pct', null, null, 1.0::double), ('Waste Diversion %', 'waste_diversion_pct', null, null, 0.90::double)) t(target, metric, target_scope, share, reference_line))
+select target, metric, cast(target_year as bigint) as target_year, target_emissions * share / 12 as monthly_target, reference_line
+from c left join targets g on g.scope = c.target_scope""")
+def f12(b: Bound):
+    return P.target_lines(b.spark, b.targets())
+
+
+@query("f14_series_kpis", "with " + _REGIONAL + f""",
+l as (select region, arg_max(y, date) as v, max(case when back = 13 then y end) as p, {mean_sql('y')} as m,
+             regr_slope(cast(y as double), idx) as s from rs group by 1)
+select region, cast(v as double) as current_value, {change_sql('v', 'p')} as yoy_pct, m as mean_value,
+       case when s > 0 then 'Increasing' else 'Decreasing' end as trend from l""")
+def f14(b: Bound):
+    return P.series_kpis(regional(b), ["region"])
+
+
+@query("f15_forecast_summary", "with " + _line_sql("sum(total_emissions)") + """,
+a as (select max(now) as now, arg_max(yhat, date) as e, avg(2 * hw) / avg(yhat) * 100 as u from fc),
+c as (select *, coalesce((e - now) / nullif(now, 0) * 100, 0) as p from a)
+select now as current_value, round(e, 2) as end_value, round(u, 6) as uncertainty_pct, round(e - now, 2) as change, round(p, 6) as change_pct,
+       case when u < 20 then 'high' when u < 40 then 'moderate' else 'low' end as confidence,
+       case when p > 10 then 'intervention needed' when p > 0 then 'growing' else 'declining' end as outlook from c""",
+       digits={"end_value": 2, "uncertainty_pct": 6, "change": 2, "change_pct": 6})
+def f15(b: Bound):
+    return P.forecast_summary(*_line(b, "total_emissions"))
+
+
+@query("f16_future_months", """
+with l as (select facility_id, max(date) as d from emissions group by 1)
+select facility_id, step - 1 as step, last_day(d + to_months(cast(step as integer))) as date from l, (select unnest(range(1, 13)) as step)""")
+def f16(b: Bound):
+    return future_months(b.emissions(), "date", 12, ["facility_id"])
+
+
+@query("f17_naive_band", "with " + _REGIONAL + """,
+sg as (select region, 1.96::double * stddev_pop(cast(y as double)) as hw from rs where back <= 12 group by 1),
+fit as (select region, regr_slope(cast(y as double), idx) as s, regr_intercept(cast(y as double), idx) as i, count(*) as n, max(date) as d from rs group by 1)
+select fit.region, last_day(d + to_months(cast(step as integer))) as date, step - 1 as step, round(i + s * (n + step - 1), 2) as yhat,
+       round(i + s * (n + step - 1) - hw, 2) as lower, round(i + s * (n + step - 1) + hw, 2) as upper
+from fit join sg on sg.region = fit.region, (select unnest(range(1, 13)) as step)""", digits={"yhat": 2, "lower": 2, "upper": 2})
+def f17(b: Bound):
+    history = regional(b)
+    return P.naive_band(P.extend_trend(history, 12, ["region"]), history, ["region"])

@@ -1 +1,291 @@
-"""Registered queries."""
+"""Validation as registered queries.
+
+The bound tables are clean, so the readings get known defects by formula on
+their keys: both engines see the same bad rows, spread over the whole table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from scopeledger.catalog.registry import query
+from scopeledger.model.lookups import TARGET_CUTS, TYPE_SHARES
+from scopeledger.operators.joins import literal_dim, orphans
+from scopeledger.plans import allocation as G
+from scopeledger.plans import quality as Q
+from scopeledger.sources.binding import AS_OF, YEAR, Bound
+
+#: Months since year 0 and facility decide the defect of a row.
+DIRTY = """
+dirty as (select case when k % 97 = 5 then null when k % 89 = 3 then facility_id + 1000000000 else facility_id end as facility_id,
+       case when k % 101 = 7 then date + interval 20 year else date end as date,
+       case when k % 53 = 2 then -scope1_tonnes when k % 59 = 4 then null else scope1_tonnes end as scope1_tonnes,
+       scope2_location_tonnes, case when k % 61 = 6 then scope2_location_tonnes + 1 else scope2_market_tonnes end as scope2_market_tonnes,
+       scope3_tonnes, electricity_mwh, case when k % 67 = 8 then renewable_pct + 101 else renewable_pct end as renewable_pct, copies, k
+  from (select *, year(date) * 12 + month(date) + facility_id * 7 as k,
+               case when (year(date) * 12 + month(date) + facility_id * 7) % 71 = 9 then 3 else 1 end as copies from emissions)),
+defects as (select facility_id, cast(date as date) as date, scope1_tonnes, scope2_location_tonnes, scope2_market_tonnes, scope3_tonnes, electricity_mwh, renewable_pct
+            from dirty, (select unnest(range(1, 4)) as c) where c <= copies)"""
+
+
+def dirty(b: Bound) -> DataFrame:
+    k = F.year("date") * 12 + F.month("date") + F.col("facility_id") * 7
+    df = b.emissions().withColumn("k", k)
+
+    def hit(modulus: int, rest: int):
+        return F.col("k") % modulus == rest
+
+    copies = F.when(hit(71, 9), 3).otherwise(1)
+    return df.select(
+        F.when(hit(97, 5), None).when(hit(89, 3), F.col("facility_id") + 1_000_000_000).otherwise(F.col("facility_id")).alias("facility_id"),
+        F.when(hit(101, 7), F.add_months("date", 240)).otherwise(F.col("date")).alias("date"),
+        F.when(hit(53, 2), -F.col("scope1_tonnes")).when(hit(59, 4), None).otherwise(F.col("scope1_tonnes")).alias("scope1_tonnes"),
+        "scope2_location_tonnes",
+        F.when(hit(61, 6), F.col("scope2_location_tonnes") + 1).otherwise(F.col("scope2_market_tonnes")).alias("scope2_market_tonnes"),
+        "scope3_tonnes", "electricity_mwh",
+        F.when(hit(67, 8), F.col("renewable_pct") + 101).otherwise(F.col("renewable_pct")).alias("renewable_pct"),
+        F.explode(F.sequence(F.lit(1), copies)).alias("_copy"),
+    ).drop("_copy")
+
+
+_RULES = {
+    **{f"not_null:{c}": f"{c} is null" for c in ["facility_id", "date", *Q.SCOPE_COLUMNS]},
+    **{f"non_negative:{c}": f"{c} < 0" for c in [*Q.SCOPE_COLUMNS, "electricity_mwh"]},
+    "range:renewable_pct": "not (renewable_pct between 0 and 100)",
+    "market_not_above_location": "scope2_market_tonnes > scope2_location_tonnes",
+    "date_not_in_future": f"date > date '{AS_OF}'",
+}
+
+_SUMMARY = "with " + DIRTY + """,
+n as (select count(*) as n from defects),
+r as (""" + " union all ".join(
+    f"select '{rule}' as rule, count(*) filter (where {bad}) as failed from defects" for rule, bad in _RULES.items()
+) + """)
+select rule, 'error' as severity, failed, round((n - failed) * 100.0::double / n, 2) as pass_rate_pct from r, n"""
+
+
+@query("d01_row_rules", _SUMMARY)
+def d01(b: Bound):
+    return Q.row_summary(dirty(b), Q.emission_rules(AS_OF))
+
+
+_FAILED = "with " + DIRTY + """,
+rep as (select facility_id, date from defects where facility_id is not null and date is not null group by 1, 2 having count(*) > 1),
+m as (select d.*, r.facility_id is not null as is_rep, d.facility_id is not null and f.facility_id is null as is_lost
+      from defects d left join rep r on d.facility_id = r.facility_id and d.date = r.date left join facilities f on d.facility_id = f.facility_id),
+fl as (""" + " union all ".join(f"select '{rule}' as rule, count(*) as failed from m where {bad}" for rule, bad in _RULES.items()) + """
+  union all select 'unique:facility_id,date', count(*) from m where is_rep union all select 'reference:facility_id', count(*) from m where is_lost)"""
+
+
+def _split(b: Bound):
+    return Q.validate(dirty(b), Q.emission_rules(AS_OF), ["facility_id", "date"], {"facility_id": b.facilities()})
+
+
+@query("d02_failed_rule_summary", _FAILED + """
+select rule, failed, (select count(*) from defects) as total_rows,
+       round(((select count(*) from defects) - failed) * 100.0::double / (select count(*) from defects), 2) as pass_rate_pct
+from fl where failed > 0""")
+def d02(b: Bound):
+    return _split(b)[2]
+
+
+_GOOD = " and ".join(f"not coalesce({bad}, false)" for bad in _RULES.values())
+
+
+@query("d03_clean_rows", _FAILED + f"""
+select facility_id, date, cast(scope1_tonnes as double) as scope1_tonnes, cast(scope2_market_tonnes as double) as scope2_market_tonnes
+from m where not is_rep and not is_lost and {_GOOD}""")
+def d03(b: Bound):
+    return _split(b)[0].select("facility_id", "date", "scope1_tonnes", "scope2_market_tonnes")
+
+
+@query("d04_quarantined_by_year", _FAILED + f"""
+select cast(year(date) as bigint) as year, count(*) as quarantined from m where is_rep or is_lost or not ({_GOOD}) group by 1""")
+def d04(b: Bound):
+    return _split(b)[1].groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("quarantined"))
+
+
+@query("d05_enumerations", """
+with r as (select 'allowed:facility_type' as rule, count(*) filter (where facility_type not in ('Data Center', 'Office', 'Manufacturing')) as failed from facilities
+  union all select 'not_null:facility_id', count(*) filter (where facility_id is null) from facilities
+  union all select 'not_null:facility_name', count(*) filter (where facility_name is null) from facilities
+  union all select 'not_null:region', count(*) filter (where region is null) from facilities
+  union all select 'not_null:facility_type', count(*) filter (where facility_type is null) from facilities)
+select rule, 'error' as severity, failed, round(((select count(*) from facilities) - failed) * 100.0::double / (select count(*) from facilities), 2) as pass_rate_pct from r""")
+def d05(b: Bound):
+    return Q.row_summary(b.facilities(), Q.facility_rules())
+
+
+@query("d06_business_rules", """
+with n as (select count(*) as n from business),
+r as (select 'not_null:facility_id' as rule, count(*) filter (where facility_id is null) as failed from business
+  union all select 'not_null:date', count(*) filter (where date is null) from business
+  union all select 'non_negative:revenue_millions', count(*) filter (where revenue_millions < 0) from business
+  union all select 'non_negative:headcount', count(*) filter (where headcount < 0) from business
+  union all select 'non_negative:square_feet', count(*) filter (where square_feet < 0) from business
+  union all select 'non_negative:server_count', count(*) filter (where server_count < 0) from business)
+select rule, 'error' as severity, failed, round((n - failed) * 100.0::double / n, 2) as pass_rate_pct from r, n""")
+def d06(b: Bound):
+    return Q.row_summary(b.business(), Q.business_rules())
+
+
+@query("d07_duplicate_keys", "with " + DIRTY + """
+select facility_id, date, count(*) as rows from defects group by 1, 2 having count(*) > 1""")
+def d07(b: Bound):
+    return Q.duplicate_keys(dirty(b), ["facility_id", "date"])
+
+
+@query("d07_deduplicated", "with " + DIRTY + """,
+r as (select *, row_number() over (partition by facility_id, date order by scope1_tonnes nulls first, scope2_location_tonnes, scope2_market_tonnes, scope3_tonnes,
+             electricity_mwh, renewable_pct) as n from defects where facility_id is not null)
+select facility_id, date, cast(scope1_tonnes as double) as scope1_tonnes, cast(scope3_tonnes as double) as scope3_tonnes from r where n = 1""")
+def d07_dedupe(b: Bound):
+    kept = Q.dedupe(dirty(b).filter(F.col("facility_id").isNotNull()), ["facility_id", "date"])
+    return kept.select("facility_id", "date", "scope1_tonnes", "scope3_tonnes")
+
+
+@query("d08_duplicate_primary_keys", """
+select s_nationkey, count(*) as rows from supplier group by 1 having count(*) > 1""")
+def d08(b: Bound):
+    return Q.duplicate_keys(b.read("supplier"), ["s_nationkey"])
+
+
+@query("d09_orphan_facilities", "with " + DIRTY + """
+select d.facility_id, count(*) as rows from defects d left join facilities f on d.facility_id = f.facility_id
+where f.facility_id is null group by 1""")
+def d09(b: Bound):
+    return orphans(dirty(b), b.facilities(), "facility_id")
+
+
+@query("d10_target_rules", """
+with n as (select count(*) as n from targets),
+r as (select 'non_negative:baseline_emissions' as rule, count(*) filter (where baseline_emissions < 0) as failed from targets
+  union all select 'non_negative:target_emissions', count(*) filter (where target_emissions < 0) from targets
+  union all select 'target_after_baseline', count(*) filter (where target_year <= baseline_year) from targets)
+select rule, 'error' as severity, failed, round((n - failed) * 100.0::double / n, 2) as pass_rate_pct from r, n""")
+def d10(b: Bound):
+    return Q.row_summary(b.targets(), Q.target_rules())
+
+
+@query("d11_category_rules", """
+with c as (select cast(p_size as integer) as category_id, p_retailprice / 100 as pct, case when p_size % 2 = 0 then 'Upstream' else 'Sideways' end as stream from part),
+r as (select 'range:category_id' as rule, count(*) filter (where category_id not between 1 and 15) as failed from c
+  union all select 'non_negative:typical_pct_of_scope3', count(*) filter (where pct < 0) from c
+  union all select 'allowed:upstream_downstream', count(*) filter (where stream not in ('Upstream', 'Downstream')) from c)
+select rule, 'error' as severity, failed, round(((select count(*) from c) - failed) * 100.0::double / (select count(*) from c), 2) as pass_rate_pct from r""")
+def d11(b: Bound):
+    stream = F.when(F.col("p_size") % 2 == 0, "Upstream").otherwise("Sideways")
+    claimed = b.read("part").select(
+        F.col("p_size").alias("category_id"), (F.col("p_retailprice") / 100).alias("typical_pct_of_scope3"),
+        stream.alias("upstream_downstream"),
+    )
+    return Q.row_summary(claimed, Q.category_rules())
+
+
+@query("d12_completeness_by_facility", """
+select facility_id, count(distinct date) as present, cast(datediff('month', min(date), max(date)) + 1 as bigint) as expected,
+       cast(datediff('month', min(date), max(date)) + 1 - count(distinct date) as bigint) as missing from emissions group by 1""")
+def d12(b: Bound):
+    return Q.completeness(b.emissions(), "date", ["facility_id"])
+
+
+@query("d13_missing_months", """
+with r as (select facility_id, min(date) as lo, max(date) as hi from emissions group by 1),
+s as (select facility_id, cast(unnest(generate_series(lo, hi, interval 1 month)) as date) as date from r)
+select s.facility_id, s.date from s left join emissions e on e.facility_id = s.facility_id and e.date = s.date where e.date is null""")
+def d13(b: Bound):
+    return Q.missing_months(b.emissions(), "date", ["facility_id"])
+
+
+# -- allocation -----------------------------------------------------------------
+
+_ANNUAL = """
+annual as (select year(date) as year, cast(sum(scope1_tonnes) as double) as scope1, cast(sum(scope2_market_tonnes) as double) as scope2_market,
+                  cast(sum(scope3_tonnes) as double) as scope3 from emissions group by 1)"""
+
+
+def annual(b: Bound) -> DataFrame:
+    return b.emissions().groupBy(F.year("date").alias("year")).agg(
+        F.sum("scope1_tonnes").cast("double").alias("scope1"),
+        F.sum("scope2_market_tonnes").cast("double").alias("scope2_market"),
+        F.sum("scope3_tonnes").cast("double").alias("scope3"),
+    )
+
+
+SPREAD = ["scope1", "scope2_market", "scope3"]
+
+_INTERPOLATED = "with " + _ANNUAL + """,
+nx as (select a.year, a.scope1, a.scope2_market, a.scope3, coalesce(n.scope1, a.scope1) as n1, coalesce(n.scope2_market, a.scope2_market) as n2,
+              coalesce(n.scope3, a.scope3) as n3 from annual a left join annual n on n.year = a.year + 1),
+ms as (select distinct date, (month(date) - 1) / 11.0::double as t, case when month(date) in (6, 7, 8) then 1.03::double when month(date) in (12, 1, 2) then 1.02::double else 1.0::double end as f from emissions),
+mo as (select date, f, (scope1 + (n1 - scope1) * t) / 12 as scope1, (scope2_market + (n2 - scope2_market) * t) / 12 as scope2_market,
+              (scope3 + (n3 - scope3) * t) / 12 as scope3 from ms join nx on nx.year = year(date))"""
+
+
+def _months(b: Bound) -> DataFrame:
+    return G.interpolate_annual(annual(b), b.emissions().select("date").distinct(), SPREAD)
+
+
+@query("g02_monthly_interpolation", _INTERPOLATED + """
+select date, cast(year(date) as bigint) as year, round(scope1, 4) as scope1, round(scope2_market, 4) as scope2_market, round(scope3, 4) as scope3 from mo""",
+       digits=dict.fromkeys(SPREAD, 4))
+def g02(b: Bound):
+    return _months(b)
+
+
+@query("g03_seasonal_factors", _INTERPOLATED + """
+select date, cast(year(date) as bigint) as year, round(scope1, 4) as scope1, round(scope2_market * f, 4) as scope2_market, round(scope3, 4) as scope3 from mo""",
+       digits=dict.fromkeys(SPREAD, 4))
+def g03(b: Bound):
+    return G.seasonal(_months(b))
+
+
+def _allocated(b: Bound, noise: float) -> DataFrame:
+    shares = literal_dim(b.spark, TYPE_SHARES, "facility_type STRING, share DOUBLE")
+    return G.allocate(G.seasonal(_months(b)), b.facilities(), shares, SPREAD, noise)
+
+
+@query("g04_facility_allocation", _INTERPOLATED + """,
+ty as (select facility_type, count(*) as n from facilities group by 1),
+al as (select f.facility_id, f.region, date, case f.facility_type when 'Data Center' then 0.85::double when 'Office' then 0.10::double else 0.05::double end / n as fr, scope1, scope2_market * m.f as s2, scope3
+       from facilities f join ty on ty.facility_type = f.facility_type, mo m)
+select facility_id, date, round(scope1 * fr, 4) as scope1, round(s2 * fr, 4) as scope2_market, round(scope3 * fr, 4) as scope3 from al""",
+       digits=dict.fromkeys(SPREAD, 4))
+def g04(b: Bound):
+    return _allocated(b, 0.0).select("facility_id", "date", *SPREAD)
+
+
+@query("g05_facility_allocation_varied")
+def g05(b: Bound):
+    return _allocated(b, 0.05).select("facility_id", "date", *SPREAD)
+
+
+@query("g07_regional_costs", """
+select facility_id, date, cast(energy_cost_usd as double) as energy_cost_usd, cast(water_cost_usd as double) as water_cost_usd, round(cast(carbon_cost_usd as double), 8) as carbon_cost_usd
+from combined""", digits={"carbon_cost_usd": 8})
+def g07(b: Bound):
+    stored = b.combined().drop("energy_cost_usd", "water_cost_usd", "carbon_cost_usd")
+    priced = G.derive_costs(stored, b.regional_prices())
+    return priced.select("facility_id", "date", "energy_cost_usd", "water_cost_usd", "carbon_cost_usd")
+
+
+@query("g08_targets_from_baseline", "with " + _ANNUAL + """
+select 'Scope 1 & 2' as scope, cast(1998 as bigint) as baseline_year, scope1 + scope2_market as baseline_emissions, cast(2008 as bigint) as target_year,
+       50.0::double as reduction_percent, (scope1 + scope2_market) * (1 - 50.0::double / 100) as target_emissions, true as sbti_aligned from annual where year = 1998
+union all select 'Scope 3', 1998, scope3, 2008, 30.0::double, scope3 * (1 - 30.0::double / 100), true from annual where year = 1998""")
+def g08(b: Bound):
+    return G.make_targets(annual(b), YEAR, TARGET_CUTS)
+
+
+@query("g09_verify_totals", "with " + _ANNUAL + """,
+y as (select year(date) as year, cast(sum(total_emissions) as double) as g from emis group by 1),
+p as (select year, scope1 + scope2_market + scope3 + year * 1000 as published from annual)
+select cast(y.year as bigint) as year, round(g, 0) as generated, round(published, 4) as published, round(abs((g - published) / published * 100), 8) as diff_pct
+from y join p on y.year = p.year""", digits={"published": 4, "diff_pct": 8})
+def g09(b: Bound):
+    published = annual(b).select(
+        "year", (F.col("scope1") + F.col("scope2_market") + F.col("scope3") + F.col("year") * 1000).alias("total")
+    )
+    return G.verify_totals(b.emissions(), published)
+
