@@ -22,7 +22,7 @@ from m window w3 as (order by month rows between 2 preceding and current row),
               w6 as (order by month rows between 5 preceding and current row)
 order by month desc limit 24""")
 def q01(b: Bound):
-    return R.q01_trend(b.emissions())
+    return R.q01_trend(b.meters())
 
 
 _YOY = """
@@ -31,18 +31,18 @@ m as (select year(date) as year, month(date) as month, sum(total_emissions) as t
 l as (select *, lag(t, 12) over (order by year, month) as p from m)
 select cast(year as bigint) as year, cast(month as bigint) as month, cast(round(t, 0) as double) as current_emissions,
        cast(round(p, 0) as double) as prior_year_emissions, cast(round(t - p, 0) as double) as absolute_change,
-       round((cast(t as double) - cast(p as double)) / nullif(cast(p as double), 0) * 100, 1) as pct_change
+       round((cast(t as double) - cast(p as double)) / nullif(cast(p as double), 0) * 100, 1) + 0.0 as pct_change
 from l where year >= 1998 order by 1, 2"""
 
 
 @query("q02_year_over_year", "with " + _YOY.format(since=1998))
 def q02(b: Bound):
-    return R.q02_yoy(b.emissions(start=date(FROM_YEAR, 1, 1)), FROM_YEAR)
+    return R.q02_yoy(b.meters(start=date(FROM_YEAR, 1, 1)), FROM_YEAR)
 
 
 @query("q02_year_over_year_full_history", "with " + _YOY.format(since=1997))
 def q02_full(b: Bound):
-    return R.q02_yoy(b.emissions(start=date(FROM_YEAR - 1, 1, 1)), FROM_YEAR, filter_first=False, mode="calendar")
+    return R.q02_yoy(b.meters(start=date(FROM_YEAR - 1, 1, 1)), FROM_YEAR, filter_first=False, mode="calendar")
 
 
 @query("q03_scope3_pareto", """
@@ -56,7 +56,7 @@ select cast(category_id as bigint) as category_id, category_name, description, e
              / sum(estimated_tonnes) over (), 1) as cumulative_pct
 from s""")
 def q03(b: Bound):
-    return R.q03_pareto(b.emissions(FIRST, LAST), b.categories(), YEAR)
+    return R.q03_pareto(b.meters(FIRST, LAST), b.categories(), YEAR)
 
 
 @query("q04_target_progress", """
@@ -72,7 +72,7 @@ select cast(year as bigint) as year, cast(round(a, 0) as double) as scope12_actu
        case when cast(a as double) <= path then 'On Track' else 'Behind Target' end as status
 from j where year >= baseline_year""")
 def q04(b: Bound):
-    return R.q04_targets(b.emissions(), b.targets())
+    return R.q04_targets(b.meters(), b.targets())
 
 
 @query("q04_all_targets", """
@@ -85,7 +85,7 @@ select scope, cast(year as bigint) as year, cast(round(d, 0) as double) as actua
        case when a <= path then 'On Track' else 'Behind Target' end as status
 from j where year >= baseline_year""")
 def q04_all(b: Bound):
-    return R.q04_all_targets(b.emissions(), b.targets())
+    return R.q04_all_targets(b.meters(), b.targets())
 
 
 _INTENSITY = """
@@ -119,7 +119,7 @@ select region, facility_type, {_SUBTOTAL} group by region, facility_type
 union all select region, 'All Types', {_SUBTOTAL} group by region
 union all select 'TOTAL', 'All Types', {_SUBTOTAL}""")
 def q06(b: Bound):
-    return R.q06_subtotals(b.facilities(), b.emissions(FIRST, LAST), YEAR)
+    return R.q06_subtotals(b.facilities(), b.meters(FIRST, LAST), YEAR)
 
 
 _AUDIT = """
@@ -160,7 +160,7 @@ select date, cast(round(t, 0) as double) as actual, round(trend, 0) as trend_com
        case when trend > p then 'Increasing' when trend < p then 'Decreasing' else 'Stable' end as trend_direction
 from z order by date desc limit 24""")
 def q08(b: Bound):
-    return R.q08_decompose(b.emissions())
+    return R.q08_decompose(b.meters())
 
 
 @query("q09_renewable_impact", """
@@ -231,8 +231,8 @@ select e.date, f.*, cast(scope1_tonnes as double) as scope1_tonnes, cast(scope2_
        cast(total_emissions as double) as total_emissions, cast(electricity_mwh as double) as electricity_mwh,
        cast(renewable_pct as double) as renewable_pct, cast(year(e.date) as bigint) as year, cast(month(e.date) as bigint) as month,
        strftime(e.date, '%Y-%m') as year_month, cast(revenue_millions as double) as revenue_millions, headcount, square_feet, server_count,
-       cast(round(cast(cast(total_emissions as double) / nullif(cast(revenue_millions as double), 0) as decimal(28,8)), 2) as double) as intensity_per_revenue,
-       cast(round(cast(cast(total_emissions as double) / nullif(headcount, 0) as decimal(28,8)), 2) as double) as intensity_per_employee
+       cast(round(cast(cast(total_emissions as double) / nullif(cast(revenue_millions as double), 0) as decimal(38,8)), 2) as double) as intensity_per_revenue,
+       cast(round(cast(cast(total_emissions as double) / nullif(headcount, 0) as decimal(38,8)), 2) as double) as intensity_per_employee
 from emis e join facilities f on e.facility_id = f.facility_id
      left join business b on e.facility_id = b.facility_id and e.date = b.date""")
 def x01(b: Bound):

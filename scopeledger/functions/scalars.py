@@ -71,6 +71,11 @@ def safe_div(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(as_col(a).cast("double"), as_col(b).cast("double"))
 
 
+def round_ratio(a: str | Column, b: str | Column, places: int) -> Column:
+    """Rounded ratio in which binary noise past eight decimals does not decide ties."""
+    return F.round(safe_div(a, b).cast("decimal(38,8)"), places).cast("double")
+
+
 def pct_change(new: str | Column, old: str | Column) -> Column:
     new, old = as_col(new).cast("double"), as_col(old).cast("double")
     return safe_div(new - old, old) * 100

@@ -88,7 +88,7 @@ def _forecast_one(series: pd.DataFrame, keys: list[str], model: str, horizon: in
     else:
         raise ValueError(f"unknown model {model}")
     out = pd.DataFrame({k: [series[k].iloc[0]] * steps for k in keys})
-    out["date"] = [(s + pd.offsets.MonthEnd(0)).date() for s in stamps]
+    out["date"] = (pd.DatetimeIndex(stamps) + pd.offsets.MonthEnd(0)).date
     out["step"] = [i - len(test) for i in range(steps)]
     out["is_future"] = out["step"] >= 0
     out["y"] = list(test["y"].astype(float)) + [None] * horizon
@@ -116,7 +116,10 @@ def fit_forecast(
     split = split.withColumn("_train", trained).filter(F.col("_train") >= MIN_POINTS).drop("_train")
     schema = T.StructType([split.schema[k] for k in keys] + FORECAST_FIELDS)
     fit = partial(_forecast_one, keys=keys, model=model, horizon=horizon, params=params or {})
-    return split.select(*keys, "date", "y", "is_test").groupBy(*keys).applyInPandas(fit, schema)
+    # fits are slow for their size in bytes: fix the task count, or they get merged into few tasks
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = split.select(*keys, "date", "y", "is_test").repartition(tasks, *keys)
+    return spread.groupBy(*keys).applyInPandas(fit, schema)
 
 
 def extend_trend(series: DataFrame, horizon: int, p: Sequence[str] = (), z: float = 1.96) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scopeledger.functions.aggregates import count_where, mean, scope_sums
 from scopeledger.functions.scalars import (
-    label, month_of, round_half_up, safe_div, total_emissions, year_month, year_of,
+    label, month_of, round_half_up, round_ratio, safe_div, total_emissions, year_month, year_of,
 )
 from scopeledger.operators import aggregates as A
 from scopeledger.operators import windows as Wn
@@ -324,8 +324,8 @@ def x_emissions(facilities: DataFrame, emissions: DataFrame, business: DataFrame
         total_emissions().alias("total_emissions"), "electricity_mwh", "renewable_pct",
         year_of("date").alias("year"), month_of("date").alias("month"), year_month("date").alias("year_month"),
         *wanted,
-        round_half_up(safe_div(total_emissions(), "revenue_millions"), 2).alias("intensity_per_revenue"),
-        round_half_up(safe_div(total_emissions(), "headcount"), 2).alias("intensity_per_employee"),
+        round_ratio(total_emissions(), "revenue_millions", 2).alias("intensity_per_revenue"),
+        round_ratio(total_emissions(), "headcount", 2).alias("intensity_per_employee"),
     )
 
 

@@ -21,6 +21,8 @@ from scopeledger.sources.loaders import EMISSION_COLUMNS, FACILITY_COLUMNS
 
 AMOUNT = "decimal(24,4)"
 SHARE = "decimal(14,6)"
+#: Amounts of a single reading fit a long, which keeps row arithmetic cheap.
+READING = "decimal(18,4)"
 
 MILLI = Decimal("0.001")
 
@@ -35,6 +37,22 @@ AS_OF = date(2001, 10, 31)
 REGION_NAMES = [("AMERICA", "US-East"), ("AFRICA", "US-Central"), ("EUROPE", "EU"), ("ASIA", "APAC")]
 
 
+def _cell() -> list[Column]:
+    """Facility and month of a line item."""
+    return [F.col("l_suppkey").alias("facility_id"), F.trunc("l_shipdate", "month").alias("date")]
+
+
+def _units() -> dict[str, Column]:
+    """Measures of a line item as whole numbers: cents, percent points, cents x percent."""
+    price = F.rint(F.col("l_extendedprice") * 100).cast("long")
+    discount = F.rint(F.col("l_discount") * 100).cast("long")
+    tax = F.rint(F.col("l_tax") * 100).cast("long")
+    return {
+        "qty": F.rint("l_quantity").cast("long"), "price": price, "discount": discount, "tax": tax,
+        "net": price * (100 - discount), "gross": price * (100 + tax),
+    }
+
+
 def _scaled(units: Column, places: int, kind: str = AMOUNT) -> Column:
     """Integer count of 10^-places units as DECIMAL."""
     return (units.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-places))).cast(kind)
@@ -87,38 +105,40 @@ class Bound:
 
     # -- facts ------------------------------------------------------------
 
-    def readings(self, start: date | None = None, end: date | None = None) -> DataFrame:
-        """Every monthly measure from a single aggregation of the line items."""
+    def lines(self, start: date | None = None, end: date | None = None) -> DataFrame:
+        """Line items of the months from ``start`` to ``end``, filtered in the scan."""
         lines = self.read("lineitem")
         if start is not None:
             lines = lines.filter(F.col("l_shipdate") >= F.lit(str(start)).cast("timestamp_ntz"))
         if end is not None:
             following = date(end.year + end.month // 12, end.month % 12 + 1, 1)
             lines = lines.filter(F.col("l_shipdate") < F.lit(str(following)).cast("timestamp_ntz"))
-        qty = F.rint("l_quantity").cast("long")
-        price = F.rint(F.col("l_extendedprice") * 100).cast("long")
-        discount = F.rint(F.col("l_discount") * 100).cast("long")
-        tax = F.rint(F.col("l_tax") * 100).cast("long")
-        booked = F.col("l_linestatus") == "F"
+        return lines
+
+    def readings(self, start: date | None = None, end: date | None = None) -> DataFrame:
+        """Every monthly measure from a single aggregation of the line items."""
+        m = _units()
         return (
-            lines.groupBy(
-                F.col("l_suppkey").alias("facility_id"),
-                F.trunc("l_shipdate", "month").alias("date"),
-            )
+            self.lines(start, end).groupBy(*_cell())
             .agg(
                 F.count(F.lit(1)).alias("n"),
-                F.sum(qty).alias("qty"),
-                F.sum(price).alias("price"),
-                F.sum(price * (100 - discount)).alias("net"),
-                F.sum(price * (100 + tax)).alias("gross"),
-                F.sum(discount).alias("discount"),
-                F.sum(tax).alias("tax"),
-                F.sum(F.when(F.col("l_returnflag") != "R", qty).otherwise(0)).alias("kept"),
-                F.sum(F.when(booked, price)).alias("booked_price"),
-                F.count_if(booked).alias("booked_rows"),
+                *[F.sum(m[c]).alias(c) for c in ("qty", "price", "net", "gross", "discount", "tax")],
+                F.sum(F.when(F.col("l_returnflag") != "R", m["qty"]).otherwise(0)).alias("kept"),
             )
         )
 
+    def meters(self, start: date | None = None, end: date | None = None) -> DataFrame:
+        """Emissions per line item, not rolled up: sums over months, regions or years of
+        these readings equal those of the monthly fact and skip its shuffle."""
+        m = _units()
+        return self.lines(start, end).select(
+            *_cell(),
+            m["qty"].cast(READING).alias("scope1_tonnes"),
+            _scaled(m["price"], 2, READING).alias("scope2_location_tonnes"),
+            _scaled(m["net"], 4, READING).alias("scope2_market_tonnes"),
+            _scaled(m["gross"], 4, READING).alias("scope3_tonnes"),
+        )
+
     def emissions(self, start: date | None = None, end: date | None = None) -> DataFrame:
         return self._emissions(self.readings(start, end))
 
@@ -128,16 +148,12 @@ class Bound:
 
     def business(self, start: date | None = None, end: date | None = None) -> DataFrame:
         """Only months with booked lines, so the left joins meet gaps."""
-        return (
-            self.readings(start, end)
-            .filter(F.col("booked_rows") > 0)
-            .select(
-                "facility_id", "date",
-                _scaled(F.col("booked_price"), 8, "decimal(28,8)").alias("revenue_millions"),
-                F.col("booked_rows").alias("headcount"),
-                (F.col("booked_rows") * 150).alias("square_feet"),
-                (F.col("booked_rows") * 20).alias("server_count"),
-            )
+        booked = self.lines(start, end).filter(F.col("l_linestatus") == "F").groupBy(*_cell())
+        rows = F.col("n")
+        return booked.agg(F.sum(_units()["price"]).alias("price"), F.count(F.lit(1)).alias("n")).select(
+            "facility_id", "date",
+            _scaled(F.col("price"), 8, "decimal(28,8)").alias("revenue_millions"),
+            rows.alias("headcount"), (rows * 150).alias("square_feet"), (rows * 20).alias("server_count"),
         )
 
     def combined(self, start: date | None = None, end: date | None = None) -> DataFrame:
@@ -160,7 +176,7 @@ class Bound:
         """Targets cut from the totals of the baseline year."""
         from scopeledger.plans.allocation import make_targets
 
-        base = self.emissions(date(BASELINE_YEAR, 1, 1), date(BASELINE_YEAR, 12, 1))
+        base = self.meters(date(BASELINE_YEAR, 1, 1), date(BASELINE_YEAR, 12, 1))
         annual = base.groupBy(F.year("date").alias("year")).agg(
             F.sum("scope1_tonnes").cast("double").alias("scope1"),
             F.sum("scope2_market_tonnes").cast("double").alias("scope2_market"),

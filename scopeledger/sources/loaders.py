@@ -71,11 +71,16 @@ def load_combined(
     spark: SparkSession, source: Source, facility_ids: Sequence | None = None,
     start: str | None = None, end: str | None = None, ordered: bool = False,
 ) -> DataFrame:
-    """Emissions with their operational metrics; months without metrics keep NULLs."""
-    emissions = load_emissions(spark, source, facility_ids, start, end)
+    """Emissions with their operational metrics; months without metrics keep NULLs.
+
+    The facts meet first: they share their key and its partitioning.
+    """
+    emissions = _fact(spark, source, "emissions_monthly", facility_ids, start, end)
+    emissions = emissions.withColumn("total_emissions", total_emissions())
     metrics = _fact(spark, source, "facility_operational_metrics", facility_ids, start, end)
     metrics = metrics.select("facility_id", "date", *OPERATION_COLUMNS)
-    out = enrich(emissions, metrics, ["facility_id", "date"], "left")
+    both = enrich(emissions, metrics, ["facility_id", "date"], "left")
+    out = enrich(both, _sites(spark, source), "facility_id")
     return _edge(out.select(*FACILITY_COLUMNS, "date", *EMISSION_COLUMNS, *OPERATION_COLUMNS), ordered)
 
 
