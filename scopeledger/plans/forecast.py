@@ -7,7 +7,6 @@ many rows as the calendar has months no matter how many readings a key has.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -115,7 +114,10 @@ def fit_forecast(
     trained = F.count_if(~F.col("is_test")).over(W.partitionBy(*keys))
     split = split.withColumn("_train", trained).filter(F.col("_train") >= MIN_POINTS).drop("_train")
     schema = T.StructType([split.schema[k] for k in keys] + FORECAST_FIELDS)
-    fit = partial(_forecast_one, keys=keys, model=model, horizon=horizon, params=params or {})
+
+    def fit(series: pd.DataFrame) -> pd.DataFrame:
+        return _forecast_one(series, keys, model, horizon, params or {})
+
     # fits are slow for their size in bytes: fix the task count, or they get merged into few tasks
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = split.select(*keys, "date", "y", "is_test").repartition(tasks, *keys)
