@@ -146,9 +146,9 @@ def d07_dedupe(b: Bound):
 
 
 @query("d08_duplicate_primary_keys", """
-select s_nationkey, count(*) as rows from supplier group by 1 having count(*) > 1""")
+select o_custkey, count(*) as rows from orders group by 1 having count(*) > 1""")
 def d08(b: Bound):
-    return Q.duplicate_keys(b.read("supplier"), ["s_nationkey"])
+    return Q.duplicate_keys(b.read("orders"), ["o_custkey"])
 
 
 @query("d09_orphan_facilities", "with " + DIRTY + """
@@ -228,15 +228,15 @@ def _months(b: Bound) -> DataFrame:
 
 
 @query("g02_monthly_interpolation", _INTERPOLATED + """
-select date, cast(year(date) as bigint) as year, round(scope1, 4) as scope1, round(scope2_market, 4) as scope2_market, round(scope3, 4) as scope3 from mo""",
-       digits=dict.fromkeys(SPREAD, 4))
+select date, cast(year(date) as bigint) as year, round(scope1, 6) as scope1, round(scope2_market, 6) as scope2_market, round(scope3, 6) as scope3 from mo""",
+       digits=dict.fromkeys(SPREAD, 6))
 def g02(b: Bound):
     return _months(b)
 
 
 @query("g03_seasonal_factors", _INTERPOLATED + """
-select date, cast(year(date) as bigint) as year, round(scope1, 4) as scope1, round(scope2_market * f, 4) as scope2_market, round(scope3, 4) as scope3 from mo""",
-       digits=dict.fromkeys(SPREAD, 4))
+select date, cast(year(date) as bigint) as year, round(scope1, 6) as scope1, round(scope2_market * f, 6) as scope2_market, round(scope3, 6) as scope3 from mo""",
+       digits=dict.fromkeys(SPREAD, 6))
 def g03(b: Bound):
     return G.seasonal(_months(b))
 
@@ -250,8 +250,8 @@ def _allocated(b: Bound, noise: float) -> DataFrame:
 ty as (select facility_type, count(*) as n from facilities group by 1),
 al as (select f.facility_id, f.region, date, case f.facility_type when 'Data Center' then 0.85::double when 'Office' then 0.10::double else 0.05::double end / n as fr, scope1, scope2_market * m.f as s2, scope3
        from facilities f join ty on ty.facility_type = f.facility_type, mo m)
-select facility_id, date, round(scope1 * fr, 4) as scope1, round(s2 * fr, 4) as scope2_market, round(scope3 * fr, 4) as scope3 from al""",
-       digits=dict.fromkeys(SPREAD, 4))
+select facility_id, date, round(scope1 * fr, 6) as scope1, round(s2 * fr, 6) as scope2_market, round(scope3 * fr, 6) as scope3 from al""",
+       digits=dict.fromkeys(SPREAD, 6))
 def g04(b: Bound):
     return _allocated(b, 0.0).select("facility_id", "date", *SPREAD)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scopeledger.functions.aggregates import mean, scope_sums
 from scopeledger.functions.scalars import as_col, pct_change
-from scopeledger.operators.joins import null_safe_join
+from scopeledger.operators.joins import checked_join
 from scopeledger.operators.windows import with_index
 
 
@@ -118,7 +118,7 @@ def latest_slice(df: DataFrame, date_col: str = "date") -> DataFrame:
 def with_group_size(df: DataFrame, by: Sequence[str], out: str = "group_size") -> DataFrame:
     """Attach the size of each row's group: count, then join back (no window over a hot group)."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias(out))
-    return null_safe_join(df, sizes, by)
+    return checked_join(df, sizes, by, "inner")
 
 
 def composite(cols: Sequence[str]) -> Column:

@@ -40,7 +40,7 @@ def checked_join(
     side = settle(side)
     if side.count() <= max_rows:
         side = F.broadcast(side)
-    return fact.join(side, list(on), how)
+    return null_safe_join(fact, side, on, how)
 
 
 def literal_dim(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:

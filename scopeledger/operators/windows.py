@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scopeledger.functions.scalars import as_col, label, month_index, pct_change, safe_div
-from scopeledger.operators.joins import null_safe_join
+from scopeledger.operators.joins import checked_join
 
 
 def _frame(order: str, before: int, after: int, p: Sequence[str], mode: str) -> WindowSpec:
@@ -108,5 +108,5 @@ def year_ago_of_last(df: DataFrame, value: str, order: str, lag: int = 12, p: Se
 def share_of_total(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "share_pct") -> DataFrame:
     """Percent of the (group) total: aggregate and join back instead of a one-task window."""
     totals = df.groupBy(*by).agg(F.sum(value).alias("_total"))
-    joined = null_safe_join(df, totals, by) if by else df.crossJoin(F.broadcast(totals))
+    joined = checked_join(df, totals, by, "inner") if by else df.crossJoin(F.broadcast(totals))
     return joined.withColumn(out, safe_div(as_col(value).cast("double") * 100, "_total")).drop("_total")

@@ -118,8 +118,9 @@ def fit_forecast(
     def fit(series: pd.DataFrame) -> pd.DataFrame:
         return _forecast_one(series, keys, model, horizon, params or {})
 
-    # fits are slow for their size in bytes: fix the task count, or they get merged into few tasks
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Fits are slow for their size in bytes, so adaptive merging would leave them to a few tasks.
+    # A partition count of its own keeps this exchange, and smaller tasks balance better.
+    tasks = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = split.select(*keys, "date", "y", "is_test").repartition(tasks, *keys)
     return spread.groupBy(*keys).applyInPandas(fit, schema)
 

@@ -136,6 +136,26 @@ def dedupe(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return smallest.select(*key, "_row.*").select(*df.columns)
 
 
+def _bad_keys(
+    df: DataFrame, key: Sequence[str], references: dict[str, DataFrame], once: bool = True
+) -> DataFrame:
+    """Keys that are repeated (if each may occur ``once``) or refer to nothing, from one pass over the rows."""
+    keys = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    whole = F.lit(True)
+    for c in key:
+        whole = whole & F.col(c).isNotNull()
+    flags = [(whole & (F.col("_rows") > 1)).alias("_repeated")] if once else []
+    for column, dim in references.items():
+        known = dim.select(column).withColumn(f"_known_{column}", F.lit(True))
+        keys = keys.join(known, column, "left")
+        flags.append((F.col(column).isNotNull() & F.col(f"_known_{column}").isNull()).alias(f"_lost_{column}"))
+    names = (["_repeated"] if once else []) + [f"_lost_{c}" for c in references]
+    hit = F.lit(False)
+    for name in names:
+        hit = hit | F.col(name)
+    return keys.select(*key, *flags).filter(hit)
+
+
 def validate(
     df: DataFrame,
     rules: Sequence[Rule],
@@ -147,15 +167,16 @@ def validate(
     Quarantined rows carry ``failed_rules``. Every row of a repeated ``unique``
     key is quarantined. ``references`` maps a column to the dimension holding it.
     """
+    references = references or {}
     failed = [F.when(r.broken(), F.lit(r.rule_id)) for r in rules]
     marked = df
     if unique:
-        repeated = duplicate_keys(df.dropna(subset=list(unique)), unique).select(*unique, F.lit(True).alias("_repeated"))
-        marked = checked_join(marked, repeated, unique)
+        covered = {c: dim for c, dim in references.items() if c in unique}
+        marked = checked_join(marked, _bad_keys(df, unique, covered), unique)
         failed.append(F.when(F.col("_repeated"), F.lit("unique:" + ",".join(unique))))
-    for column, dim in (references or {}).items():
-        lost = df.select(column).dropna().distinct().join(dim.select(column), column, "left_anti")
-        marked = checked_join(marked, lost.withColumn(f"_lost_{column}", F.lit(True)), [column])
+    for column, dim in references.items():
+        if column not in unique:
+            marked = checked_join(marked, _bad_keys(df, [column], {column: dim}, once=False), [column])
         failed.append(F.when(F.col(f"_lost_{column}"), F.lit(f"reference:{column}")))
     tagged = marked.withColumn("failed_rules", F.array_compact(F.array(*failed))).select(*df.columns, "failed_rules")
     clean = tagged.filter(F.size("failed_rules") == 0).drop("failed_rules")

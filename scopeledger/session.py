@@ -14,6 +14,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # capturing a call site for every column costs more than planning itself
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

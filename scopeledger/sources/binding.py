@@ -12,6 +12,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scopeledger.functions.scalars import total_emissions
 from scopeledger.model import lookups as L
@@ -63,6 +64,9 @@ def _micro_mean(total: Column, n: Column, per_unit: int) -> Column:
     return F.call_function("div", total * per_unit, n)
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 class Bound:
     """Lazily built canonical tables of one scale-factor folder."""
 
@@ -70,7 +74,11 @@ class Bound:
         self.spark, self.sf_dir = spark, sf_dir
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """Table by name; its schema is inferred once per path, not by a job per use."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     # -- dimensions -------------------------------------------------------
 
