@@ -100,7 +100,7 @@ def j03(b: Bound):
 select cast(category_id as bigint) as category_id, cast(sum(scope3_tonnes) as double) * (typical_pct_of_scope3 / 100) as estimated_tonnes
 from emissions, categories where year(date) = 1998 group by category_id, typical_pct_of_scope3""")
 def j04(b: Bound):
-    total = in_year(b.meters(FIRST, LAST), YEAR).agg(F.sum("scope3_tonnes").alias("t"))
+    total = in_year(b.meters(FIRST, LAST, unit="year"), YEAR).agg(F.sum("scope3_tonnes").alias("t"))
     split = J.allocate_by_share(total, "t", b.categories(), F.col("typical_pct_of_scope3") / 100, "estimated_tonnes")
     return split.select("category_id", "estimated_tonnes")
 
@@ -109,7 +109,7 @@ def j04(b: Bound):
 with y as (select year(date) as year, cast(sum(scope1_tonnes + scope2_market_tonnes) as double) as actual from emissions group by 1)
 select cast(year as bigint) as year, actual, baseline_emissions from y, (select * from targets where scope = 'Scope 1 & 2')""")
 def j05(b: Bound):
-    yearly = b.meters().groupBy(year_of("date").alias("year")).agg(
+    yearly = b.meters(unit="year").groupBy(year_of("date").alias("year")).agg(
         F.sum(F.col("scope1_tonnes") + F.col("scope2_market_tonnes")).alias("actual")
     )
     goal = b.targets().filter(F.col("scope") == "Scope 1 & 2").select("baseline_emissions")
@@ -139,7 +139,7 @@ def j07(b: Bound):
 @query("j08_enrich_after_aggregate", """
 select f.facility_id, facility_name, region, cast(sum(scope1_tonnes) as double) as scope1 from emissions e right join facilities f on e.facility_id = f.facility_id group by 1, 2, 3""")
 def j08(b: Bound):
-    sums = b.meters().groupBy("facility_id").agg(F.sum("scope1_tonnes").alias("scope1"))
+    sums = b.meters(facility=True, unit=None).groupBy("facility_id").agg(F.sum("scope1_tonnes").alias("scope1"))
     return J.enrich(b.facilities().select("facility_id", "facility_name", "region"), sums, "facility_id", "left")
 
 
@@ -149,7 +149,7 @@ r as (select region, cast(sum(scope1_tonnes) as double) as t from emissions e jo
 h as (select unnest(range(0, 5)) as h)
 select region, scenario, 10 + h * 5::double as handling, t * (price + 10 + h * 5::double) / 1000 as cost_kusd from r, p, h""")
 def j09(b: Bound):
-    sums = b.meters().groupBy("facility_id").agg(F.sum("scope1_tonnes").alias("s"))
+    sums = b.meters(facility=True, unit=None).groupBy("facility_id").agg(F.sum("scope1_tonnes").alias("s"))
     by_region = J.enrich(sums, b.facilities(), "facility_id").groupBy("region").agg(F.sum("s").cast("double").alias("t"))
     prices = J.literal_dim(b.spark, CARBON_SCENARIOS, "scenario STRING, price DOUBLE")
     grid = J.scenario_grid(by_region, prices, J.number_grid(b.spark, "handling", 10.0, 30.0, 5))

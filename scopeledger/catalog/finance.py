@@ -200,7 +200,7 @@ def r08_totals(b: Bound):
 
 def regional_initiatives(b: Bound) -> DataFrame:
     """The initiative list in every region, its tonnes scaled by the region's share of emissions."""
-    per_site = b.meters().groupBy("facility_id").agg(
+    per_site = b.meters(facility=True, unit=None).groupBy("facility_id").agg(
         F.sum(F.col("scope1_tonnes") + F.col("scope2_market_tonnes")).alias("t")
     )
     by_region = enrich(per_site, b.facilities().select("facility_id", "region"), "facility_id").groupBy("region").agg(F.sum("t").alias("t"))
@@ -215,7 +215,7 @@ def regional_initiatives(b: Bound) -> DataFrame:
 
 def site_initiatives(b: Bound) -> DataFrame:
     """The initiative list at every facility; tonnes follow the facility's total."""
-    per_site = b.meters().groupBy("facility_id").agg(
+    per_site = b.meters(facility=True, unit=None).groupBy("facility_id").agg(
         F.round(F.sum(F.col("scope1_tonnes") + F.col("scope2_market_tonnes")) / 1_000_000, 2).cast("double").alias("mt")
     )
     return per_site.crossJoin(F.broadcast(b.initiatives())).select(

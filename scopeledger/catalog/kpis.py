@@ -44,7 +44,7 @@ with t as (select cast(sum(scope1_tonnes) as double) as s1, cast(sum(scope2_mark
 l as (select 'Scope 1' as scope, s1 as emissions, t from t union all select 'Scope 2', s2, t from t union all select 'Scope 3', s3, t from t)
 select scope, emissions, emissions * 100 / t as percentage from l""")
 def k02(b: Bound):
-    return K.k02_scope_shares(b.meters())
+    return K.k02_scope_shares(b.meters(unit="year"))
 
 
 _YEARLY = """
@@ -66,7 +66,7 @@ l as (select *, lag(t) over (order by year) as p from y)
 select cast(year as bigint) as year, cast(s1 as double) as scope1, cast(s2 as double) as scope2, cast(s3 as double) as scope3,
        cast(t as double) as total, {change_sql('t', 'p')} as yoy_pct from l""")
 def k04(b: Bound):
-    return K.k04_yearly(b.meters())
+    return K.k04_yearly(b.meters(unit="year"))
 
 
 @query("k05_monthly_trend_ma3", """
@@ -87,12 +87,12 @@ group by f.facility_id, facility_name, region order by sum({m}) desc, f.facility
 
 @query("k06_top_facilities", _TOP.format(m="total_emissions"))
 def k06(b: Bound):
-    return K.k06_top_facilities(b.meters(FIRST, LAST), b.facilities(), YEAR)
+    return K.k06_top_facilities(b.meters(FIRST, LAST, facility=True, unit="year"), b.facilities(), YEAR)
 
 
 @query("k06_top_facilities_scope1", _TOP.format(m="scope1_tonnes"))
 def k06_scope1(b: Bound):
-    return K.k06_top_facilities(b.meters(FIRST, LAST), b.facilities(), YEAR, "scope1_tonnes")
+    return K.k06_top_facilities(b.meters(FIRST, LAST, facility=True, unit="year"), b.facilities(), YEAR, "scope1_tonnes")
 
 
 @query("k07_regional_breakdown", """
@@ -170,7 +170,7 @@ r as (select *, row_number() over (order by typical_pct_of_scope3 desc, category
 select cast(category_id as bigint) as category_id, category_name, description, s3 * typical_pct_of_scope3 / 100 as estimated_tonnes,
        typical_pct_of_scope3, position, cumulative_pct, (select sum(typical_pct_of_scope3) from r where position <= 3) as top3_pct from r, t""")
 def k13(b: Bound):
-    return K.k13_scope3_estimate(b.meters(FIRST, LAST), b.categories(), YEAR)
+    return K.k13_scope3_estimate(b.meters(FIRST, LAST, unit="year"), b.categories(), YEAR)
 
 
 @query("k14_latest_operations", f"""

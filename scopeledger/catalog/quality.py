@@ -206,7 +206,7 @@ annual as (select year(date) as year, cast(sum(scope1_tonnes) as double) as scop
 
 
 def annual(b: Bound) -> DataFrame:
-    return b.meters().groupBy(F.year("date").alias("year")).agg(
+    return b.meters(unit="year").groupBy(F.year("date").alias("year")).agg(
         F.sum("scope1_tonnes").cast("double").alias("scope1"),
         F.sum("scope2_market_tonnes").cast("double").alias("scope2_market"),
         F.sum("scope3_tonnes").cast("double").alias("scope3"),

@@ -56,7 +56,7 @@ select cast(category_id as bigint) as category_id, category_name, description, e
              / sum(estimated_tonnes) over (), 1) as cumulative_pct
 from s""")
 def q03(b: Bound):
-    return R.q03_pareto(b.meters(FIRST, LAST), b.categories(), YEAR)
+    return R.q03_pareto(b.meters(FIRST, LAST, unit="year"), b.categories(), YEAR)
 
 
 @query("q04_target_progress", """
@@ -72,7 +72,7 @@ select cast(year as bigint) as year, cast(round(a, 0) as double) as scope12_actu
        case when cast(a as double) <= path then 'On Track' else 'Behind Target' end as status
 from j where year >= baseline_year""")
 def q04(b: Bound):
-    return R.q04_targets(b.meters(), b.targets())
+    return R.q04_targets(b.meters(unit="year"), b.targets())
 
 
 @query("q04_all_targets", """
@@ -85,7 +85,7 @@ select scope, cast(year as bigint) as year, cast(round(d, 0) as double) as actua
        case when a <= path then 'On Track' else 'Behind Target' end as status
 from j where year >= baseline_year""")
 def q04_all(b: Bound):
-    return R.q04_all_targets(b.meters(), b.targets())
+    return R.q04_all_targets(b.meters(unit="year"), b.targets())
 
 
 _INTENSITY = """
@@ -119,7 +119,7 @@ select region, facility_type, {_SUBTOTAL} group by region, facility_type
 union all select region, 'All Types', {_SUBTOTAL} group by region
 union all select 'TOTAL', 'All Types', {_SUBTOTAL}""")
 def q06(b: Bound):
-    return R.q06_subtotals(b.facilities(), b.meters(FIRST, LAST), YEAR)
+    return R.q06_subtotals(b.facilities(), b.meters(FIRST, LAST, facility=True, unit="year"), YEAR)
 
 
 _AUDIT = """

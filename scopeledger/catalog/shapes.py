@@ -30,7 +30,7 @@ def monthly(b: Bound) -> DataFrame:
 
 
 def by_facility(b: Bound) -> DataFrame:
-    return b.meters().groupBy("facility_id").agg(F.sum(total_emissions()).alias("t"))
+    return b.meters(facility=True, unit=None).groupBy("facility_id").agg(F.sum(total_emissions()).alias("t"))
 
 
 _M = "m as (select date, sum(total_emissions) as t from emis group by 1)"
@@ -49,7 +49,7 @@ def facility_months(b: Bound) -> DataFrame:
 select cast(sum(scope1_tonnes) as double) as scope1, cast(sum(scope2_market_tonnes) as double) as scope2,
        cast(sum(scope3_tonnes) as double) as scope3, cast(sum(total_emissions) as double) as total from emis""")
 def a01(b: Bound):
-    return A.scope_totals(b.meters())
+    return A.scope_totals(b.meters(unit="year"))
 
 
 @query("a02_grouped_sums", """
@@ -386,7 +386,7 @@ def t07(b: Bound):
 with y as (select year(date) as year, cast(sum(scope1_tonnes) as double) as s1, cast(sum(scope2_market_tonnes) as double) as s2, cast(sum(scope3_tonnes) as double) as s3 from emissions group by 1)
 select cast(year as bigint) as year, 'Scope 1' as scope, s1 as tonnes from y union all select year, 'Scope 2', s2 from y union all select year, 'Scope 3', s3 from y""")
 def u03(b: Bound):
-    yearly = A.scope_totals(b.meters(), [year_of("date").alias("year")])
+    yearly = A.scope_totals(b.meters(unit="year"), [year_of("date").alias("year")])
     return Rs.unpivot_report(yearly, ["year"], {"scope1": "Scope 1", "scope2": "Scope 2", "scope3": "Scope 3"}, "scope", "tonnes")
 
 

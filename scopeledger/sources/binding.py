@@ -22,8 +22,6 @@ from scopeledger.sources.loaders import EMISSION_COLUMNS, FACILITY_COLUMNS
 
 AMOUNT = "decimal(24,4)"
 SHARE = "decimal(14,6)"
-#: Amounts of a single reading fit a long, which keeps row arithmetic cheap.
-READING = "decimal(18,4)"
 
 MILLI = Decimal("0.001")
 
@@ -135,16 +133,24 @@ class Bound:
             )
         )
 
-    def meters(self, start: date | None = None, end: date | None = None) -> DataFrame:
-        """Emissions per line item, not rolled up: sums over months, regions or years of
-        these readings equal those of the monthly fact and skip its shuffle."""
+    def meters(
+        self, start: date | None = None, end: date | None = None, facility: bool = False, unit: str | None = "month"
+    ) -> DataFrame:
+        """Emissions summed no finer than a report needs: by month or year, with or without facility.
+
+        Sums over months, regions or years equal those of the monthly fact; the whole-number
+        sums combine map-side, so hardly anything is left to shuffle.
+        """
+        site, _ = _cell()
+        keys = ([site] if facility else []) + ([F.trunc("l_shipdate", unit).alias("date")] if unit else [])
         m = _units()
-        return self.lines(start, end).select(
-            *_cell(),
-            m["qty"].cast(READING).alias("scope1_tonnes"),
-            _scaled(m["price"], 2, READING).alias("scope2_location_tonnes"),
-            _scaled(m["net"], 4, READING).alias("scope2_market_tonnes"),
-            _scaled(m["gross"], 4, READING).alias("scope3_tonnes"),
+        sums = self.lines(start, end).groupBy(*keys).agg(*[F.sum(m[c]).alias(c) for c in ("qty", "price", "net", "gross")])
+        return sums.select(
+            *[c for c in sums.columns if c in ("facility_id", "date")],
+            F.col("qty").cast(AMOUNT).alias("scope1_tonnes"),
+            _scaled(F.col("price"), 2).alias("scope2_location_tonnes"),
+            _scaled(F.col("net"), 4).alias("scope2_market_tonnes"),
+            _scaled(F.col("gross"), 4).alias("scope3_tonnes"),
         )
 
     def emissions(self, start: date | None = None, end: date | None = None) -> DataFrame:
@@ -184,7 +190,7 @@ class Bound:
         """Targets cut from the totals of the baseline year."""
         from scopeledger.plans.allocation import make_targets
 
-        base = self.meters(date(BASELINE_YEAR, 1, 1), date(BASELINE_YEAR, 12, 1))
+        base = self.meters(date(BASELINE_YEAR, 1, 1), date(BASELINE_YEAR, 12, 1), unit="year")
         annual = base.groupBy(F.year("date").alias("year")).agg(
             F.sum("scope1_tonnes").cast("double").alias("scope1"),
             F.sum("scope2_market_tonnes").cast("double").alias("scope2_market"),
