@@ -228,15 +228,13 @@ def _months(b: Bound) -> DataFrame:
 
 
 @query("g02_monthly_interpolation", _INTERPOLATED + """
-select date, cast(year(date) as bigint) as year, round(scope1, 6) as scope1, round(scope2_market, 6) as scope2_market, round(scope3, 6) as scope3 from mo""",
-       digits=dict.fromkeys(SPREAD, 6))
+select date, cast(year(date) as bigint) as year, scope1, scope2_market, scope3 from mo""")
 def g02(b: Bound):
     return _months(b)
 
 
 @query("g03_seasonal_factors", _INTERPOLATED + """
-select date, cast(year(date) as bigint) as year, round(scope1, 6) as scope1, round(scope2_market * f, 6) as scope2_market, round(scope3, 6) as scope3 from mo""",
-       digits=dict.fromkeys(SPREAD, 6))
+select date, cast(year(date) as bigint) as year, scope1, scope2_market * f as scope2_market, scope3 from mo""")
 def g03(b: Bound):
     return G.seasonal(_months(b))
 
@@ -250,8 +248,7 @@ def _allocated(b: Bound, noise: float) -> DataFrame:
 ty as (select facility_type, count(*) as n from facilities group by 1),
 al as (select f.facility_id, f.region, date, case f.facility_type when 'Data Center' then 0.85::double when 'Office' then 0.10::double else 0.05::double end / n as fr, scope1, scope2_market * m.f as s2, scope3
        from facilities f join ty on ty.facility_type = f.facility_type, mo m)
-select facility_id, date, round(scope1 * fr, 6) as scope1, round(s2 * fr, 6) as scope2_market, round(scope3 * fr, 6) as scope3 from al""",
-       digits=dict.fromkeys(SPREAD, 6))
+select facility_id, date, scope1 * fr as scope1, s2 * fr as scope2_market, scope3 * fr as scope3 from al""")
 def g04(b: Bound):
     return _allocated(b, 0.0).select("facility_id", "date", *SPREAD)
 

@@ -79,7 +79,7 @@ def derive_operations(
     """
     base = annual.filter(F.col("year") == L.REFERENCE_YEAR).select(F.col("water").alias("_base_water"))
     levels = annual.select("year", F.col("water").alias("_year_water")).crossJoin(base)
-    df = records.join(F.broadcast(sites), "facility_id", "left").join(F.broadcast(levels), "year")
+    df = records.join(sites, "facility_id", "left").join(F.broadcast(levels), "year")
     df = lookup(df, regions, "region", "cfe_share", L.REGION_DEFAULTS["cfe_share"])
     metered = (F.col("facility_type") == "Data Center") & F.col("water_2024").isNotNull()
     scaled = F.col("water_2024") / 12 * F.col("_year_water") / F.col("_base_water") * (

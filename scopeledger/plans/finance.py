@@ -289,7 +289,7 @@ def _select_by_rounds(feasible: DataFrame, ids: Sequence[str]) -> DataFrame:
         spent = fits.groupBy(*ids).agg(F.sum("capital_musd").alias("_spent"))
         rest = null_safe_join(beyond, spent, ids).withColumn("_left", F.col("_left") - F.col("_spent"))
         picked = settle(fits.select(*ids, *ITEM))
-        taken = picked if taken is None else taken.unionByName(picked)
+        taken = picked if taken is None else settle(taken.unionByName(picked))
         open_items = settle(rest.filter(F.col("capital_musd") <= F.col("_left")).select(*feasible.columns, "_left"))
     return taken if taken is not None else feasible.select(*ids, *ITEM)
 
