@@ -29,7 +29,7 @@ def text_of(column: str = "text") -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, BLANK_RUN), lambda w: w != "")
+    return F.array_remove(F.split(text, BLANK_RUN), "")
 
 
 def without_blanks(text: Column) -> Column:
@@ -64,7 +64,8 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[tuple[str, str]],
     for left, right in on:
         equal = big[left].eqNullSafe(small[right])
         condition = equal if condition is None else condition & equal
-    return big.join(small, condition, how).drop(*[small[right] for _, right in on])
+    joined = big.join(small, condition, how)
+    return joined if how in ("left_anti", "left_semi") else joined.drop(*[small[right] for _, right in on])
 
 
 def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:

@@ -15,15 +15,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scopeledger.llm.common import BLANK_RUN, join_small, number_rows, stage, text_of
+from scopeledger.llm.common import BLANK_RUN, BLANKS, join_small, number_rows, stage, text_of
 
-#: Bits of the hash decided at each step of the search; three steps leave one bucket in a billion.
+#: Bits of the hash decided at each step of the search; two steps leave one bucket in a million.
 STEP_BITS = 10
-STEPS = 3
+STEPS = 2
+#: Single documents added one after the other to fill a source up, as long as it is this share short of its target.
+FILL_ROUNDS = 4
+NEAR = 0.005
 
 
 def count_words(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, BLANK_RUN), lambda w: w != "")).cast("long")
+    trimmed = F.btrim(text, F.lit(BLANKS))
+    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, BLANK_RUN))).cast("long")
 
 
 def water_fill(sources: DataFrame, size: str, weight: str, cap_epochs: float, share: float = 1.0) -> DataFrame:
@@ -63,8 +67,9 @@ def sample_epochs(docs: DataFrame, row: str, source: str, size: str, seed: int)
     """Add ``copies`` to documents that carry their source's ``target`` and ``source_size``.
 
     ``whole`` repetitions go to each document. The rest of the target is filled
-    in seeded hash order as long as documents fit; of the later ones that single
-    document is added which brings the sum nearest to the target.
+    in seeded hash order as long as documents fit; then of the later ones that
+    single document is added which brings the sum nearest to the target, a few
+    times over where documents are large against it.
     """
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # a target within a millionth of a whole number of epochs has no fraction
@@ -98,20 +103,34 @@ def sample_epochs(docs: DataFrame, row: str, source: str, size: str, seed: int)
     chosen.append(last.where("_run <= rest").select(row))
     filled = last.where("_run <= rest").groupBy(source).agg(F.max("_run").alias("_filled"))
     left_over = last.where("_run > rest").select(row, source, size, "rest", F.col("_before").alias("_cut_at"))
-    tail = later.unionByName(left_over)
+    tail = stage(later.unionByName(left_over), "later")
     # what is filled so far is a source's last _run, else the _before of its last bucket
     base = tail.groupBy(source).agg(F.max("_cut_at").alias("_cut_last"))
     base = base.join(filled.withColumnRenamed(source, "_fs"), base[source].eqNullSafe(F.col("_fs")), "left").select(
         F.col(source).alias("_bs"), F.greatest("_cut_last", F.coalesce("_filled", F.lit(0))).alias("_filled")
     )
     gap = F.abs(F.col("rest") - F.col("_filled") - F.col(size))
-    base = stage(base, "filled")
-    best = join_small(tail, base, [(source, "_bs")], "inner").where(gap < F.col("rest") - F.col("_filled")).groupBy(source).agg(
-        F.min_by(row, F.struct(gap.alias("gap"), F.col(row).alias("row"))).alias(row)
-    ).select(row)
-    extra = best
-    for part in chosen:
+    rests = tail.groupBy(source).agg(F.first("rest").alias("_rest"))
+    base = stage(rests.join(base, rests[source].eqNullSafe(base["_bs"])).select("_bs", "_rest", "_filled"), "filled")
+    extra = chosen[0]
+    for part in chosen[1:]:
         extra = extra.unionByName(part)
+    left = F.col("_rest") - F.col("_filled")
+    gap = F.abs(left - F.col(size))
+    for _ in range(FILL_ROUNDS):
+        nearest = join_small(tail.select(row, source, size), base, [(source, "_bs")], "inner").where(gap < left).groupBy(source).agg(
+            F.min_by(F.struct(row, size), F.struct(gap.alias("gap"), F.col(row).alias("row"))).alias("_pick")
+        )
+        picks = stage(nearest.select(F.col(source).alias("_ps"), F.col(f"_pick.{row}").alias(row), F.col(f"_pick.{size}").alias("_add")), "picks")
+        extra = extra.unionByName(picks.select(row))
+        base = stage(
+            join_small(base, picks.select("_ps", "_add"), [("_bs", "_ps")]).select(
+                "_bs", "_rest", (F.col("_filled") + F.coalesce("_add", F.lit(0))).alias("_filled")
+            ), "filled",
+        )
+        if picks.isEmpty() or base.where(left > NEAR * F.col("_rest")).isEmpty():
+            break
+        tail = join_small(tail, picks.select(F.col(row).alias("_picked")), [(row, "_picked")], "left_anti")
     extra = extra.distinct().withColumnRenamed(row, "_extra")
     return docs.join(extra, docs[row] == extra["_extra"], "left").withColumn(
         "copies", F.col("whole") + F.when(F.col("_extra").isNotNull(), 1).otherwise(0)

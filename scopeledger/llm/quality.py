@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scopeledger.llm.common import BLANKS, join_small, stage, text_of, without_blanks, words_of
+from scopeledger.llm.common import BLANKS, join_small, stage, text_of, words_of
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
@@ -33,35 +33,39 @@ SYMBOLS = r"[#*$%&|<>]"
 #: Measure and its cutoffs from lenient to strict.
 RULES: dict[str, tuple[str, Sequence[float]]] = {
     "symbols": ("n_symbols / greatest(n_words, 1)", (2.0, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05)),
-    "capitals": ("n_capitals / greatest(word_chars, 1)", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1)),
     "bangs": ("n_bangs / greatest(n_words, 1)", (2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05)),
-    "sameness": ("1 - n_different / greatest(n_words, 1)", (0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5)),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.02)),
+    "lines": ("n_dup_lines / greatest(n_lines, 1)", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)),
 }
 
 
 def measure(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Add ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals, n_bangs, n_different``.
+    """Add ``n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_bangs``.
 
     A null text has none of anything. Columns of these names are replaced.
+    ``window`` is a power of two times four.
     """
     t = text_of(text)
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
-    added = {
-        "_words": words_of(t), "word_chars": F.length(without_blanks(t)).cast("long"),
+    df = docs.withColumns({
+        "_words": words_of(t),
         "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long"),
-        "n_capitals": (F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}", ""))).cast("long"),
         "n_bangs": (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("long"),
         "_lines": lines,
-    }
-    df = docs.withColumns(added)
-    n = F.size("_words")
-    starts = F.when(n >= window, F.sequence(F.lit(1), n - (window - 1))).otherwise(F.array().cast("array<int>"))
+    })
+    # hashes of windows of four words, then of twice as many, up to the window
+    four = F.transform("_words", lambda w, i: F.xxhash64(w, *[F.get("_words", i + k) for k in (1, 2, 3)]))
     df = df.withColumns({
-        "n_words": n.cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_different": F.size(F.array_distinct("_words")).cast("long"),
-        "_windows": F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, window))),
+        "n_words": F.size("_words").cast("long"), "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_lines": F.size("_lines").cast("long"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "_hashes": four,
     })
+    reach = 4
+    while reach < window:
+        step = reach
+        df = df.withColumn("_hashes", F.transform("_hashes", lambda h, i: F.xxhash64(h, F.get("_hashes", i + step))))
+        reach *= 2
+    df = df.withColumn("_windows", F.slice("_hashes", F.lit(1), F.greatest(F.size("_hashes") - (window - 1), F.lit(0))))
     # windows sorted with their places, only where some window comes twice
     placed = F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     repeats = F.size("_windows") > F.size(F.array_distinct("_windows"))
@@ -76,7 +80,7 @@ def measure(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
         F.lit(0), lambda total, x: total + x,
     )
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop(
-        "_words", "_lines", "_windows", "_sorted", "_places"
+        "_words", "_lines", "_hashes", "_windows", "_sorted", "_places"
     )
 
 

@@ -25,37 +25,81 @@ from scopeledger.llm.common import ship, text_of
 ship(__name__)
 
 FEATURES = 1 << 18
-#: Leading characters of a word that are a feature of their own.
-STEMS = (4, 5)
+#: Leading bytes of a word that are a feature of their own.
+STEMS = (4, 5, 6)
 SAMPLE = {"positive": 3000, "unlabelled": 9000}
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Bytes of a word besides letters: they end a word.
-OTHER = bytes(c for c in range(128) if not chr(c).isalnum())
-SPACED = bytes.maketrans(OTHER, b" " * len(OTHER))
-
-
-def features(text: bytes) -> np.ndarray:
-    """Sorted different feature numbers of a text: its words and their first characters, letters in lower case."""
-    import zlib
-
-    words = set(text.translate(LOWER).translate(SPACED).split())
-    found = set()
-    for word in words:
-        found.add(zlib.crc32(word))
-        if len(word) > STEMS[0]:
-            letters = word.decode("utf-8", "replace")
-            for n in STEMS:
-                if len(letters) > n:
-                    found.add(zlib.crc32(b"^" + letters[:n].encode()))
-    if not found:
-        return np.empty(0, np.int32)
-    return np.unique(np.fromiter(found, np.int64, len(found)) % FEATURES).astype(np.int32)
+#: Bytes as letters: A-Z in lower case, what is neither letter nor digit is a blank.
+LETTERS = np.frombuffer(
+    bytes((c + 32 if 65 <= c <= 90 else c) if c > 127 or chr(c).isalnum() else 32 for c in range(256)), np.uint8
+)
+ODD, BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+CHUNK = 4 << 20
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``text, feature``: numbers of the words and word beginnings of joined texts, repeats included.
+
+    A word's number is that of its bytes weighed by powers of an odd number, a
+    beginning's that of its bytes in a row.
+    """
+    data = np.concatenate((LETTERS[data], np.full(8, 32, np.uint8)))
+    letter = data != 32
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    inner = offsets[1:-1][offsets[1:-1] < len(data)]
+    first[inner] = letter[inner]  # a text's first letter begins a word, whatever ends the text before
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    last = letter.copy()
+    last[:-1] &= ~letter[1:] | first[1:]
+    ends = np.flatnonzero(last) + 1
+    power = np.empty(len(data), np.uint64)
+    power[0] = 1
+    power[1:] = np.uint64(ODD)
+    power = np.cumprod(power)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power)))
+    back = np.empty(len(data), np.uint64)
+    back[0] = 1
+    back[1:] = np.uint64(BACK)
+    number = (total[ends] - total[starts]) * np.cumprod(back)[starts]
+    owner = np.searchsorted(offsets, starts, "right") - 1
+    texts, found = [owner], [number]
+    stem, size = np.zeros(len(starts), np.uint64), ends - starts
+    for k in range(STEMS[-1]):
+        stem = stem << np.uint64(8) | data[starts + np.minimum(k, size - 1)].astype(np.uint64)
+        if k + 1 in STEMS:
+            long_ = size > k + 1
+            texts.append(owner[long_])
+            found.append(stem[long_] * np.uint64(BACK) + np.uint64(k))
+    numbers = np.concatenate(found)
+    numbers ^= numbers >> np.uint64(31)
+    numbers *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.concatenate(texts), (numbers >> np.uint64(64 - FEATURES.bit_length() + 1)).astype(np.int64)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``from, to, bytes, offsets`` of the second, binary column, some megabytes at a time."""
+    array = batch.column(1)
+    offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset:array.offset + len(array) + 1].astype(np.int64)
+    data = np.frombuffer(array.buffers()[2], np.uint8) if array.buffers()[2] is not None else np.empty(0, np.uint8)
+    at = 0
+    while at < len(array):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        yield at, to, data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at]
+        at = to
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = [features(t.as_py()).tolist() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["positive", "features"])
+        for at, to, data, offsets in _parts(batch):
+            texts, numbers = features(data, offsets)
+            keys = np.unique(texts * FEATURES + numbers)
+            counts = np.bincount(keys // FEATURES, minlength=to - at)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array((keys % FEATURES).astype(np.int32))
+            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), lists], ["positive", "features"])
 
 
 class Sparse:
@@ -66,6 +110,13 @@ class Sparse:
         self.flat = np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.empty(0, np.int32)
         self.rows = np.repeat(np.arange(len(rows)), self.sizes)
 
+    def keep(self, used: np.ndarray) -> None:
+        """Leave only the features of ``used``, numbered by their place in it."""
+        place = np.full(FEATURES, -1)
+        place[used] = np.arange(len(used))
+        mapped = place[self.flat]
+        self.flat, self.rows = mapped[mapped >= 0], self.rows[mapped >= 0]
+
     def dot(self, weight: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, weight[self.flat], len(self.sizes))
 
@@ -95,8 +146,12 @@ def fit(positive: list, unlabelled: list, prior: float, rounds: int = 150, rate:
     scale[(np.bincount(p.flat, minlength=FEATURES) < 3) & (scale > 0)] = 0.0  # too rare to tell
     scale[np.abs(scale) < 1.0] = 0.0
     used = np.flatnonzero(scale)
-    weight, moment, square = np.full(FEATURES, 0.0), np.zeros(FEATURES), np.zeros(FEATURES)
-    weight[used] = 0.1
+    if not len(used):
+        return np.zeros(FEATURES), bias
+    p.keep(used)
+    u.keep(used)
+    scale, width = scale[used], len(used)
+    weight, moment, square = np.full(width, 0.1), np.zeros(width), np.zeros(width)
     b, mb, sb = bias, 0.0, 0.0
     for t in range(1, rounds + 1):
         w = weight * scale
@@ -110,14 +165,16 @@ def fit(positive: list, unlabelled: list, prior: float, rounds: int = 150, rate:
             slope_u = su / len(su)
         else:
             slope_p, slope_u = prior * sp / len(sp), -su / len(su)
-        grad = (p.back(slope_p, FEATURES) + u.back(slope_u, FEATURES)) * scale + decay * weight / len(used)
+        grad = (p.back(slope_p, width) + u.back(slope_u, width)) * scale + decay * weight / width
         gb = slope_p.sum() + slope_u.sum()
         moment, square = 0.9 * moment + 0.1 * grad, 0.999 * square + 0.001 * grad ** 2
         mb, sb = 0.9 * mb + 0.1 * gb, 0.999 * sb + 0.001 * gb ** 2
         c1, c2 = 1 - 0.9 ** t, 1 - 0.999 ** t
         weight -= rate * (moment / c1) / (np.sqrt(square / c2) + 1e-8)
         b -= rate * (mb / c1) / (np.sqrt(sb / c2) + 1e-8)
-    return weight * scale, b
+    whole = np.zeros(FEATURES)
+    whole[used] = weight * scale
+    return whole, b
 
 
 def estimate_prior(labels: DataFrame, label: str, pseudo: float = 1.0) -> float:
@@ -163,8 +220,13 @@ def score_texts(
     def run(batches):
         w, b = model.value
         for batch in batches:
-            raw = np.array([w[features(t.as_py())].sum(dtype=np.float64) + b for t in batch.column(1)])
-            score = sigmoid(raw)
+            raw = [np.empty(0)]
+            for at, to, data, offsets in _parts(batch):
+                texts, numbers = features(data, offsets)
+                known = w[numbers] != 0
+                keys = np.unique(texts[known] * FEATURES + numbers[known])
+                raw.append(np.bincount(keys // FEATURES, w[keys % FEATURES], to - at) + b)
+            score = sigmoid(np.concatenate(raw))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["_id", "score", "predicted"]
             )
