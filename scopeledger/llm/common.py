@@ -78,3 +78,8 @@ def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
         used.add(name.lower())
         found.append(name)
     return tuple(found)
+
+
+def join_rows(df: DataFrame, chosen: DataFrame, row: str, how: str) -> DataFrame:
+    """Join whole rows with a choice of row numbers, which grows with the rows: always shuffled and merged, at every size alike."""
+    return df.join(chosen.hint("merge"), row, how)

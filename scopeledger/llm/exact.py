@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scopeledger.llm.common import number_rows, stage, text_of, without_blanks
+from scopeledger.llm.common import join_rows, number_rows, stage, text_of, without_blanks
 
 SALTS = 16
 
@@ -89,4 +89,4 @@ def drop_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     found = Groups(plain, at[doc_id], at[text], kw.get("content", without_blanks), kw.get("digest", sha256_bytes))
     stays = found.groups.select(F.col("keep_row").alias("_row"))
-    return found.numbered.join(stays, "_row", "left_semi").select(*[F.col(at[c]).alias(c) for c in docs.columns])
+    return join_rows(found.numbered, stays, "_row", "left_semi").select(*[F.col(at[c]).alias(c) for c in docs.columns])

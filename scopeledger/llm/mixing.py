@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scopeledger.llm.common import BLANK_RUN, BLANKS, join_small, number_rows, stage, text_of
+from scopeledger.llm.common import BLANK_RUN, BLANKS, join_rows, join_small, number_rows, stage, text_of
 
 #: Bits of the hash decided at each step of the search; two steps leave one bucket in a million.
 STEP_BITS = 10
@@ -174,5 +174,5 @@ def mix(
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.select(*[F.col(c).alias(n) for c, n in at.items()])
     planned = _planned(plain, at[source], at[text], weights, cap_epochs, seed, []).where("copies > 0").select("_row", "copies")
-    joined = number_rows(plain, "_row").join(planned, "_row")
+    joined = join_rows(number_rows(plain, "_row"), planned, "_row", "inner")
     return joined.select(*[F.col(n).alias(c) for c, n in at.items()], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")

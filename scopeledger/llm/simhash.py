@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scopeledger.llm.common import number_rows, ship, stage, text_of
+from scopeledger.llm.common import join_rows, number_rows, ship, stage, text_of
 from scopeledger.llm.components import components
 
 ship(__name__)
@@ -221,5 +221,5 @@ def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     plain = docs.select(*[F.col(c).alias(n) for c, n in at.items()])
     members = _members(plain, at[doc_id], at[text], shingle, seed, bits, **kw)
     stays = members.where(F.col("_row") == F.col("keep_row")).select("_row")
-    kept = number_rows(plain, "_row").join(stays, "_row", "left_semi")
+    kept = join_rows(number_rows(plain, "_row"), stays, "_row", "left_semi")
     return kept.select(*[F.col(n).alias(c) for c, n in at.items()])
