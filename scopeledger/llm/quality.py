@@ -143,9 +143,10 @@ def cutoffs(
     ).groupBy("stratum", "p.rule", "p.level").agg(
         F.count_if(F.col("good") == 1).alias("n_good"), F.count_if(F.col("good") == 0).alias("n_bad")
     )
+    # a level is how many cutoffs a value exceeds, the strictest first; a cutoff rejects its own level and those above
     # every cutoff of every stratum, also where no value lies between two
     grid = F.array(*[
-        F.struct(F.lit(name).alias("rule"), F.lit(i + 1).alias("level"), F.lit(float(c)).alias("cutoff"))
+        F.struct(F.lit(name).alias("rule"), F.lit(len(cs) - i).alias("level"), F.lit(float(c)).alias("cutoff"))
         for name, (_, cs) in rules.items() for i, c in enumerate(cs)
     ])
     strata = counts.select("stratum").distinct()
@@ -156,19 +157,19 @@ def cutoffs(
         counts.select("stratum", "rule", "level", F.lit(None).cast("double").alias("cutoff"), "n_good", "n_bad")
     ).groupBy("stratum", "rule", "level").agg(F.max("cutoff").alias("cutoff"), F.sum("n_good").alias("n_good"), F.sum("n_bad").alias("n_bad"))
     own = W.partitionBy("stratum", "rule")
-    stricter = own.orderBy(F.col("level").desc()).rowsBetween(W.unboundedPreceding, 0)
+    rejected = own.orderBy(F.col("level").desc()).rowsBetween(W.unboundedPreceding, 0)
     tests = strata.agg(F.count(F.lit(1)).alias("_strata"))
     tallied = tallied.select(
         "stratum", "rule", "level", "cutoff", F.sum("n_good").over(own).alias("good"), F.sum("n_bad").over(own).alias("bad"),
-        F.sum("n_good").over(stricter).alias("false_rejected"), F.sum("n_bad").over(stricter).alias("bad_rejected"),
+        F.sum("n_good").over(rejected).alias("false_rejected"), F.sum("n_bad").over(rejected).alias("bad_rejected"),
     ).where("level > 0").crossJoin(F.broadcast(tests))  # one row
     tallied = tallied.withColumn("p_value", binomial_tail(F.col("false_rejected"), F.col("good"), alpha))
     held = F.col("p_value") <= delta / (F.col("_strata") * len(rules))
-    so_far = own.orderBy("level").rowsBetween(W.unboundedPreceding, 0)
+    so_far = own.orderBy(F.col("level").desc()).rowsBetween(W.unboundedPreceding, 0)
     gain = F.coalesce(F.try_divide("bad_rejected", "bad"), F.lit(0.0)) - F.coalesce(F.try_divide("false_rejected", "good"), F.lit(0.0))
     best = tallied.withColumn("_holds", F.min(held.cast("int")).over(so_far)).where("_holds = 1").withColumn("_gain", gain).where("_gain > 0")
     pick = F.max_by(
-        F.struct("cutoff", "good", "false_rejected", "bad_rejected", "p_value"), F.struct("_gain", (-F.col("level")).alias("lenient"))
+        F.struct("cutoff", "good", "false_rejected", "bad_rejected", "p_value"), F.struct("_gain", F.col("level").alias("lenient"))
     )
     return best.groupBy("stratum", "rule").agg(pick.alias("c")).select("stratum", "rule", "c.*")
 

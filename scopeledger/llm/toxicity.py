@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; other texts, whatever they are, are
-unlabelled. The risk of a classifier g with class prior p is estimated as
+Confirmed toxic texts are the positives. The unlabelled texts are a sample of
+all, whatever their labels, so that their share of toxic texts is the prior. The risk of a classifier g with class prior p is estimated as
 
     p * mean_P loss(g) + max(0, mean_U loss(-g) - p * mean_P loss(-g))
 
@@ -184,14 +184,15 @@ def estimate_prior(labels: DataFrame, label: str, pseudo: float = 1.0) -> float:
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, prior: float | None, sample: dict[str, int], seed: int):
-    """Model from confirmed positives and from all other rows, taken as unlabelled, in seeded hash order up to the bounds of ``sample``."""
+    """Model from confirmed positives and from all rows, taken as unlabelled, in seeded hash order up to the bounds of ``sample``."""
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_k")).agg(F.max(label).alias("_y"))
     p = estimate_prior(known, "_y") if prior is None else prior
     ids = docs.select(F.col(doc_id).alias("_d")).where("_d is not null").distinct()
-    marked = ids.join(known.where("_y = 1"), F.col("_d") == F.col("_k"), "left").select("_d", F.col("_k").isNotNull().alias("positive"))
     order = F.xxhash64(F.lit(seed), "_d")
+    positive = ids.join(known.where("_y = 1"), F.col("_d") == F.col("_k"), "left_semi")
     chosen = [
-        marked.where(F.col("positive") == which).orderBy(order, "_d").limit(sample[name]) for which, name in ((True, "positive"), (False, "unlabelled"))
+        of.orderBy(order, "_d").limit(sample[name]).withColumn("positive", F.lit(name == "positive"))
+        for of, name in ((positive, "positive"), (ids, "unlabelled"))
     ]
     # at most as many rows as the sample has
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))
