@@ -40,7 +40,8 @@ def keep_values(df: DataFrame, column: str, values: Sequence | None) -> DataFram
     wanted = df.sparkSession.createDataFrame(
         [(v,) for v in dict.fromkeys(values)], df.select(column).schema
     )
-    return df.join(wanted, column, "left_semi")
+    # a join on a named key would move it to the front
+    return df.join(wanted, df[column] == wanted[column], "left_semi")
 
 
 def apply_filters(

@@ -217,3 +217,11 @@ def test_matrix_and_unpivot(spark):
     wide = spark.createDataFrame([(1, 2.0, 3)], "id INT, p DOUBLE, q INT")
     got = Rs.unpivot_report(wide, ["id"], {"p": "P", "q": "Q"}, "name", "value").collect()
     assert sorted((r["name"], r["value"]) for r in got) == [("P", 2.0), ("Q", 3.0)]
+
+
+def test_long_list_keeps_columns_and_rows(spark):
+    from scopeledger.operators.filters import keep_values
+
+    df = spark.createDataFrame([("EU", 1), ("US", 250), ("US", None), ("EU", 900)], "region string, facility_id long")
+    short, long_ = keep_values(df, "facility_id", [1, 250]), keep_values(df, "facility_id", [1, 250, *range(1000, 1300)])
+    assert short.schema == long_.schema and sorted(short.collect()) == sorted(long_.collect())
