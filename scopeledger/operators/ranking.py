@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scopeledger.functions.scalars import as_col, safe_div
 from scopeledger.operators.joins import null_safe_join
@@ -21,6 +22,8 @@ from scopeledger.session import settle
 
 #: Rows one task may order; beyond it the ranged path is taken.
 SINGLE_TASK_ROWS = 200_000
+#: Type in which floating amounts are added, exactly and in any order.
+FLOATING_SUM = "decimal(38,18)"
 
 
 def ntile_of(row_no: Column, rows: Column, tiles: int) -> Column:
@@ -44,9 +47,21 @@ def with_order_stats(
     """Add ``row_no``, ``rank``, ``running``, ``total`` and ``rows`` per group ``p``.
 
     Order is ``value`` (NULL last) and then ``tie``, which must make it total.
-    ``running`` and ``total`` sum ``amount``, by default the value itself.
+    ``running`` and ``total`` sum ``amount``, by default the value itself, and
+    have the type of its sum. Floating amounts are added as decimals with 18
+    places (magnitudes up to 1e19), so the split into ranges cannot show.
     """
-    p, tie, amount = list(p), list(tie), amount or value
+    p, tie, name = list(p), list(tie), amount or value
+    floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    amount = F.col(name).cast(FLOATING_SUM) if floating else F.col(name)
+    sum_type = df.select(F.sum(name)).schema[0].dataType
+    stats = _with_order_stats(df, value, tie, asc, p, amount, single_task_rows)
+    return stats.withColumns({c: F.col(c).cast(sum_type) for c in ("running", "total")})
+
+
+def _with_order_stats(
+    df: DataFrame, value: str, tie: list[str], asc: bool, p: list[str], amount: Column, single_task_rows: int
+) -> DataFrame:
     base = settle(df)
     rows = base.count()
     by_value = F.col(value).asc_nulls_last() if asc else F.col(value).desc_nulls_last()
@@ -55,7 +70,7 @@ def with_order_stats(
     return _ranged(base, value, by_value, tie, p, amount, -(-rows // single_task_rows))
 
 
-def _one_window(base: DataFrame, value: str, by_value: Column, tie: list[str], p: list[str], amount: str) -> DataFrame:
+def _one_window(base: DataFrame, value: str, by_value: Column, tie: list[str], p: list[str], amount: Column) -> DataFrame:
     ordered = W.partitionBy(*p).orderBy(by_value, *tie)
     whole = W.partitionBy(*p)
     return (
@@ -68,7 +83,7 @@ def _one_window(base: DataFrame, value: str, by_value: Column, tie: list[str], p
 
 
 def _ranged(
-    base: DataFrame, value: str, by_value: Column, tie: list[str], p: list[str], amount: str, ranges: int
+    base: DataFrame, value: str, by_value: Column, tie: list[str], p: list[str], amount: Column, ranges: int
 ) -> DataFrame:
     keys = [F.col(c) for c in p]
     parts = settle(
@@ -107,7 +122,11 @@ def _ranged(
     )
     joined = null_safe_join(local, shifts, slot)
     in_run = F.col("_run").isNotNull() & F.col(value).eqNullSafe(F.col("_first"))
-    carried_sum = F.coalesce(F.col("_sum_before") + F.col("_running"), F.col("_running"), F.col("_sum_before"))
+    # one digit less on both sides, or the sum of two widest decimals would lose a place
+    kind = joined.schema["_running"].dataType
+    narrow = T.DecimalType(min(kind.precision, 37), kind.scale) if isinstance(kind, T.DecimalType) else kind
+    before, here = F.col("_sum_before").cast(narrow), F.col("_running").cast(narrow)
+    carried_sum = F.coalesce(before + here, here, before)
     return (
         joined.withColumn("row_no", F.col("_before") + F.col("_row"))
         .withColumn("rank", F.when(in_run, F.col("_run")).otherwise(F.col("_before") + F.col("_rank")))

@@ -224,10 +224,25 @@ def macc(initiatives: DataFrame, p: Sequence[str] = ()) -> DataFrame:
     )
 
 
+#: Capital of an item, and sums of capital: decimals, so that an exact fit is one in any order of adding.
+CAPITAL = "decimal(28,9)"
+SPENT = "decimal(34,9)"
+LAST = 2**63 - 1
+
+
+def _beside(df: DataFrame, one_each: DataFrame, ids: Sequence[str], how: str = "inner") -> DataFrame:
+    """Rows with the one row of their portfolio; without ids there is one portfolio."""
+    return null_safe_join(df, one_each, ids, how) if ids else with_constant_row(df, one_each)
+
+
 def _feasible(candidates: DataFrame, portfolios: DataFrame, ids: Sequence[str]) -> DataFrame:
-    joined = candidates.join(portfolios, list(ids)) if ids else candidates.crossJoin(F.broadcast(portfolios))
-    return joined.filter(
-        (F.col("capital_musd") <= F.col("budget_musd")) & (F.col("cost_per_t") <= F.col("max_cost_per_t"))
+    if not ids:
+        portfolios = portfolios.agg(F.min("budget_musd").alias("budget_musd"), F.min("max_cost_per_t").alias("max_cost_per_t"))
+    exact = _beside(candidates, portfolios, ids).withColumns({
+        "_capital": F.greatest(F.col("capital_musd"), F.lit(0)).cast(CAPITAL), "_budget": F.col("budget_musd").cast(SPENT),
+    })
+    return exact.filter(
+        F.col("capital_musd").isNotNull() & (F.col("_capital") <= F.col("_budget")) & (F.col("cost_per_t") <= F.col("max_cost_per_t"))
     )
 
 
@@ -237,18 +252,23 @@ def select_portfolio(
     """Cheapest-first selection within a budget, skipping what no longer fits.
 
     ``portfolios`` holds ids, budget_musd and max_cost_per_t; ``candidates`` the
-    same ids with the initiatives open to each. Portfolios of up to
+    same ids with the initiatives open to each. An item is taken if what is spent
+    so far and its capital are at most the budget, in exact decimals; a negative
+    capital counts as none. NULL is an id like any other; without ids there is
+    one portfolio, with the least budget and cost limit given. Portfolios of up to
     ``per_portfolio`` feasible items are folded as arrays, many at once; larger
-    ones are selected in rounds of distributed prefix sums, with the same result.
+    ones are selected in rounds of distributed prefix sums by the same rule.
     """
     ids = list(ids)
     feasible = settle(_feasible(candidates, portfolios, ids))
     sizes = feasible.groupBy(*ids).agg(F.count(F.lit(1)).alias("_items"))
-    large = settle(sizes.filter(F.col("_items") > per_portfolio).select(*ids))
+    large = settle(sizes.filter(F.col("_items") > per_portfolio).drop("_items") if ids else sizes.filter(F.col("_items") > per_portfolio))
     if large.isEmpty():
         return _select_by_fold(feasible, ids)
-    big_rows = feasible.join(large, ids, "left_semi")
-    small_rows = feasible.join(large, ids, "left_anti")
+    if not ids:
+        return _select_by_rounds(feasible, ids)
+    big_rows = null_safe_join(feasible, large, ids, "left_semi")
+    small_rows = null_safe_join(feasible, large, ids, "left_anti")
     return _select_by_fold(small_rows, ids).unionByName(_select_by_rounds(big_rows, ids))
 
 
@@ -256,42 +276,74 @@ ITEM = ["cost_per_t", "initiative", "reduction_kt", "capital_musd", "timeframe"]
 
 
 def _select_by_fold(feasible: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """One array per portfolio, walked in cost order with the budget left as state."""
-    item = F.struct(*ITEM)
+    """One array per portfolio, walked in cost order with the capital spent as state."""
+    item = F.struct(*ITEM, "_capital")
     lists = feasible.groupBy(*ids).agg(
-        F.array_sort(F.collect_list(item)).alias("items"), F.first("budget_musd").alias("budget")
+        F.array_sort(F.collect_list(item)).alias("items"), F.max("_budget").alias("budget")
+    )
+    taken_type = (
+        "array<struct<cost_per_t:double,initiative:string,reduction_kt:double,capital_musd:double,timeframe:string,"
+        f"_capital:{CAPITAL}>>"
     )
-    taken_type = "array<struct<cost_per_t:double,initiative:string,reduction_kt:double,capital_musd:double,timeframe:string>>"
-    start = F.struct(F.col("budget").alias("left"), F.array().cast(taken_type).alias("taken"))
+    start = F.struct(F.lit(0).cast(SPENT).alias("spent"), F.array().cast(taken_type).alias("taken"))
 
     def step(state: Column, x: Column) -> Column:
-        fits = x["capital_musd"] <= state["left"]
+        spent = (state["spent"] + x["_capital"]).cast(SPENT)
+        fits = spent <= F.col("budget")
         return F.struct(
-            F.when(fits, state["left"] - x["capital_musd"]).otherwise(state["left"]).alias("left"),
+            F.when(fits, spent).otherwise(state["spent"]).alias("spent"),
             F.when(fits, F.concat(state["taken"], F.array(x))).otherwise(state["taken"]).alias("taken"),
         )
 
     walked = lists.select(*ids, F.aggregate("items", start, step)["taken"].alias("taken"))
-    return walked.select(*ids, F.inline("taken"))
+    return walked.select(*ids, F.inline("taken")).select(*ids, *ITEM)
 
 
 def _select_by_rounds(feasible: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Each round takes the longest affordable prefix, then drops what exceeds the rest.
+    """Rounds that each halve what is left of the budget, so there are at most about a hundred.
 
-    The first remaining item always fits, so every round makes progress.
+    While at least half of it is left, every item under that half fits and is
+    taken. A round ends at the first item that brings the rest below the half:
+    such a small one, or a larger one that still fits. Items are numbered once;
+    a portfolio's rounds are kept as spans of numbers, one small row each.
     """
-    open_items = feasible.withColumn("_left", F.col("budget_musd"))
-    taken: DataFrame | None = None
-    while not open_items.isEmpty():
-        ordered = with_order_stats(open_items, "cost_per_t", ["initiative"], True, ids, amount="capital_musd")
-        fits = ordered.filter(F.col("running") <= F.col("_left"))
-        beyond = ordered.filter(F.col("running") > F.col("_left"))
-        spent = fits.groupBy(*ids).agg(F.sum("capital_musd").alias("_spent"))
-        rest = null_safe_join(beyond, spent, ids).withColumn("_left", F.col("_left") - F.col("_spent"))
-        picked = settle(fits.select(*ids, *ITEM))
-        taken = picked if taken is None else settle(taken.unionByName(picked))
-        open_items = settle(rest.filter(F.col("capital_musd") <= F.col("_left")).select(*feasible.columns, "_left"))
-    return taken if taken is not None else feasible.select(*ids, *ITEM)
+    ordered = settle(
+        with_order_stats(feasible, "cost_per_t", ITEM[1:], True, ids, amount="_capital").select(
+            *ids, *ITEM, "_capital", "_budget", F.col("row_no").alias("_pos")
+        )
+    )
+    no_span = F.array().cast(f"array<struct<after:bigint,upto:bigint,below:{SPENT},also:bigint>>")
+    open_ = ordered.groupBy(*ids).agg(F.max("_budget").alias("_left")).select(
+        *ids, "_left", F.lit(0).cast("long").alias("_after"), no_span.alias("_spans")
+    )
+    half = F.greatest((F.col("_left") / 2).cast(SPENT), F.lit("0.000000001").cast(SPENT))
+    small = F.col("_capital") < half
+    rest = (F.col("_left") - F.col("running").cast(SPENT)).cast(SPENT)
+    ends = (small & (F.col("_capital") > 0) & (rest < half)) | (~small & (F.col("_capital") <= rest))
+    left = F.when(small, rest).otherwise((rest - F.col("_capital")).cast(SPENT))
+    turn = F.struct("_pos", left.alias("left"), small.alias("small"))
+    span = F.struct(
+        F.col("_after").alias("after"), F.coalesce("_turn._pos", F.lit(LAST)).alias("upto"), half.alias("below"),
+        F.when(~F.col("_turn.small"), F.col("_turn._pos")).alias("also"),
+    )
+    finished: DataFrame | None = None
+    while not open_.isEmpty():
+        ahead = _beside(ordered, open_.drop("_spans"), ids).filter(F.col("_pos") > F.col("_after"))
+        steps = ahead.withColumn("_step", F.when(small, F.col("_capital")).otherwise(F.lit(0)).cast(CAPITAL))
+        steps = with_order_stats(steps, "_pos", [], True, ids, amount="_step")
+        turns = steps.groupBy(*ids).agg(F.min(F.when(ends, turn)).alias("_turn"))
+        walked = settle(_beside(open_, turns, ids, "left").withColumn("_spans", F.concat("_spans", F.array(span))))
+        done = walked.filter(F.col("_turn").isNull()).select(*ids, "_spans")
+        finished = done if finished is None else finished.unionByName(done)
+        open_ = walked.filter(F.col("_turn").isNotNull()).select(
+            *ids, F.col("_turn.left").alias("_left"), F.col("_turn._pos").alias("_after"), "_spans"
+        )
+    if finished is None:
+        return feasible.select(*ids, *ITEM)
+    inside = F.exists("_spans", lambda s: (F.col("_pos") > s["after"]) & (F.col("_pos") <= s["upto"]) & (
+        (F.col("_capital") < s["below"]) | F.col("_pos").eqNullSafe(s["also"])
+    ))
+    return _beside(ordered, finished, ids).filter(inside).select(*ids, *ITEM)
 
 
 def portfolio_summary(selected: DataFrame, ids: Sequence[str]) -> DataFrame:

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+from decimal import Decimal
+
 import pytest
 
 from conftest import by, month
@@ -49,6 +52,54 @@ def test_greedy_skips_what_does_not_fit(spark, per_portfolio):
     assert sorted(r["initiative"] for r in got.collect()) == ["i0", "i1", "i3", "i5"]
 
 
+ITEMS = "p STRING, initiative STRING, cost_per_t DOUBLE, reduction_kt DOUBLE, capital_musd DOUBLE, timeframe STRING"
+
+
+def greedy(items, budget):
+    """Names taken cheapest first while spent and capital together are at most the budget."""
+    spent, taken = Decimal(0), []
+    for it in sorted(items, key=lambda x: (x[2], x[1])):
+        if spent + Decimal(str(it[4])) <= Decimal(str(budget)):
+            spent += Decimal(str(it[4]))
+            taken.append(it[1])
+    return sorted(taken)
+
+
+@pytest.mark.parametrize("per_portfolio", [1000, 1])
+def test_fractional_exact_fits(spark, per_portfolio):
+    candidates = spark.createDataFrame([(None, "a", 1.0, 1.0, 0.9, "1 year"), (None, "b", 2.0, 1.0, 0.1, "1 year")], ITEMS)
+    got = R.select_portfolio(candidates, portfolios(spark, (None, 1.0, 100.0)), ["p"], per_portfolio)
+    assert sorted(r["initiative"] for r in got.collect()) == ["a", "b"]
+
+
+def test_both_ways_of_selecting_agree(spark):
+    rng = random.Random(5)
+    items = [
+        (p, f"i{n:03}", float(rng.randrange(12)), 1.0, rng.choice([0.0, 0.1, 0.3, 0.7, 1.1, 2.9, 9.9]), "1 year")
+        for p in ("x", "y", None) for n in range(40)
+    ] + [("z", f"i{n:03}", float(n), 1.0, 1.0 if n % 2 else 100.0 - n / 10, "1 year") for n in range(40)]
+    budgets = {"x": 5.5, "y": 30.3, None: 12.7, "z": 110.0}
+    plans = portfolios(spark, *[(p, b, 1000.0) for p, b in budgets.items()])
+    candidates = spark.createDataFrame(items, ITEMS)
+    folded = R.select_portfolio(candidates, plans, ["p"])
+    rounds = R.select_portfolio(candidates, plans, ["p"], 1)
+    assert folded.schema == rounds.schema
+    for df in (folded, rounds):
+        rows = df.collect()
+        for p, b in budgets.items():
+            assert sorted(r["initiative"] for r in rows if r["p"] == p) == greedy([i for i in items if i[0] == p], b)
+
+
+@pytest.mark.parametrize("per_portfolio", [1000, 1])
+def test_one_portfolio_without_ids(spark, per_portfolio):
+    items = [("p", f"i{n}", float(n), 1.0, cap, "1 year") for n, cap in enumerate([0.7, 0.2, 0.1, 0.05])]
+    candidates = spark.createDataFrame(items, ITEMS).drop("p")
+    plan = portfolios(spark, ("p", 1.0, 100.0)).drop("p")
+    got = R.select_portfolio(candidates, plan, [], per_portfolio)
+    assert sorted(r["initiative"] for r in got.collect()) == ["i0", "i1", "i2"]
+    assert R.select_portfolio(candidates.limit(0), plan, [], per_portfolio).count() == 0
+
+
 def test_abatement_by_year(spark, initiatives):
     selected = R.select_portfolio(offered(spark, initiatives, "x"), portfolios(spark, ("x", 100.0, 100.0)), ["p"])
     got = R.abatement_timeline(selected, ["p"]).orderBy("year").collect()
