@@ -92,27 +92,31 @@ def k05_monthly_trend(emissions: DataFrame) -> DataFrame:
     return Wn.moving_average(monthly, "total", "month", 2, strict=True, out="ma3")
 
 
-def _year_totals_by_site(emissions: DataFrame, year: int) -> DataFrame:
-    return in_year(emissions, year).groupBy("facility_id").agg(
-        F.sum(total_emissions()).alias("total_emissions"), F.sum("scope1_tonnes").alias("scope1_tonnes")
-    )
+def _by_site_in(emissions: DataFrame, year: int | None, *measures: Column) -> DataFrame:
+    """Measures by facility in a year, by default the latest with readings, found among the facility-year sums."""
+    if year is not None:
+        return in_year(emissions, year).groupBy("facility_id").agg(*measures)
+    sums = emissions.groupBy("facility_id", year_of("date").alias("_year")).agg(*measures)
+    last = sums.agg(F.max("_year").alias("_last"))
+    return with_constant_row(sums, last).filter(F.col("_year") == F.col("_last")).drop("_year", "_last")
 
 
 def k06_top_facilities(
-    emissions: DataFrame, facilities: DataFrame, year: int, measure: str = "total_emissions", k: int = 10
+    emissions: DataFrame, facilities: DataFrame, year: int | None = None, measure: str = "total_emissions", k: int = 10
 ) -> DataFrame:
-    """Largest facilities of a year by total (or scope 1) emissions."""
-    sums = _year_totals_by_site(emissions, year).select("facility_id", measure)
+    """Largest facilities of a year, by default the latest, by total (or scope 1) emissions."""
+    amount = total_emissions() if measure == "total_emissions" else F.col(measure)
+    sums = _by_site_in(emissions, year, F.sum(amount).alias(measure))
     named = enrich(sums, facilities.select("facility_id", "facility_name", "region"), "facility_id")
     return top_k(named, measure, ["facility_id"], k)
 
 
-def k07_regional(emissions: DataFrame, facilities: DataFrame, year: int) -> DataFrame:
-    """Scope totals by region; rows without a region are counted, not listed.
+def k07_regional(emissions: DataFrame, facilities: DataFrame, year: int | None = None) -> DataFrame:
+    """Scope totals by region in a year, by default the latest; rows without a region are counted, not listed.
 
     ``row_count`` counts facility-months, ``facility_count`` facilities.
     """
-    per_site = in_year(emissions, year).groupBy("facility_id").agg(*scope_sums(), F.count(F.lit(1)).alias("n"))
+    per_site = _by_site_in(emissions, year, *scope_sums(), F.count(F.lit(1)).alias("n"))
     placed = enrich(per_site, facilities.select("facility_id", "region"), "facility_id", "left")
     by_region = placed.groupBy("region").agg(
         *[F.sum(c).alias(c) for c in ("scope1", "scope2", "scope3", "total")],

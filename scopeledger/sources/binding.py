@@ -52,9 +52,19 @@ def _units() -> dict[str, Column]:
     }
 
 
+#: Bits of the lower part of amounts that are summed in two parts.
+LOW_BITS = 20
+
+
+def _wide_sum(units: Column) -> Column:
+    """Sum of whole numbers as DECIMAL; both parts stay whole-number sums, which cannot overflow at any size of data."""
+    high, low = F.sum(F.shiftright(units, LOW_BITS)), F.sum(units.bitwiseAND(F.lit(2**LOW_BITS - 1)))
+    return high.cast("decimal(20,0)") * F.lit(Decimal(2**LOW_BITS)) + low.cast("decimal(20,0)")
+
+
 def _scaled(units: Column, places: int, kind: str = AMOUNT) -> Column:
     """Integer count of 10^-places units as DECIMAL."""
-    return (units.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-places))).cast(kind)
+    return (units.cast("decimal(24,0)") * F.lit(Decimal(1).scaleb(-places))).cast(kind)
 
 
 def _micro_mean(total: Column, n: Column, per_unit: int) -> Column:
@@ -144,7 +154,9 @@ class Bound:
         site, _ = _cell()
         keys = ([site] if facility else []) + ([F.trunc("l_shipdate", unit).alias("date")] if unit else [])
         m = _units()
-        sums = self.lines(start, end).groupBy(*keys).agg(*[F.sum(m[c]).alias(c) for c in ("qty", "price", "net", "gross")])
+        sums = self.lines(start, end).groupBy(*keys).agg(
+            F.sum(m["qty"]).alias("qty"), *[_wide_sum(m[c]).alias(c) for c in ("price", "net", "gross")]
+        )
         return sums.select(
             *[c for c in sums.columns if c in ("facility_id", "date")],
             F.col("qty").cast(AMOUNT).alias("scope1_tonnes"),

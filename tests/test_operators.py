@@ -156,6 +156,17 @@ def test_both_paths_agree_with_hot_value_and_groups(spark):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
 
 
+@pytest.mark.parametrize("kind", ["double", "decimal(24,4)", "decimal(38,4)", "long"])
+def test_both_paths_agree_in_values_and_types(spark, kind):
+    rows = [(i, "a" if i % 3 else None, i * 0.1 + (i % 7) / 3 if i % 11 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "id INT, g STRING, d DOUBLE").select("id", "g", F.col("d").cast(kind).alias("v"))
+    for p in ([], ["g"]):
+        one = Rk.with_order_stats(df, "v", ["id"], True, p)
+        many = Rk.with_order_stats(df, "v", ["id"], True, p, single_task_rows=30)
+        assert one.schema == many.schema
+        assert sorted(one.collect(), key=lambda r: r["id"]) == sorted(many.collect(), key=lambda r: r["id"])
+
+
 @pytest.mark.parametrize("rows,tiles", [(10, 4), (3, 4), (8, 4), (1, 7), (100, 7)])
 def test_ntile_formula(spark, rows, tiles):
     from pyspark.sql import Window as W
