@@ -131,6 +131,8 @@ def _ranged(
         joined.withColumn("row_no", F.col("_before") + F.col("_row"))
         .withColumn("rank", F.when(in_run, F.col("_run")).otherwise(F.col("_before") + F.col("_rank")))
         .withColumn("running", carried_sum)
+        # never null, and declared so as in the plain window
+        .withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("row_no", "rank", "rows")})
         .select(*base.columns, "row_no", "rank", "running", "total", "rows")
     )
 
