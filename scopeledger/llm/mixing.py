@@ -63,9 +63,12 @@ def cyclic_weights(sources: DataFrame, source: str, weights: Sequence[float]) ->
     return sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), turn + 1))
 
 
-def sample_epochs(docs: DataFrame, row: str, source: str, size: str, seed: int) -> DataFrame:
+def sample_epochs(docs: DataFrame, row: str, source: str, size: str, order: str) -> DataFrame:
     """Add ``copies`` to documents that carry their source's ``target`` and ``source_size``.
 
+    ``order`` is a seeded, non-negative hash of a document. Row numbers only tell
+    rows of one hash apart, so the mix does not depend on how files are split.
+
     ``whole`` repetitions go to each document. The rest of the target is filled
     in seeded hash order as long as documents fit; then of the later ones that
     single document is added which brings the sum nearest to the target, a few
@@ -75,7 +78,7 @@ def sample_epochs(docs: DataFrame, row: str, source: str, size: str, seed: int)
     # a target within a millionth of a whole number of epochs has no fraction
     whole = F.floor(epochs + 1e-6)
     rest = F.col("target") - F.col("whole") * F.col("source_size")
-    docs = docs.withColumn("whole", whole).withColumn("rest", F.when(rest >= 0.5, rest).otherwise(0.0)).withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), row), 1))
+    docs = docs.withColumn("whole", whole).withColumn("rest", F.when(rest >= 0.5, rest).otherwise(0.0)).withColumn("_h", F.col(order))
     docs = stage(docs, "mix")
     open_ = docs.where("rest > 0").select(row, source, size, "rest", "_h")
     inside = open_.withColumn("_before", F.lit(0).cast("long"))
@@ -95,14 +98,14 @@ def sample_epochs(docs: DataFrame, row: str, source: str, size: str, seed: int)
         inside = join_small(inside.withColumn("_b", bucket), cut, [(source, "_source")])
         # sources without a cut in this bucket fit whole
         chosen.append(inside.where("_cut_b is null or _b < _cut_b").select(row))
-        after = inside.where("_b > _cut_b").select(row, source, size, "rest", "_cut_at")
+        after = inside.where("_b > _cut_b").select(row, source, size, "rest", "_h", "_cut_at")
         inside = inside.where("_b = _cut_b").withColumn("_before", F.col("_cut_at")).drop("_b", "_cut_b", "_cut_at")
         later = after if step == 1 else later.unionByName(after)
-    order = W.partitionBy(source).orderBy("_h", row).rowsBetween(W.unboundedPreceding, 0)
-    last = inside.withColumn("_run", F.col("_before") + F.sum(size).over(order))
+    in_turn = W.partitionBy(source).orderBy("_h", row).rowsBetween(W.unboundedPreceding, 0)
+    last = inside.withColumn("_run", F.col("_before") + F.sum(size).over(in_turn))
     chosen.append(last.where("_run <= rest").select(row))
     filled = last.where("_run <= rest").groupBy(source).agg(F.max("_run").alias("_filled"))
-    left_over = last.where("_run > rest").select(row, source, size, "rest", F.col("_before").alias("_cut_at"))
+    left_over = last.where("_run > rest").select(row, source, size, "rest", "_h", F.col("_before").alias("_cut_at"))
     tail = stage(later.unionByName(left_over), "later")
     # what is filled so far is a source's last _run, else the _before of its last bucket
     base = tail.groupBy(source).agg(F.max("_cut_at").alias("_cut_last"))
@@ -118,8 +121,8 @@ def sample_epochs(docs: DataFrame, row: str, source: str, size: str, seed: int)
     left = F.col("_rest") - F.col("_filled")
     gap = F.abs(left - F.col(size))
     for _ in range(FILL_ROUNDS):
-        nearest = join_small(tail.select(row, source, size), base, [(source, "_bs")], "inner").where(gap < left).groupBy(source).agg(
-            F.min_by(F.struct(row, size), F.struct(gap.alias("gap"), F.col(row).alias("row"))).alias("_pick")
+        nearest = join_small(tail.select(row, source, size, "_h"), base, [(source, "_bs")], "inner").where(gap < left).groupBy(source).agg(
+            F.min_by(F.struct(row, size), F.struct(gap.alias("gap"), F.col("_h").alias("order"), F.col(row).alias("row"))).alias("_pick")
         )
         picks = stage(nearest.select(F.col(source).alias("_ps"), F.col(f"_pick.{row}").alias(row), F.col(f"_pick.{size}").alias("_add")), "picks")
         extra = extra.unionByName(picks.select(row))
@@ -134,19 +137,22 @@ def sample_epochs(docs: DataFrame, row: str, source: str, size: str, seed: int)
     extra = extra.distinct().withColumnRenamed(row, "_extra")
     return docs.join(extra, docs[row] == extra["_extra"], "left").withColumn(
         "copies", F.col("whole") + F.when(F.col("_extra").isNotNull(), 1).otherwise(0)
-    ).drop("_extra", "_h", "whole", "rest")
+    ).drop("_extra", "_h", order, "whole", "rest")
 
 
-def _planned(docs: DataFrame, source: str, text: str, weights: Sequence[float], cap_epochs: float, seed: int, keep: list[str]) -> DataFrame:
+def _planned(
+    docs: DataFrame, source: str, text: str, weights: Sequence[float], cap_epochs: float, seed: int, doc_id: str, keep: list[str],
+) -> DataFrame:
     """``_row``, ``keep``, source, size, target and copies of each row."""
-    numbered = number_rows(docs.select(*keep, F.col(source).alias("_src"), F.col(text).alias("_text")), "_row")
-    sized = stage(numbered.select("_row", *keep, "_src", count_words(text_of("_text")).alias("_size")), "sizes")
+    numbered = number_rows(docs.select(*keep, F.col(source).alias("_src"), F.col(text).alias("_text"), F.col(doc_id).alias("_key")), "_row")
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_key", text_of("_text")), 1)
+    sized = stage(numbered.select("_row", *keep, "_src", count_words(text_of("_text")).alias("_size"), order.alias("_order")), "sizes")
     sources = stage(sized.groupBy("_src").agg(F.sum("_size").alias("source_size")), "sources")
     weighed = cyclic_weights(sources, "_src", weights)
     targets = stage(water_fill(weighed, "source_size", "weight", cap_epochs), "targets").select(
         F.col("_src").alias("_ts"), "source_size", "target"
     )
-    return sample_epochs(join_small(sized, targets, [("_src", "_ts")]), "_row", "_src", "_size", seed)
+    return sample_epochs(join_small(sized, targets, [("_src", "_ts")]), "_row", "_src", "_size", "_order")
 
 
 def mix_plan(
@@ -157,10 +163,11 @@ def mix_plan(
 
     Null sources are one source, the last in order; a null or blank text has
     size 0, and a source of size 0 has target 0. Repeated rows count apart. An
-    empty table gives no row; further columns are not looked at. The same files
-    and seed give the same mix.
+    empty table gives no row; further columns are not looked at. The same rows
+    and seed give the same mix, however files are split: documents are drawn in
+    the order of a hash of seed, id and text.
     """
-    planned = _planned(docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_s"), F.col(text).alias("_t")), "_s", "_t", weights, cap_epochs, seed, ["_id"])
+    planned = _planned(docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_s"), F.col(text).alias("_t")), "_s", "_t", weights, cap_epochs, seed, "_id", ["_id"])
     return planned.select(
         F.col("_id").alias(doc_id), F.col("_size").alias("size"), "source_size", "target",
         (F.col("_size") * F.col("copies")).alias("taken"), "copies",
@@ -169,10 +176,11 @@ def mix_plan(
 
 def mix(
     docs: DataFrame, weights: Sequence[float], cap_epochs: float = 3.0, seed: int = 42, source: str = "source", text: str = "text",
+    doc_id: str = "doc_id",
 ) -> DataFrame:
     """The mixed rows themselves: each row of ``docs`` as often as :func:`mix_plan` says, with its columns."""
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.select(*[F.col(c).alias(n) for c, n in at.items()])
-    planned = _planned(plain, at[source], at[text], weights, cap_epochs, seed, []).where("copies > 0").select("_row", "copies")
+    planned = _planned(plain, at[source], at[text], weights, cap_epochs, seed, at[doc_id], []).where("copies > 0").select("_row", "copies")
     joined = join_rows(number_rows(plain, "_row"), planned, "_row", "inner")
     return joined.select(*[F.col(n).alias(c) for c, n in at.items()], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")

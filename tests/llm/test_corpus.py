@@ -224,6 +224,8 @@ def test_mix_reaches_targets(spark, docs, empty):
     again = mixing.mix_plan(frame, (5, 2, 1)).toPandas().sort_values("doc_id").taken.tolist()
     assert again == got.sort_values("doc_id").taken.tolist()
     assert mixing.mix_plan(docs, (5, 2, 1)).count() == docs.count() and mixing.mix_plan(empty, (5, 2, 1)).count() == 0
+    split = stage(frame.repartition(7, "text"), "mix-split")  # other files and order, same rows
+    assert mixing.mix_plan(split, (5, 2, 1)).toPandas().sort_values("doc_id").taken.tolist() == again
     mixed = mixing.mix(frame, (5, 2, 1))
     assert mixed.columns == frame.columns and mixed.count() == got.copies.sum()
 
