@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scopeledger.session import ensure_checkpoint_dir
@@ -15,6 +15,8 @@ from scopeledger.session import ensure_checkpoint_dir
 #: White space of the corpus: blank and the control characters 9 to 13.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
+#: Setting of the least number of splits of a scan; without it splits depend on the executors alive.
+MIN_SPLITS = "spark.sql.files.minPartitionNum"
 #: Rows a side may have to be broadcast; they are counted first.
 BROADCAST_ROWS = 100_000
 
@@ -38,12 +40,20 @@ def without_blanks(text: Column) -> Column:
     return text
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Fix for the session how files are split, as the default would follow the executors that are alive."""
+    if spark.conf.get(MIN_SPLITS, None) is None:
+        alive = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
+        spark.conf.set(MIN_SPLITS, str(alive))
+
+
 def number_rows(df: DataFrame, name: str) -> DataFrame:
     """Row numbers that are the same at every read of the same files.
 
     ``df`` must be a scan of files or rows staged with :func:`stage`, without a
     shuffle in between; other inputs are to be staged first.
     """
+    pin_splits(df.sparkSession)
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from scopeledger.llm import credentials, exact, mixing, packing, quality, simhash, suffixes, toxicity, urls, warc
-from scopeledger.llm.common import stage
+from scopeledger.llm.common import MIN_SPLITS, number_rows, stage
 from scopeledger.llm.components import components
 from scopeledger.llm.queries import tokenizer_paths
 
@@ -72,6 +72,24 @@ def test_exact_groups(docs, empty):
     assert exact.exact_groups(empty).count() == 0
 
 
+def test_row_numbers_outlive_lost_executors(spark, tmp_path):
+    parallelism = "spark.sql.leafNodeDefaultParallelism"  # what a scan asks for; by default it follows the live executors
+    spark.range(0, 400_000, 1, 1).selectExpr("id as doc_id", "sha2(cast(id as string), 256) as text").write.parquet(f"{tmp_path}/t")
+    spark.conf.unset(MIN_SPLITS)
+    try:
+        docs = spark.read.parquet(f"{tmp_path}/t")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        spark.conf.set(parallelism, "8")
+        at = lambda: {(r.doc_id, r._row) for r in number_rows(docs, "_row").where("doc_id % 1000 = 0").collect()}
+        kept = exact.drop_exact(docs)
+        before = at()
+        spark.conf.set(parallelism, "2")
+        assert at() == before and kept.count() == 400_000
+    finally:
+        for name in (parallelism, MIN_SPLITS, "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(name)
+
+
 def test_equal_digests_of_different_contents(docs):
     weak = lambda c: F.unhex(F.lpad(F.hex(F.length(c) % 3), 2, "0"))
     strong = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_groups(docs).collect()}
