@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from scopeledger.llm import credentials, exact, mixing, packing, quality, simhash, suffixes, toxicity, urls, warc
+from scopeledger.llm import credentials, exact, mixing, packing, quality, simhash, similar, suffixes, toxicity, urls, warc
 from scopeledger.llm.common import MIN_SPLITS, number_rows, stage
 from scopeledger.llm.components import components
 from scopeledger.llm.queries import tokenizer_paths
@@ -159,6 +159,54 @@ def test_near_groups(docs, empty):
     assert simhash.near_groups(empty).count() == 0 and simhash.drop_near(docs).columns == docs.columns
 
 
+def brute_similar(rows, at_least=0.8):
+    """Pairs of rows at or above a Jaccard similarity of five-word shingles, and how many rows stay."""
+    sets = []
+    for _, t in rows:
+        words = t.encode().translate(simhash.LOWER).split()
+        sets.append({tuple(words[i:i + 5]) for i in range(len(words) - 4)} or {tuple(words)})
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= at_least * len(sets[i] | sets[j]) - 1e-9]
+    root = list(range(len(sets)))
+    for i, j in pairs:
+        old, new = root[i], root[j]
+        root = [new if r == old else r for r in root]
+    return pairs, len(set(root))
+
+
+def test_near_copies_of_five_words_go(spark, docs, empty):
+    """Copies with changed words, most of them far beyond two bits of the fingerprint, also in chains and in a large group."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(40):
+        words = rng.choices(vocabulary, k=rng.randint(40, 160))
+        for _ in range(4 if g else 40):
+            rows.append((len(rows), " ".join(words)))
+            words = list(words)
+            for _ in range(rng.choice((1, 1, 2, 3))):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+    pairs, stay = brute_similar(rows)
+    frame = stage(spark.createDataFrame(rows, "doc_id long, text string"), "near-copies")
+    fps = [brute_fingerprint(t) for _, t in rows]
+    assert sum((fps[i] ^ fps[j]).bit_count() > 2 for i, j in pairs) > len(pairs) / 2
+    assert stay < len(rows) / 2
+    assert similar.drop_similar(frame).count() == stay
+    kept = similar.drop_similar(docs)
+    assert kept.columns == docs.columns and kept.count() == brute_similar(text_rows(docs))[1]
+    assert similar.drop_similar(empty).count() == 0
+
+
+def test_pipeline_drops_near_copies_at_the_stage(spark, tmp_path):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join(words[:60] + ["x"] + words[61:140] + ["y"] + words[141:]), "something else"]
+    assert brute_similar(list(enumerate(texts)))[1] == 2
+    frame = stage(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "near-stage")
+    left = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, frame, str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [0, 2]
+
+
 @pytest.mark.parametrize("sweep", [4096, 4])
 def test_links_of_fingerprints(spark, sweep):
     rng = random.Random(1)
