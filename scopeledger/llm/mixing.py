@@ -11,17 +11,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scopeledger.llm.common import BLANK_RUN, BLANKS, join_rows, join_small, number_rows, stage, text_of
+from scopeledger.llm.common import BLANK_RUN, BLANKS, join_rows, join_small, number_rows, ship, stage, text_of
+
+ship(__name__)
 
 #: Bits of the hash decided at each step of the search; two steps leave one bucket in a million.
 STEP_BITS = 10
 STEPS = 2
-#: Single documents added one after the other to fill a source up, as long as it is this share short of its target.
-FILL_ROUNDS = 4
+#: Open rows that a source may have to be finished in one task.
+SMALL = 4096
+#: Share of the fraction that a source may be short or over before drawn documents make room for a larger one.
 NEAR = 0.005
 
 
@@ -63,78 +68,123 @@ def cyclic_weights(sources: DataFrame, source: str, weights: Sequence[float]) ->
     return sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), turn + 1))
 
 
-def sample_epochs(docs: DataFrame, row: str, source: str, size: str, order: str) -> DataFrame:
-    """Add ``copies`` to documents that carry their source's ``target`` and ``source_size``.
-
-    ``order`` is a seeded, non-negative hash of a document. Row numbers only tell
-    rows of one hash apart, so the mix does not depend on how files are split.
+def _draw(items: DataFrame, goals: DataFrame, row: str, source: str, size: str) -> DataFrame:
+    """Of the rows offered, those in the order of ``_h`` that fit whole before the first that does not.
 
-    ``whole`` repetitions go to each document. The rest of the target is filled
-    in seeded hash order as long as documents fit; then of the later ones that
-    single document is added which brings the sum nearest to the target, a few
-    times over where documents are large against it.
+    ``goals``: ``_gs, _goal`` by source. A radix search finds the cut: sums over
+    hash buckets, then over the buckets inside the cut one.
     """
-    epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    # a target within a millionth of a whole number of epochs has no fraction
-    whole = F.floor(epochs + 1e-6)
-    rest = F.col("target") - F.col("whole") * F.col("source_size")
-    docs = docs.withColumn("whole", whole).withColumn("rest", F.when(rest >= 0.5, rest).otherwise(0.0)).withColumn("_h", F.col(order))
-    docs = stage(docs, "mix")
-    open_ = docs.where("rest > 0").select(row, source, size, "rest", "_h")
-    inside = open_.withColumn("_before", F.lit(0).cast("long"))
-    chosen = []
+    inside = join_small(items.select(row, source, size, "_h"), goals.select("_gs", "_goal"), [(source, "_gs")], "inner")
+    inside = inside.withColumn("_before", F.lit(0).cast("long"))
+    chosen = None
     for step in range(1, STEPS + 1):
         bucket = F.shiftright("_h", 63 - STEP_BITS * step)
         sums = inside.withColumn("_b", bucket).groupBy(source, "_b").agg(
-            F.sum(size).alias("_sum"), F.first("rest").alias("rest"), F.first("_before").alias("_before")
+            F.sum(size).alias("_sum"), F.first("_goal").alias("_goal"), F.first("_before").alias("_before")
         )
         running = F.sum("_sum").over(W.partitionBy(source).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
         cut = sums.withColumn("_at", F.col("_before") + F.coalesce(running, F.lit(0))).where(
-            "_at <= rest and _at + _sum > rest"
+            "_at <= _goal and _at + _sum > _goal"
         ).groupBy(source).agg(F.min_by(F.struct("_b", "_at"), "_b").alias("_cut")).select(
             F.col(source).alias("_source"), F.col("_cut._b").alias("_cut_b"), F.col("_cut._at").alias("_cut_at")
         )
         cut = stage(cut, "cut")
         inside = join_small(inside.withColumn("_b", bucket), cut, [(source, "_source")])
-        # sources without a cut in this bucket fit whole
-        chosen.append(inside.where("_cut_b is null or _b < _cut_b").select(row))
-        after = inside.where("_b > _cut_b").select(row, source, size, "rest", "_h", "_cut_at")
+        # sources without a cut fit whole
+        fits = inside.where("_cut_b is null or _b < _cut_b").select(row, source, size, "_h")
+        chosen = fits if chosen is None else chosen.unionByName(fits)
         inside = inside.where("_b = _cut_b").withColumn("_before", F.col("_cut_at")).drop("_b", "_cut_b", "_cut_at")
-        later = after if step == 1 else later.unionByName(after)
     in_turn = W.partitionBy(source).orderBy("_h", row).rowsBetween(W.unboundedPreceding, 0)
-    last = inside.withColumn("_run", F.col("_before") + F.sum(size).over(in_turn))
-    chosen.append(last.where("_run <= rest").select(row))
-    filled = last.where("_run <= rest").groupBy(source).agg(F.max("_run").alias("_filled"))
-    left_over = last.where("_run > rest").select(row, source, size, "rest", "_h", F.col("_before").alias("_cut_at"))
-    tail = stage(later.unionByName(left_over), "later")
-    # what is filled so far is a source's last _run, else the _before of its last bucket
-    base = tail.groupBy(source).agg(F.max("_cut_at").alias("_cut_last"))
-    base = base.join(filled.withColumnRenamed(source, "_fs"), base[source].eqNullSafe(F.col("_fs")), "left").select(
-        F.col(source).alias("_bs"), F.greatest("_cut_last", F.coalesce("_filled", F.lit(0))).alias("_filled")
+    last = inside.withColumn("_run", F.col("_before") + F.sum(size).over(in_turn)).where("_run <= _goal")
+    return stage(chosen.unionByName(last.select(row, source, size, "_h")), "drawn")
+
+
+def _first_fit(rows: pa.Table) -> pa.Table:
+    """Rows of one source that fit, one after the other in the order of the hash."""
+    rows = rows.take(np.lexsort((rows.column(0).to_numpy(), rows.column(3).to_numpy())))
+    left, taken = rows.column(4)[0].as_py(), []
+    for i, n in enumerate(rows.column(2).to_pylist()):
+        if n <= left:
+            left -= n
+            taken.append(i)
+    return rows.take(pa.array(taken, pa.int64())).drop_columns([rows.column_names[4]])
+
+
+def _fill(items: DataFrame, goals: DataFrame, row: str, source: str, size: str) -> DataFrame:
+    """Rows of ``items`` that fill each source up to its ``_goal``, until none of the others fits.
+
+    A round draws in hash order among the rows that are no larger than what is
+    left. After the first it takes rows up to half of that, as long as there are
+    any: then it ends at a row that small or has taken all of them, so what is
+    left halves in two rounds at most. Once no source has more than ``SMALL``
+    rows open, each is gone through row by row.
+    """
+    drawn = None
+    open_ = join_small(items.select(row, source, size, "_h"), goals.select("_gs", "_goal"), [(source, "_gs")], "inner")
+    open_ = stage(open_.where(F.col(size) <= F.col("_goal")).drop("_goal"), "open")
+    while most := open_.groupBy(source).count().agg(F.max("count")).first()[0]:
+        if most <= SMALL:
+            ready = join_small(open_, goals.select("_gs", "_goal"), [(source, "_gs")], "inner").select(row, source, size, "_h", "_goal")
+            now = ready.groupBy(source).applyInArrow(_first_fit, open_.select(row, source, size, "_h").schema)
+            return now if drawn is None else drawn.unionByName(now)
+        offered = open_
+        if drawn is not None:
+            offered = join_small(open_, goals.select("_gs", "_goal", "_cap"), [(source, "_gs")], "inner").where(F.col(size) <= F.col("_cap"))
+        now = _draw(offered, goals, row, source, size)
+        drawn = now if drawn is None else drawn.unionByName(now)
+        added = now.groupBy(source).agg(F.sum(size).alias("_add")).withColumnRenamed(source, "_as")
+        goals = stage(join_small(goals.select("_gs", "_goal"), added, [("_gs", "_as")]).select(
+            "_gs", (F.col("_goal") - F.coalesce("_add", F.lit(0))).alias("_goal")), "left")
+        rest = join_small(open_, goals, [(source, "_gs")], "inner").where((F.col(size) > 0) & (F.col(size) <= F.col("_goal")))
+        open_ = stage(rest.drop("_goal").join(now.select(row), row, "left_anti"), "open")
+        least = open_.groupBy(source).agg(F.min(size).alias("_least")).withColumnRenamed(source, "_ls")
+        half = F.col("_goal") / 2
+        goals = stage(join_small(goals, least, [("_gs", "_ls")], "inner").withColumn(
+            "_cap", F.when(F.col("_least") <= half, half).otherwise(F.col("_goal"))).drop("_least"), "caps")
+    return open_.select(row, source, size, "_h") if drawn is None else drawn
+
+
+def sample_epochs(docs: DataFrame, row: str, source: str, size: str, order: str) -> DataFrame:
+    """Add ``copies`` to documents that carry their source's ``target`` and ``source_size``.
+
+    ``order`` is a seeded, non-negative hash of a document. Row numbers only tell
+    rows of one hash apart, so the mix does not depend on how files are split.
+
+    ``whole`` repetitions go to each document. The rest of the target is filled
+    in seeded hash order, passing over documents that do not fit, until none
+    fits. Then the smallest of the others is added if that brings the sum nearer
+    to the target. Where it would end over by more than ``NEAR`` of the rest,
+    drawn documents make room for it, the last in hash order first.
+    """
+    epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    # a target within a millionth of a whole number of epochs has no fraction
+    whole = F.floor(epochs + 1e-6)
+    rest = F.col("target") - F.col("whole") * F.col("source_size")
+    docs = docs.withColumn("whole", whole).withColumn("rest", F.when(rest >= 0.5, rest).otherwise(0.0)).withColumn("_h", F.col(order))
+    docs = stage(docs, "mix")
+    items = docs.where("rest > 0").select(row, source, size, "_h", "rest")
+    goals = stage(items.groupBy(source).agg(F.first("rest").alias("_goal")).withColumnRenamed(source, "_gs"), "goals")
+    drawn = stage(_fill(items, goals, row, source, size), "filled")
+
+    filled = drawn.groupBy(source).agg(F.sum(size).alias("_sum")).withColumnRenamed(source, "_fs")
+    state = join_small(goals, filled, [("_gs", "_fs")]).select(
+        "_gs", F.col("_goal").alias("_rest"), (F.col("_goal") - F.coalesce("_sum", F.lit(0))).alias("_left")
     )
-    gap = F.abs(F.col("rest") - F.col("_filled") - F.col(size))
-    rests = tail.groupBy(source).agg(F.first("rest").alias("_rest"))
-    base = stage(rests.join(base, rests[source].eqNullSafe(base["_bs"])).select("_bs", "_rest", "_filled"), "filled")
-    extra = chosen[0]
-    for part in chosen[1:]:
-        extra = extra.unionByName(part)
-    left = F.col("_rest") - F.col("_filled")
-    gap = F.abs(left - F.col(size))
-    for _ in range(FILL_ROUNDS):
-        nearest = join_small(tail.select(row, source, size, "_h"), base, [(source, "_bs")], "inner").where(gap < left).groupBy(source).agg(
-            F.min_by(F.struct(row, size), F.struct(gap.alias("gap"), F.col("_h").alias("order"), F.col(row).alias("row"))).alias("_pick")
-        )
-        picks = stage(nearest.select(F.col(source).alias("_ps"), F.col(f"_pick.{row}").alias(row), F.col(f"_pick.{size}").alias("_add")), "picks")
-        extra = extra.unionByName(picks.select(row))
-        base = stage(
-            join_small(base, picks.select("_ps", "_add"), [("_bs", "_ps")]).select(
-                "_bs", "_rest", (F.col("_filled") + F.coalesce("_add", F.lit(0))).alias("_filled")
-            ), "filled",
-        )
-        if picks.isEmpty() or base.where(left > NEAR * F.col("_rest")).isEmpty():
-            break
-        tail = join_small(tail, picks.select(F.col(row).alias("_picked")), [(row, "_picked")], "left_anti")
-    extra = extra.distinct().withColumnRenamed(row, "_extra")
+    others = items.where(F.col(size) > 0).join(drawn.select(row), row, "left_anti")
+    nearest = others.groupBy(source).agg(F.min_by(F.struct(row, size), F.struct(size, "_h", row)).alias("_pick"))
+    state = stage(join_small(state, nearest.withColumnRenamed(source, "_ns"), [("_gs", "_ns")], "inner").select(
+        "_gs", "_rest", "_left", F.col(f"_pick.{row}").alias("_add"), (F.col(f"_pick.{size}") - F.col("_left")).alias("_over")
+    ), "nearest")
+    # what must go to make room: drawn documents in reverse order
+    room = state.where((F.col("_over") > NEAR * F.col("_rest")) & (F.col("_left") > NEAR * F.col("_rest")))
+    back = drawn.where(F.col(size) > 0).withColumn("_h", F.lit((1 << 63) - 1) - F.col("_h"))
+    gone = stage(_fill(back, room.select("_gs", F.col("_over").alias("_goal")), row, source, size), "gone")
+    less = gone.groupBy(source).agg(F.sum(size).alias("_less")).withColumnRenamed(source, "_os")
+    state = join_small(state, less, [("_gs", "_os")]).where(F.col("_over") - F.coalesce("_less", F.lit(0)) < F.col("_left"))
+    state = stage(state.select("_gs", "_add"), "added")
+    gone = join_small(gone, state.select("_gs"), [(source, "_gs")], "inner").select(row)
+    extra = drawn.select(row).join(gone, row, "left_anti").unionByName(state.select(F.col("_add").alias(row)))
+    extra = extra.withColumnRenamed(row, "_extra")
     return docs.join(extra, docs[row] == extra["_extra"], "left").withColumn(
         "copies", F.col("whole") + F.when(F.col("_extra").isNotNull(), 1).otherwise(0)
     ).drop("_extra", "_h", order, "whole", "rest")

@@ -296,6 +296,22 @@ def test_mix_reaches_targets(spark, docs, empty):
     assert mixed.columns == frame.columns and mixed.count() == got.copies.sum()
 
 
+@pytest.mark.parametrize(("giant", "target", "small"), [(60_000, 15_000, 4096), (60_000, 60_000, 4096), (60_000, 65_000, 0)])
+def test_mix_passes_over_a_giant_document(spark, monkeypatch, giant, target, small):
+    """One very long document among 400 short ones, in eight orders."""
+    monkeypatch.setattr(mixing, "SMALL", small)
+    rows = []
+    for s in range(8):
+        sizes = [50] * 400 + [giant]
+        for i, n in enumerate(sizes):
+            h = xxhash.xxh64_intdigest(f"{s} {i}") >> 1
+            rows.append((len(rows), f"s{s}", n, 20_000 + giant, float(target), h))
+    frame = stage(spark.createDataFrame(rows, "_row long, src string, n long, source_size long, target double, o long"), "giant")
+    got = mixing.sample_epochs(frame, "_row", "src", "n", "o").toPandas()
+    assert len(got) == len(rows) and got.copies.isin([0, 1]).all()
+    assert ((got.n * got.copies).groupby(got.src).sum() == target).all()
+
+
 def test_water_filling_is_the_exact_fixed_point(spark):
     sizes = [("a", 10, 5.0), ("b", 1000, 2.0), ("c", 30, 1.0), ("d", 0, 5.0), ("e", 50, 0.0)]
     got = {r.s: r.target for r in mixing.water_fill(spark.createDataFrame(sizes, "s string, n long, w double"), "n", "w", 3.0).collect()}
