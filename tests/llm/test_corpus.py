@@ -191,6 +191,7 @@ def test_near_copies_of_five_words_go(spark, docs, empty):
     assert sum((fps[i] ^ fps[j]).bit_count() > 2 for i, j in pairs) > len(pairs) / 2
     assert stay < len(rows) / 2
     assert similar.drop_similar(frame).count() == stay
+    assert similar.drop_similar(frame, sweep=6).count() == stay
     kept = similar.drop_similar(docs)
     assert kept.columns == docs.columns and kept.count() == brute_similar(text_rows(docs))[1]
     assert similar.drop_similar(empty).count() == 0
