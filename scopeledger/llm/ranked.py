@@ -19,9 +19,11 @@ Queries are taken in blocks of limited size, each a pass over the index.
 from __future__ import annotations
 
 import collections
+import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -124,22 +126,26 @@ def _place(queries: Queries, documents: int, length: int, bits: int):
     planes = np.random.default_rng(7).choice(np.array([-1.0, 1.0], np.float32), (max(len(queries.number), 1), SIGNATURE))
 
     def run(batches):
+        names = pa.array(list(queries.number), pa.binary())
         for batch in batches:
-            near, keep, cols, sats = [], [], [], []
-            for i, (n, terms, tfs) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                pairs = sorted((queries.number[t], tf) for t, tf in zip(terms, tfs) if t in queries.number)
-                if not pairs:
-                    continue
-                at, tf = np.array(pairs, np.int64).T
-                sat = saturation(tf, n, documents, length)
-                keep.append(i)
-                cols.append(at.astype(np.int32))
-                sats.append(sat.astype(np.int32))
-                side = (queries.weight[at] * sat).astype(np.float32) @ planes[at] > 0
-                near.append(int(np.packbits(side, bitorder="big").view(">u2")[0]) >> (SIGNATURE - bits))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(near, pa.int64()), batch.column(0).take(pa.array(keep, pa.int64())),
-                pa.array(cols, pa.list_(pa.int32())), pa.array(sats, pa.list_(pa.int32()))], ["near", "id", "cols", "sats"])
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                lists = part.column(2)
+                rows = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                cols = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), -1).to_numpy()
+                tf, n = part.column(3).flatten().to_numpy(), part.column(1).to_numpy()
+                order = np.lexsort((cols, rows))
+                order = order[cols[order] >= 0]
+                rows, cols = rows[order], cols[order]
+                sat = saturation(tf[order], n[rows], documents, length)
+                starts = np.flatnonzero(np.diff(rows, prepend=-1))
+                side = np.add.reduceat((queries.weight[cols] * sat).astype(np.float32)[:, None] * planes[cols], starts) > 0 if len(rows) else np.zeros((0, SIGNATURE), bool)
+                near = np.packbits(side, axis=1, bitorder="big").view(">u2").reshape(-1).astype(np.int64) >> (SIGNATURE - bits)
+                offsets = pa.array(np.append(starts, len(rows)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(near), part.column(0).take(pa.array(rows[starts], pa.int64())),
+                    pa.ListArray.from_arrays(offsets, pa.array(cols.astype(np.int32))),
+                    pa.ListArray.from_arrays(offsets, pa.array(sat.astype(np.int32)))], ["near", "id", "cols", "sats"])
 
     return run
 
@@ -170,56 +176,89 @@ def cluster(points: np.ndarray, size: int) -> list[np.ndarray]:
     return [group[k:k + size] for group in np.split(order, ends[:-1]) for k in range(0, len(group), size)]
 
 
-BLOCKS = "near long, sub long, term int, members array<long>, coords array<int>, maxima array<int>"
+BLOCKS = "near long, sub long, block int, term int, members array<long>, coords array<int>, maxima array<int>"
+PLACE = ["near", "sub"]
 
 
 def _build_blocks(queries: Queries, block: int):
     def run(table: pa.Table) -> pa.Table:
         uids, used, matrix = _dense(table)
-        out = {"term": [], "members": [], "coords": [], "maxima": []}
+        place = np.full(len(queries.number), -1, np.int64)
+        place[used] = np.arange(len(used))
+        terms, members, coords, maxima = [], [], [], []
         for at, term in enumerate(used.tolist()):
             rows = np.flatnonzero(matrix[:, at])
-            beside = np.flatnonzero(np.isin(used, queries.coordinates(term), assume_unique=True))
-            part = matrix[np.ix_(rows, beside)]
-            for members in cluster(part, block):
-                top = part[members].max(0)
+            beside = place[queries.coordinates(term)]
+            beside = beside[beside >= 0]
+            part = matrix[rows[:, None], beside]
+            for group in cluster(part, block):
+                top = part[group].max(0)
                 some = np.flatnonzero(top)
-                out["term"].append(term)
-                out["members"].append(uids[rows[members]])
-                out["coords"].append(used[beside[some]])
-                out["maxima"].append(top[some])
-        n = len(out["term"])
+                terms.append(term)
+                members.append(uids[rows[group]])
+                coords.append(used[beside[some]])
+                maxima.append(top[some])
+        n = len(terms)
         return pa.table({
             "near": pa.array(np.repeat(table.column("near")[0].as_py(), n), pa.int64()),
             "sub": pa.array(np.repeat(table.column("sub")[0].as_py(), n), pa.int64()),
-            "term": pa.array(out["term"], pa.int32()), "members": pa.array(out["members"], pa.list_(pa.int64())),
-            "coords": pa.array(out["coords"], pa.list_(pa.int32())), "maxima": pa.array(out["maxima"], pa.list_(pa.int32())),
-        })
+            "block": pa.array(np.arange(n), pa.int32()), "term": pa.array(terms, pa.int32()), "members": _lists(members, np.int64),
+            "coords": _lists(coords, np.int32), "maxima": _lists(maxima, np.int32)})
 
     return run
 
 
-def _bounds(queries: Queries):
-    """``query, bound, near, sub, members`` of every block and every query that has its term."""
+def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, kind), *parts]).astype(kind)))
+
+
+def _bounded(queries: Queries, batch: pa.RecordBatch):
+    """``row, query, bound`` for every block of a batch and every query that has its term."""
+    full = np.zeros(len(queries.number), np.int64)
+    offsets = batch.column("coords").offsets.to_numpy()
+    coords, maxima = batch.column("coords").values.to_numpy(), batch.column("maxima").values.to_numpy()
+    low = batch.column("maxima").offsets.to_numpy()
+    for i, term in enumerate(batch.column("term").to_pylist()):
+        where = coords[offsets[i]:offsets[i + 1]]
+        full[where] = maxima[low[i]:low[i + 1]]
+        for q in queries.holders[term]:
+            yield i, q, int(full[queries.terms[q]] @ queries.worth[q])
+        full[where] = 0
+
+
+def _best_bounds(queries: Queries, most: int):
+    """``query, bound, near, sub, block`` of each query's ``most`` highest bounds in a task."""
     def run(batches):
-        full = np.zeros(len(queries.number), np.int64)
+        best = [[] for _ in queries.ids]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                rows, query, bound = [], [], []
-                lists = zip(part.column(2).to_pylist(), part.column(4), part.column(5))
-                for i, (term, coords, maxima) in enumerate(lists):
-                    where = coords.values.to_numpy()
-                    full[where] = maxima.values.to_numpy()
-                    for q in queries.holders[term]:
-                        rows.append(i)
-                        query.append(q)
-                        bound.append(int(full[queries.terms[q]] @ queries.worth[q]))
-                    full[where] = 0
-                rows = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(query, pa.int32()), pa.array(bound, pa.int64()), part.column(0).take(rows), part.column(1).take(rows),
-                    part.column(3).take(rows)], ["query", "bound", "near", "sub", "members"])
+            near, sub, block = (batch.column(c).to_numpy() for c in ("near", "sub", "block"))
+            for i, q, bound in _bounded(queries, batch):
+                found = (bound, int(near[i]), int(sub[i]), int(block[i]))
+                if len(best[q]) < most:
+                    heapq.heappush(best[q], found)
+                elif found > best[q][0]:
+                    heapq.heapreplace(best[q], found)
+        rows = [(q, *found) for q, some in enumerate(best) for found in some]
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        columns = list(zip(*rows)) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["query", "bound", "near", "sub", "block"])
+
+    return run
+
+
+def _open_blocks(queries: Queries, least: dict[int, int]):
+    """``near, sub, members, asked``: the blocks that may hold a document good enough for some queries, and those queries."""
+    def run(batches):
+        for batch in batches:
+            asked = collections.defaultdict(list)
+            for i, q, bound in _bounded(queries, batch):
+                if bound >= least.get(q, 1):
+                    asked[i].append(q)
+            rows = pa.array(list(asked), pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                *[batch.column(c).take(rows) for c in (*PLACE, "members")], pa.array(list(asked.values()), pa.list_(pa.int32()))],
+                [*PLACE, "members", "asked"])
 
     return run
 
@@ -234,21 +273,26 @@ def _score(queries: Queries, k: int):
             ids = chunk.column("id")
             place = np.full(len(queries.number), -1, np.int64)
             place[used] = np.arange(len(used))
+            members = asked.column("members").combine_chunks()
+            rows, ends = np.searchsorted(uids, members.flatten().to_numpy()), np.cumsum([0, *pc.list_value_length(members).to_pylist()])
             wanted = collections.defaultdict(list)
-            for q, members in zip(asked.column("query").to_pylist(), asked.column("members").to_pylist()):
-                wanted[q].extend(members)
-            for q, members in wanted.items():
-                rows = np.searchsorted(uids, np.unique(np.array(members, np.int64)))
-                here = place[queries.terms[q]] >= 0
-                score = matrix[np.ix_(rows, place[queries.terms[q][here]])].astype(np.int64) @ queries.worth[q][here]
-                found = [ids[int(r)].as_py() for r in rows]
-                order = sorted(range(len(rows)), key=lambda i: (-score[i], found[i] is None, found[i]))
-                for i in order[:k]:
-                    if score[i] > 0:
-                        out["query"].append(q)
-                        out["id"].append(found[i])
-                        out["uid"].append(int(uids[rows[i]]))
-                        out["score"].append(int(score[i]))
+            for i, some in enumerate(asked.column("asked").to_pylist()):
+                for q in some:
+                    wanted[q].append(i)
+            for q, blocks in wanted.items():
+                mine = np.zeros(len(uids), bool)
+                for i in blocks:
+                    mine[rows[ends[i]:ends[i + 1]]] = True
+                mine = np.flatnonzero(mine)
+                cols = place[queries.terms[q]]
+                score = matrix[mine[:, None], cols[cols >= 0]].astype(np.int64) @ queries.worth[q][cols >= 0]
+                limit = max(np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 1, 1)
+                best = [(-int(score[i]), (at := ids[int(mine[i])].as_py()) is None, at, int(uids[mine[i]])) for i in np.flatnonzero(score >= limit)]
+                for negative, _, at, uid in sorted(best)[:k]:
+                    out["query"].append(q)
+                    out["id"].append(at)
+                    out["uid"].append(uid)
+                    out["score"].append(-negative)
         return pa.table({
             "query": pa.array(out["query"], pa.int32()), "id": pa.array(out["id"], chunk.schema.field("id").type),
             "uid": pa.array(out["uid"], pa.int64()), "score": pa.array(out["score"], pa.int64())})
@@ -280,7 +324,7 @@ def query_blocks(queries: DataFrame, item_id: str, text: str, most: int):
 
 
 def _search_block(spark: SparkSession, vectors: DataFrame, dfs: DataFrame, found: list, documents: int, length: int, k: int, chunk: int, block: int):
-    """``query, id, score, rank`` of one block of queries, and the share of bounds below the thresholds."""
+    """``query, id, score, rank`` of one block of queries, its blocks of posting lists, and those that were not skipped."""
     names = spark.createDataFrame([(bytearray(t),) for t in {t for _, c in found for t in c}], "term binary")
     weight = F.floor(1000 * F.log((2 * F.lit(documents) + 2) / (2 * F.col("df") + 1))).cast("long")
     weights = {bytes(r.term): r.w for r in dfs.join(F.broadcast(names), "term").select("term", weight.alias("w")).collect()}
@@ -295,21 +339,22 @@ def _search_block(spark: SparkSession, vectors: DataFrame, dfs: DataFrame, found
     numbered = stage(placed.join(F.broadcast(crowds), "near").withColumn("uid", row).withColumn(
         "sub", F.pmod(F.xxhash64("uid"), "subs")).drop("subs"), "chunks")
     blocks = stage(numbered.groupBy("near", "sub").applyInArrow(_build_blocks(queries, block), BLOCKS), "blocks")
-    bounds = stage(blocks.mapInArrow(_bounds(queries), "query int, bound long, near long, sub long, members array<long>"), "bounds")
 
     def scored(asked: DataFrame) -> DataFrame:
-        grouped = asked.select("near", "sub", "query", "members").groupBy("near", "sub")
-        best = grouped.cogroup(numbered.groupBy("near", "sub")).applyInArrow(
+        best = asked.groupBy(*PLACE).cogroup(numbered.groupBy(*PLACE)).applyInArrow(
             _score(queries, k), f"query int, id {id_type}, uid long, score long")
         order = W.partitionBy("query").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last(), "uid")
         return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    first = F.row_number().over(W.partitionBy("query").orderBy(F.col("bound").desc(), "near", "sub", "members"))
-    seeds = bounds.withColumn("nth", first).where(F.col("nth") <= SEEDS)
-    # one row a query of this block
-    least = stage(scored(seeds).where(F.col("rank") == k).select("query", F.col("score").alias("least")), "least")
-    open_ = bounds.join(F.broadcast(least), "query", "left").where(F.col("bound") >= F.coalesce("least", F.lit(1)))
-    return stage(scored(open_.where("bound > 0")), "ranked"), bounds, least
+    tops = blocks.drop("members").mapInArrow(_best_bounds(queries, SEEDS), "query int, bound long, near long, sub long, block int")
+    nth = F.row_number().over(W.partitionBy("query").orderBy(F.col("bound").desc(), *PLACE, "block"))
+    seeds = tops.withColumn("nth", nth).where(F.col("nth") <= SEEDS)
+    # a block of queries bounds the seeds and the thresholds
+    asked = blocks.select(*PLACE, "block", "members").join(F.broadcast(seeds), [*PLACE, "block"])
+    first = scored(asked.select(*PLACE, "members", F.array("query").alias("asked")))
+    least = {r.query: max(r.score, 1) for r in first.where(F.col("rank") == k).collect()}
+    open_ = stage(blocks.mapInArrow(_open_blocks(queries, least), "near long, sub long, members array<long>, asked array<int>"), "open")
+    return stage(scored(open_), "ranked"), blocks, open_
 
 
 def search(
