@@ -7,10 +7,11 @@ each group builds its part of the tree on its own: the suffixes, cut at five
 words, in sorted order, where the total of the leaves below a node is the
 count of its phrase.
 
-A suffix also ends before the first word that is too rare, since no phrase
-with that word can be frequent enough. Tasks know rare words from a bitmap of
-fixed size, which lets some pass; the counts of the tree are exact, so they go
-at the end.
+A suffix also ends before the first word, and the first pair of words, that is
+too rare, since no phrase that holds it can be frequent enough: the tree is
+built to a depth of two first, then below the pairs that are left. Tasks know
+rare words and pairs from bitmaps of fixed size, which let some pass; the
+counts of the tree are exact, so those go at the end.
 """
 
 from __future__ import annotations
@@ -100,25 +101,45 @@ def _count_words(batches):
             pa.array([lang] * len(some), pa.string()), pa.array([found[i + 1] for i in some], pa.binary()), pa.array(counts[some])])
 
 
-def suffixes(found: list[bytes], ids: np.ndarray, own: np.ndarray, frequent) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words, different suffixes of two words or more as sorted rows of ``DEPTH`` numbers (0 after the end), and their counts."""
+def suffixes(
+    found: list[bytes], ids: np.ndarray, own: np.ndarray, depth: int, frequent, frequent_pair=None
+) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words, different suffixes as sorted rows of ``DEPTH`` numbers (0 after the end), and their counts.
+
+    A suffix ends at ``depth`` words, before a rare word and, where pairs are
+    known, before a word that makes a rare pair. It has two words or more;
+    three, where pairs are known.
+    """
     good = np.zeros(len(found), np.int64)
     kept = [i for i in range(1, len(found)) if frequent(found[i])]
     good[kept] = np.arange(1, len(kept) + 1)
-    ids = np.concatenate((good[ids], np.zeros(DEPTH, np.int64)))
+    vocabulary = [b"", *(found[i] for i in kept)]
     n = len(own)
-    rows = np.flatnonzero(own & (ids[:n] > 0) & (ids[1:n + 1] > 0))
-    table = np.stack([ids[rows + k] for k in range(DEPTH)], 1)
-    for k in range(2, DEPTH):
-        table[table[:, k - 1] == 0, k] = 0
+    ids = np.concatenate((good[ids], np.zeros(DEPTH, np.int64)))
+    linked = np.zeros(n + DEPTH, bool)
+    linked[:-1] = (ids[:-1] > 0) & (ids[1:] > 0)
+    if frequent_pair is not None:
+        where = np.flatnonzero(linked)
+        pairs, which = np.unique(ids[where] << 21 | ids[where + 1], return_inverse=True)
+        ok = [frequent_pair(vocabulary[a] + b" " + vocabulary[b]) for a, b in zip((pairs >> 21).tolist(), (pairs & 0x1FFFFF).tolist())]
+        linked[where] = np.array(ok, bool)[which]
+    starts = own & linked[:n]
+    if frequent_pair is not None:
+        starts &= linked[1:n + 1]
+    rows = np.flatnonzero(starts)
+    table = np.zeros((len(rows), DEPTH), np.int64)
+    table[:, 0], going = ids[rows], np.ones(len(rows), bool)
+    for k in range(1, depth):
+        going &= linked[rows + k - 1]
+        table[:, k] = np.where(going, ids[rows + k], 0)
     first = table[:, 0] << 42 | table[:, 1] << 21 | table[:, 2]
     second = table[:, 3] << 21 | table[:, 4]
-    order = np.lexsort((second, first))
+    order = np.lexsort((second, first)) if depth > 3 else np.argsort(first, kind="stable")
     table, first, second = table[order], first[order], second[order]
     new = np.ones(len(table), bool)
     new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
     starts = np.flatnonzero(new)
-    return [b"", *(found[i] for i in kept)], table[starts], np.diff(np.append(starts, len(table)))
+    return vocabulary, table[starts], np.diff(np.append(starts, len(table)))
 
 
 def runs(table: np.ndarray, depth: int) -> np.ndarray:
@@ -148,34 +169,17 @@ def levels(vocabulary: list[bytes], table: np.ndarray, seed: int, heavy: list[by
     return level
 
 
-def _count_prefixes(common: bytes, heavy: list[bytes]):
-    """Counts of the prefixes one word longer than the heavy ones."""
-    def run(batches):
-        depth = len(heavy) + 1
-        for lang, found, ids, own in chunks(batches):
-            seed = filters.seed_of(lang)
-            vocabulary, table, counts = suffixes(found, ids, own, lambda w: filters.has(common, w, seed))
-            some = (levels(vocabulary, table, seed, heavy) == depth) & (table[:, depth - 1] > 0)
-            table, counts = table[some], counts[some]
-            starts = runs(table, depth)
-            if len(starts):
-                yield _rows(["lang", "phrase", "f"], [
-                    pa.array([lang] * len(starts), pa.string()), pa.array([_phrase(vocabulary, table[s, :depth]) for s in starts], pa.binary()),
-                    pa.array(np.add.reduceat(counts, starts))])
-
-    return run
-
-
-def _deal(common: bytes, heavy: list[bytes], groups: int):
+def _deal(depth: int, common: bytes, pairs: bytes | None, heavy: list[bytes], groups: int):
     """Suffixes by group, packed: words, then the columns of numbers, counts and prefix lengths."""
     def run(batches):
         for lang, found, ids, own in chunks(batches):
             seed = filters.seed_of(lang)
-            vocabulary, table, counts = suffixes(found, ids, own, lambda w: filters.has(common, w, seed))
+            frequent_pair = None if pairs is None else lambda p: filters.has(pairs, p, seed)  # noqa: B023
+            vocabulary, table, counts = suffixes(found, ids, own, depth, lambda w: filters.has(common, w, seed), frequent_pair)  # noqa: B023
             if not len(table):
                 continue
             level = levels(vocabulary, table, seed, heavy)
-            # a suffix that ends within its heavy prefixes is counted with those
+            # a suffix that ends within its heavy prefixes was counted with those
             some = table[np.arange(len(table)), level - 1] > 0
             table, counts, level = table[some], counts[some], level[some]
             if not len(table):
@@ -210,8 +214,8 @@ def unpack(size: int, packed: bytes) -> tuple[list[bytes], np.ndarray]:
     return raw[8:at].split(b" "), np.frombuffer(raw, "<u4", offset=at).reshape(DEPTH + 2, int(n)).T
 
 
-def _subtree(least: int):
-    """Counts of a group's phrases from the totals of sorted leaves."""
+def _subtree(least: int, shortest: int, longest: int):
+    """Counts of a group's phrases of ``shortest`` to ``longest`` words from the totals of sorted leaves."""
     def run(table: pa.Table) -> pa.Table:
         number = collections.defaultdict(itertools.count().__next__)
         number[b""]
@@ -223,7 +227,7 @@ def _subtree(least: int):
         leaves = np.concatenate(parts)
         leaves = leaves[np.lexsort(leaves[:, DEPTH - 1::-1].T)]
         vocabulary, phrases, totals = list(number), [], []
-        for depth in range(2, DEPTH + 1):
+        for depth in range(shortest, longest + 1):
             starts = runs(leaves, depth)
             sums = np.add.reduceat(leaves[:, DEPTH], starts)
             # shorter nodes than the prefix have leaves in other groups; they are counted with the prefixes
@@ -249,26 +253,25 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", least
     def totals(run):
         return texts.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
-    singles = stage(totals(_count_words), "words")
+    singles = stage(texts.mapInArrow(_count_words, COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "words")
     sizes = stage(singles.groupBy("lang").agg(F.sum("f").alias("n")), "sizes")
-    frequent = singles.where(F.col("f") >= least)
-    common = filters.bitmap_of(frequent, F.col("lang"), F.col("phrase"))
-    known, heavy = [frequent], []
-    over = frequent.where(F.col("f") > budget)
-    while len(heavy) < DEPTH - 1 and not over.isEmpty():
+    counts = singles.where(F.col("f") >= least)
+    common = filters.bitmap_of(counts, F.col("lang"), F.col("phrase"))
+    groups = 1 + 2 * int(counts.agg(F.sum("f")).first()[0] or 0) // budget
+    newest, pairs, heavy, done = counts, None, [], 1
+    while done < DEPTH:
+        over = newest.where(F.col("f") > budget)
+        some_over = not over.isEmpty()
         heavy.append(filters.bitmap_of(over, F.col("lang"), F.col("phrase")))
-        longer = stage(totals(_count_prefixes(common, list(heavy))).where(F.col("f") >= least), "prefixes")
-        known.append(longer)
-        over = longer.where(F.col("f") > budget)
-    starts = frequent.agg(F.sum("f")).first()[0] or 0
-    groups = 1 + 2 * int(starts) // budget
-    dealt = texts.mapInArrow(_deal(common, heavy, groups), "lang string, group long, size long, packed binary")
-    tree = dealt.groupBy("lang", "group").applyInArrow(_subtree(least), COUNTS)
-    # prefixes that were counted on the way and again as nodes have the same count
-    every = known[0]
-    for more in [*known[1:], tree]:
-        every = every.unionByName(more)
-    return stage(every.groupBy("lang", "phrase").agg(F.max("f").alias("f")), "phrases"), sizes
+        # pairs come first, as they end most suffixes; then all that is left, unless prefixes of the present length are too many still
+        depth = done + 1 if some_over or done == 1 else DEPTH
+        dealt = texts.mapInArrow(_deal(depth, common, pairs, list(heavy), groups), "lang string, group long, size long, packed binary")
+        newest = stage(dealt.groupBy("lang", "group").applyInArrow(_subtree(least, done + 1, depth), COUNTS), f"phrases-{depth}")
+        counts = counts.unionByName(newest)
+        if done == 1:
+            pairs = filters.bitmap_of(newest, F.col("lang"), F.col("phrase"))
+        done = depth
+    return counts, sizes
 
 
 def _part(start: Column | int, length: Column) -> Column:
