@@ -1,7 +1,9 @@
 """Forecasting as registered queries.
 
-The three fitted models have no SQL counterpart; the reports around them are
-checked on the straight-line forecast, which has.
+The searches of the three fitted models have no SQL counterpart. Their parts
+have: smoothing with given constants is a recursion, the ridge fit a set of
+normal equations, and a seasonal autoregression of one coefficient has a closed
+likelihood. The reports around them are checked on the straight-line forecast.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from scopeledger.model.lookups import METRIC_ROWS
 from scopeledger.operators.calendar import future_months, resample_monthly
 from scopeledger.operators.reshape import unpivot_report
 from scopeledger.plans import forecast as P
+from scopeledger.plans import smoothing as S
 from scopeledger.sources.binding import Bound
 from scopeledger.sources.loaders import load_emissions
 
@@ -67,6 +70,78 @@ def f03(b: Bound):
     return P.split_tail(regional(b), 6, ["region"])
 
 
+#: Months with holes: each facility misses every fifth month, and some have a short history.
+_GAPPY = """
+src as (select facility_id, date, cast(cfe_pct as double) as y from operations where (year(date) * 12 + month(date) + facility_id) % 5 <> 0),
+rg as (select facility_id, min(date) as lo, max(date) as hi from src group by 1),
+sp as (select facility_id, lo, cast(unnest(generate_series(lo, hi, interval 1 month)) as date) as date from rg),
+o as (select sp.facility_id, datediff('month', lo, sp.date) as t, lo, y from sp left join src on src.facility_id = sp.facility_id and src.date = sp.date)"""
+
+
+def gappy(b: Bound) -> DataFrame:
+    return b.operations().filter((F.year("date") * 12 + F.month("date") + F.col("facility_id")) % 5 != 0)
+
+
+_HISTORY = "date < case facility_id % 7 when 0 then date '1992-10-01' when 1 then date '1993-05-01' when 2 then date '1994-09-01' else date '2999-01-01' end"
+
+
+@query("f02_series_coverage", "with " + _GAPPY.replace("where (", f"where {_HISTORY} and (") + """,
+c as (select facility_id, count(y) as points, count(*) as months, min(lo) as first, max(lo + to_months(cast(t as integer))) as last from o group by 1)
+select facility_id, points, months, months - points as missing, first, cast(last as date) as last,
+       case when points < 12 then 'too_short' when points - 6 < 12 then 'not_fitted' when points - 19 < 24 then 'without_season' else 'fitted' end as status from c""")
+def f02_coverage(b: Bound):
+    return P.series_coverage(gappy(b).filter(_HISTORY), "cfe_pct", ["facility_id"])
+
+
+_START = _GAPPY + """,
+ln as (select facility_id, max(lo) as lo, max(t) + 1 as n from o group by 1),
+ap as (select a.facility_id, avg(b.y - a.y) / 12 as s from o a join o b on a.facility_id = b.facility_id and b.t = a.t + 12 where a.t < 12 group by 1),
+kn as (select * from o where y is not null),
+wh as (select facility_id, (arg_max(y, t) - arg_min(y, t)) / greatest(max(t) - min(t), 1) as s from kn group by 1),
+sl as (select wh.facility_id, coalesce(ap.s, wh.s) as s from wh left join ap on ap.facility_id = wh.facility_id),
+hd as (select kn.facility_id, t % 12 as m, arg_min(y - s * t, t) as h from kn join sl on sl.facility_id = kn.facility_id group by 1, 2),
+lv as (select facility_id, avg(h) as l from hd group by 1),
+ss as (select lv.facility_id, l, list(coalesce(h - l, 0.0::double) order by k) as season
+       from lv cross join (select unnest(range(12)) as k) left join hd on hd.facility_id = lv.facility_id and hd.m = k group by 1, 2),
+hw as (
+  select ss.facility_id, 0::bigint as t, a, b, g, phi, l - s as level, s as trend, season, 0.0::double as sse from ss join sl on sl.facility_id = ss.facility_id, cs
+  union all
+  select facility_id, t + 1, a, b, g, phi, l2, case when y is null then d else b * (l2 - level) + (1 - b) * d end,
+         case when y is null then season else list_concat(list_concat(season[1:k], [g * (y - l2) + (1 - g) * season[k + 1]]), season[k + 2:12]) end,
+         sse + coalesce((y - level - d - season[k + 1]) * (y - level - d - season[k + 1]), 0)
+  from (select *, case when y is null then level + d else a * (y - season[k + 1]) + (1 - a) * (level + d) end as l2
+        from (select hw.*, o.y, phi * trend as d, hw.t % 12 as k from hw join o on o.facility_id = hw.facility_id and o.t = hw.t)))"""
+
+
+def constants(b: Bound, *grid: tuple[float, float, float, float]) -> DataFrame:
+    return b.spark.createDataFrame(list(grid), "alpha DOUBLE, beta DOUBLE, gamma DOUBLE, phi DOUBLE")
+
+
+@query("f04_fixed_constants", "with recursive cs as (select 0.3::double as a, 0.05::double as b, 0.2::double as g, 0.9::double as phi)," + _START + f""",
+e as (select hw.*, n, lo from hw join ln on ln.facility_id = hw.facility_id and hw.t = ln.n),
+f as (select *, level + phi * (1 - pow(phi, h)) / (1 - phi) * trend + season[(n + h - 1) % 12 + 1] as yhat from e, (select unnest(range(1, {HORIZON} + 1)) as h))
+select facility_id, last_day(lo + to_months(cast(n + h - 1 as integer))) as date, h - 1 as step, round(yhat, 9) as yhat,
+       round(yhat * (1 - 0.1::double), 9) as lower, round(yhat * (1 + 0.1::double), 9) as upper from f""", digits={"yhat": 9, "lower": 9, "upper": 9})
+def f04_fixed(b: Bound):
+    """Damped smoothing of series with missing months, as a fold over each series."""
+    series = P.prepare_series(gappy(b), "cfe_pct", ["facility_id"])
+    return S.smoothed_forecast(S.smooth(series, constants(b, (0.3, 0.05, 0.2, 0.9)), ["facility_id"]), HORIZON, ["facility_id"])
+
+
+GRID = [(a, be, g, 1.0) for a in (0.05, 0.2, 0.5) for be in (0.0, 0.1) for g in (0.05, 0.3)]
+
+
+@query("f04_best_constants", "with recursive cs as (select * from (values " + ", ".join(
+    f"({a}::double, {be}::double, {g}::double, {phi}::double)" for a, be, g, phi in GRID
+) + ") t(a, b, g, phi))," + _START + """,
+e as (select hw.*, row_number() over (partition by hw.facility_id order by sse, a, b, g, phi) as nth from hw join ln on ln.facility_id = hw.facility_id and hw.t = ln.n)
+select facility_id, a as alpha, b as beta, g as gamma, round(sse, 9) as sse from e where nth = 1""", digits={"sse": 9})
+def f04_best(b: Bound):
+    """The smoothing constants of least squared error of every facility, found without Python workers."""
+    series = P.prepare_series(gappy(b), "cfe_pct", ["facility_id"])
+    return S.best_constants(S.smooth(series, constants(b, *GRID), ["facility_id"]), ["facility_id"]).select("facility_id", "alpha", "beta", "gamma", "sse")
+
+
 @query("f04_holt_winters_by_region", digits={"yhat": 2, "lower": 2, "upper": 2})
 def f04(b: Bound):
     return P.fit_forecast(regional(b), "holt_winters", HORIZON, p=["region"])
@@ -89,6 +164,63 @@ def f05_multiplicative(b: Bound):
     return P.fit_forecast(regional(b), "trend_fourier", HORIZON, params, ["region"])
 
 
+WAVES = ["sin1", "cos1", "sin2", "cos2"]
+COLUMNS = ["one", "t", *WAVES]
+PENALTIES = [0.0, 0.0, 0.1, 0.1, 0.1, 0.1]
+
+_FEATURES = """
+rm as (select region, date, """ + mean_sql("cfe_pct") + """ as y from combined group by 1, 2),
+fe as (select region, date, y, 1.0::double as one, datediff('day', date '1970-01-01', date) / 365.25::double - 25 as t,
+       datediff('day', date '1970-01-01', date) * 6.283185307179586::double / 365.25::double as w from rm where y is not null),
+fx as (select *, sin(w) as sin1, cos(w) as cos1, sin(w * 2) as sin2, cos(w * 2) as cos2 from fe)"""
+
+
+def features(b: Bound) -> DataFrame:
+    series = S.wave_features(P.prepare_series(b.combined(), "cfe_pct", ["region"]))
+    return series.withColumns({"one": F.lit(1.0), "t": F.unix_date("date") / F.lit(365.25) - 25})
+
+
+@query("f05_features", "with " + _FEATURES + " select region, date, y, round(t, 9) as t, " + ", ".join(
+    f"round({c}, 9) + 0.0::double as {c}" for c in WAVES) + " from fx", digits={c: 9 for c in ["t", *WAVES]})
+def f05_features(b: Bound):
+    return features(b).select("region", "date", "y", "t", *WAVES)
+
+
+def _eliminated() -> str:
+    """Normal equations of every region, one unknown eliminated in each step."""
+    k = len(COLUMNS)
+    cells = [f"sum({a} * {c}){f' + {PENALTIES[i]}' if i == j else ''} as a{i}{j}" for i, a in enumerate(COLUMNS) for j, c in enumerate(COLUMNS)]
+    steps = [f"e0 as (select region, count(*) as n, {', '.join(cells)}, {', '.join(f'sum({a} * y) as a{i}{k}' for i, a in enumerate(COLUMNS))} from fx group by 1)"]
+    for m in range(k):
+        row = [f"a{m}{j} / a{m}{m} as a{m}{j}" for j in range(k + 1)]
+        others = [f"a{i}{j} - a{i}{m} * a{m}{j} / a{m}{m} as a{i}{j}" for i in range(k) if i != m for j in range(k + 1)]
+        steps.append(f"e{m + 1} as (select region, n, {', '.join(row + others)} from e{m})")
+    return ",\n".join(steps)
+
+
+@query("f05_ridge", "with " + _FEATURES + ",\n" + _eliminated() + " select region, n, " + ", ".join(
+    f"round(a{i}{len(COLUMNS)}, 8) as b_{c}" for i, c in enumerate(COLUMNS)) + f" from e{len(COLUMNS)}", digits={f"b_{c}": 8 for c in COLUMNS})
+def f05_ridge(b: Bound):
+    return S.ridge(features(b), "y", COLUMNS, PENALTIES, ["region"])
+
+
+@query("f06_seasonal_ar1", "with " + _FEATURES + """,
+i as (select region, y, row_number() over (partition by region order by date) as t from fe),
+m as (select region, avg(y) as mu, count(*) as n from i group by 1),
+z as (select i.region, t, n, mu, y - mu as z, lag(y - mu, 12) over (partition by i.region order by t) as b from i join m on m.region = i.region),
+q as (select region, max(n) as n, max(mu) as mu, sum(case when b is null then 0.75 * z * z else (z - 0.5 * b) * (z - 0.5 * b) end) / max(n) as v from z group by 1),
+l as (select *, -0.5 * n * (ln(2 * pi() * v) + 1) + 6 * ln(0.75::double) as loglik from q)
+select l.region, cast(z.t - l.n + 11 as bigint) as step, round(l.mu + 0.5 * z.z, 9) as yhat, round(l.mu + 0.5 * z.z + 1.959963984540054::double * sqrt(v), 9) as upper,
+       round(loglik, 6) as loglik, round(4 - 2 * loglik, 6) as aic, '(0,0,0)(1,0,0,12)' as spec
+from l join z on z.region = l.region where z.t > l.n - 12""", digits={"yhat": 9, "upper": 9, "loglik": 6, "aic": 6})
+def f06_seasonal_ar1(b: Bound):
+    """Likelihood and a year ahead of a seasonal autoregression with its coefficient given."""
+    params = {"order": (0, 0, 0), "seasonal_order": (1, 0, 0), "fixed": {"seasonal_ar": [0.5]}}
+    series = P.prepare_series(b.combined(), "cfe_pct", ["region"])
+    got = P.fit_forecast(series, "sarima", 12, params, ["region"], test_size=0)
+    return got.select("region", "step", "yhat", "upper", "loglik", "aic", "spec")
+
+
 @query("f06_sarima_by_region", digits={"yhat": 2, "lower": 2, "upper": 2, "aic": 2, "bic": 2, "loglik": 2})
 def f06(b: Bound):
     return P.fit_forecast(regional(b), "sarima", HORIZON, p=["region"])

@@ -43,12 +43,34 @@ def _keyed(left: DataFrame, right: DataFrame, p: Sequence[str], how: str = "inne
 
 
 def prepare_series(df: DataFrame, metric: str, p: Sequence[str] = (), min_points: int = MIN_POINTS) -> DataFrame:
-    """Monthly series ``(p, date, y)`` with the metric's own aggregate; short series are left out."""
+    """Monthly series ``(p, date, y)`` with the metric's own aggregate.
+
+    Series of fewer than ``min_points`` months are left out; :func:`series_coverage` lists them.
+    """
     monthly = resample_monthly(df, "date", {"y": (metric_kind(metric), metric)}, p)
     counted = monthly.dropna(subset=["y"]).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*p)))
     return counted.filter(F.col("_n") >= min_points).drop("_n")
 
 
+def series_coverage(
+    df: DataFrame, metric: str, p: Sequence[str] = (), min_points: int = MIN_POINTS, test_size: int = 6
+) -> DataFrame:
+    """What becomes of every series: its known, spanned and missing months, and ``status``.
+
+    ``too_short``: :func:`prepare_series` leaves it out; ``not_fitted``: it has
+    too few months beside the test ones; ``without_season``: seasonal ARIMA
+    drops its seasonal orders; ``fitted``: nothing is left out.
+    """
+    monthly = resample_monthly(df, "date", {"y": (metric_kind(metric), metric)}, p)
+    known, train = F.count("y"), F.col("points") - test_size
+    found = monthly.groupBy(*p).agg(known.alias("points"), F.count(F.lit(1)).alias("months"), F.min("date").alias("first"), F.max("date").alias("last"))
+    status = F.when(F.col("points") < min_points, "too_short").when(train < MIN_POINTS, "not_fitted")
+    return found.select(
+        *p, "points", "months", (F.col("months") - F.col("points")).alias("missing"), "first", "last",
+        status.when(train - 13 < 2 * models.SEASON, "without_season").otherwise("fitted").alias("status"),
+    )
+
+
 def split_tail(df: DataFrame, k: int = 6, p: Sequence[str] = ()) -> DataFrame:
     """Mark the last ``k`` months of each series as test rows."""
     back = F.row_number().over(W.partitionBy(*p).orderBy(F.col("date").desc()))
@@ -63,7 +85,7 @@ FORECAST_FIELDS = [
     T.StructField("is_future", T.BooleanType()), T.StructField("y", T.DoubleType()),
     T.StructField("yhat", T.DoubleType()), T.StructField("lower", T.DoubleType()),
     T.StructField("upper", T.DoubleType()), T.StructField("aic", T.DoubleType()),
-    T.StructField("bic", T.DoubleType()), T.StructField("loglik", T.DoubleType()),
+    T.StructField("bic", T.DoubleType()), T.StructField("loglik", T.DoubleType()), T.StructField("spec", T.StringType()),
 ]
 
 
@@ -71,29 +93,35 @@ def _forecast_one(series: pd.DataFrame, keys: list[str], model: str, horizon: in
     """Fit one series on its training rows; forecast the test months and ``horizon`` beyond."""
     series = series.sort_values("date")
     train, test = series[~series["is_test"]], series[series["is_test"]]
-    steps = len(test) + horizon
-    # gaps were dropped, so months continue from the end of the series
+    months = pd.to_datetime(series["date"]).to_numpy().astype("datetime64[M]").astype(int)
+    slots = months - months[0]
+    known = slots[: len(train)]
+    # months go by the calendar: places without a row are missing, and a forecast steps over them
     ahead = pd.date_range(pd.Timestamp(series["date"].iloc[-1]), periods=horizon + 1, freq="MS")[1:]
     stamps = list(pd.to_datetime(test["date"])) + list(ahead)
-    y = train["y"].to_numpy(dtype=float)
+    wanted = np.r_[slots[len(train) :], slots[-1] + 1 + np.arange(horizon)]
+    steps, places = int(slots[-1] - known[-1]) + horizon, wanted - known[-1] - 1
+    y = np.full(known[-1] + 1, np.nan)
+    y[known] = train["y"].to_numpy(dtype=float)
     if model == "holt_winters":
         fit = models.holt_winters(y, steps, **params)
     elif model == "trend_fourier":
         days = pd.to_datetime(train["date"]).to_numpy().astype("datetime64[D]").astype(float)
         future = np.array(stamps, dtype="datetime64[D]").astype(float)
-        fit = models.trend_fourier(y, days, future, **params)
+        fit = models.trend_fourier(y[known], days, future, **params)
+        places = np.arange(len(stamps))
     elif model == "sarima":
         fit = models.sarima(y, steps, **params)
     else:
         raise ValueError(f"unknown model {model}")
-    out = pd.DataFrame({k: [series[k].iloc[0]] * steps for k in keys})
+    out = pd.DataFrame({k: [series[k].iloc[0]] * len(stamps) for k in keys})
     out["date"] = (pd.DatetimeIndex(stamps) + pd.offsets.MonthEnd(0)).date
-    out["step"] = [i - len(test) for i in range(steps)]
+    out["step"] = (wanted - slots[-1] - 1).astype("int32")
     out["is_future"] = out["step"] >= 0
     out["y"] = list(test["y"].astype(float)) + [None] * horizon
     for name in ("yhat", "lower", "upper"):
-        out[name] = fit[name]
-    for name in ("aic", "bic", "loglik"):
+        out[name] = fit[name][places]
+    for name in ("aic", "bic", "loglik", "spec"):
         out[name] = fit.get(name)
     return out
 
@@ -103,9 +131,12 @@ def fit_forecast(
 ) -> DataFrame:
     """Forecast every series: test months (step < 0, with y) and ``horizon`` future months.
 
-    Series whose training part is shorter than a year are left out. Models:
-    ``holt_winters`` (damped), ``trend_fourier`` (multiplicative, quarterly,
-    level), ``sarima`` (order, seasonal_order, level).
+    Months without a row are missing, not closed up. Series whose training part
+    has fewer than twelve months are left out; :func:`series_coverage` lists
+    them. Models: ``holt_winters`` (damped), ``trend_fourier`` (multiplicative,
+    quarterly, level), ``sarima`` (order, seasonal_order, level). ``spec`` says
+    what was really fitted: short series get no seasonal orders, and series with
+    values of zero or less no multiplicative waves.
     """
     keys = list(p) or ["series"]
     split = split_tail(df, test_size, p).withColumn("y", F.col("y").cast("double"))

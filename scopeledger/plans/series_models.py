@@ -1,5 +1,6 @@
 """Per-series model fits used inside grouped tasks. Each takes one short numeric
-series (one value per month) and returns point forecasts with bounds."""
+series (one value per calendar month, NaN where missing) and returns point
+forecasts with bounds and what was really fitted."""
 
 from __future__ import annotations
 
@@ -7,6 +8,8 @@ from statistics import NormalDist
 
 import numpy as np
 
+from scopeledger.plans import state_space
+
 SEASON = 12
 
 
@@ -15,7 +18,11 @@ def normal_z(level: float) -> float:
 
 
 def holt_winters(y: np.ndarray, steps: int, damped: bool = False, margin: float = 0.1) -> dict:
-    """Additive trend and season; all smoothing constants of a grid advance together."""
+    """Additive trend and season; all smoothing constants of a grid advance together.
+
+    ``y`` has a place for every calendar month; in a missing one (NaN) the level
+    moves on by the trend and nothing is updated.
+    """
     n = len(y)
     alpha, beta, gamma, phi = (
         g.ravel()
@@ -27,20 +34,17 @@ def holt_winters(y: np.ndarray, steps: int, damped: bool = False, margin: float
             indexing="ij",
         )
     )
-    if n >= 2 * SEASON:
-        slope = (y[SEASON : 2 * SEASON].mean() - y[:SEASON].mean()) / SEASON
-    else:
-        slope = (y[-1] - y[0]) / max(n - 1, 1)
-    head = y[: min(SEASON, n)]
-    detrended = head - head.mean() - slope * (np.arange(len(head)) - (len(head) - 1) / 2)
-    start = np.zeros(SEASON)
-    start[: len(detrended)] = detrended
-    level = np.full(alpha.shape, head.mean() - slope * (len(head) + 1) / 2)
+    slope, head = _start(y)
+    average = float(np.nanmean(head))
+    level = np.full(alpha.shape, average - slope)
     trend = np.full(alpha.shape, slope)
-    season = np.repeat(start[:, None], len(alpha), axis=1)
+    season = np.repeat(np.nan_to_num(head - average)[:, None], len(alpha), axis=1)
     sse = np.zeros(alpha.shape)
     for t in range(n):
         drift, slot = phi * trend, t % SEASON
+        if np.isnan(y[t]):
+            level, trend = level + drift, drift
+            continue
         sse += (y[t] - (level + drift + season[slot])) ** 2
         previous = level
         level = alpha * (y[t] - season[slot]) + (1 - alpha) * (level + drift)
@@ -50,7 +54,22 @@ def holt_winters(y: np.ndarray, steps: int, damped: bool = False, margin: float
     h = np.arange(1, steps + 1)
     damping = np.cumsum(phi[best] ** h)
     yhat = level[best] + damping * trend[best] + season[(n + h - 1) % SEASON, best]
-    return {"yhat": yhat, "lower": yhat * (1 - margin), "upper": yhat * (1 + margin)}
+    spec = f"additive, alpha {alpha[best]:g}, beta {beta[best]:g}, gamma {gamma[best]:g}, phi {phi[best]:g}"
+    return {"yhat": yhat, "lower": yhat * (1 - margin), "upper": yhat * (1 + margin), "spec": spec}
+
+
+def _start(y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Slope from months a year apart, and the first known value of each calendar month without it (NaN: none)."""
+    apart = y[SEASON : 2 * SEASON] - y[: len(y[SEASON : 2 * SEASON])]
+    known = np.flatnonzero(~np.isnan(y))
+    if not np.isnan(apart).all():
+        slope = float(np.nanmean(apart)) / SEASON
+    else:
+        slope = (y[known[-1]] - y[known[0]]) / max(known[-1] - known[0], 1)
+    head = np.full(SEASON, np.nan)
+    for t in known[::-1]:
+        head[t % SEASON] = y[t] - slope * t
+    return slope, head
 
 
 def _fourier(days: np.ndarray, period: float, order: int) -> np.ndarray:
@@ -88,79 +107,33 @@ def trend_fourier(
     fit = design(future_days) @ weights * scale + offset
     width = normal_z(level) * sigma * scale
     back = np.exp if logged else (lambda v: v)
-    return {"yhat": back(fit), "lower": back(fit - width), "upper": back(fit + width)}
-
-
-def _difference(y: np.ndarray, lag: int) -> np.ndarray:
-    return y[lag:] - y[:-lag]
-
-
-def _lags(short: int, seasonal: int) -> list[int]:
-    """Lags of a multiplicative polynomial of the given orders."""
-    grid = [i + SEASON * j for j in range(seasonal + 1) for i in range(short + 1)]
-    return sorted(set(grid) - {0})
-
-
-def _stack_lags(series: np.ndarray, lags: list[int], start: int) -> np.ndarray:
-    return np.column_stack([series[start - k : len(series) - k] for k in lags]) if lags else np.empty((len(series) - start, 0))
+    spec = f"{'multiplicative' if logged else 'additive'}, {len(knots)} changepoints, yearly{' and quarterly' if quarterly else ''} waves"
+    return {"yhat": back(fit), "lower": back(fit - width), "upper": back(fit + width), "spec": spec}
 
 
 def sarima(
     y: np.ndarray, steps: int, order: tuple[int, int, int] = (1, 1, 1),
-    seasonal_order: tuple[int, int, int] = (1, 1, 1), level: float = 0.95,
+    seasonal_order: tuple[int, int, int] = (1, 1, 1), level: float = 0.95, fixed: dict | None = None,
 ) -> dict:
-    """Seasonal ARIMA by two-stage least squares (long autoregression, then lags and residual lags).
+    """Seasonal ARIMA of largest likelihood, or with ``fixed`` coefficients; NaN months are missing.
 
-    Seasonal terms that the series is too short for are left out.
+    A series that leaves fewer than two years after differencing gets no
+    seasonal part; ``spec`` names the orders really fitted. Criteria compare
+    only models of equal differencing.
     """
+    y = y.astype(float)
     (p, d, q), (sp, sd, sq) = order, seasonal_order
-    if len(y) - d - SEASON * sd < 2 * SEASON:
+    if fixed is None and int((~np.isnan(y)).sum()) - d - SEASON * sd < 2 * SEASON:
         sp = sd = sq = 0
-    w, polynomial = y.astype(float), np.array([1.0])
-    for lag in [1] * d + [SEASON] * sd:
-        w = _difference(w, lag)
-        polynomial = np.convolve(polynomial, np.r_[1.0, np.zeros(lag - 1), -1.0])
-    drift = w.mean() if d + sd == 0 else 0.0
-    w = w - drift
-    ar, ma = _lags(p, sp), _lags(q, sq)
-
-    def enough(lags: list[int]) -> list[int]:
-        return [k for k in lags if k < len(w) // 2]
-
-    ar, ma = enough(ar), enough(ma)
-    long_order = min(max(ar + ma + [1]), max(len(w) // 3, 1))
-    x = _stack_lags(w, list(range(1, long_order + 1)), long_order)
-    ridge = 1e-6 * max(float(w @ w), 1e-12)
-    first = np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ w[long_order:])
-    noise = np.r_[np.zeros(long_order), w[long_order:] - x @ first]
-    start = max(ar + ma + [0])
-    x = np.hstack([_stack_lags(w, ar, start), _stack_lags(noise, ma, start)])
-    beta = np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ w[start:]) if x.shape[1] else np.empty(0)
-    residual = w[start:] - (x @ beta if x.shape[1] else 0.0)
-    phi, theta = dict(zip(ar, beta[: len(ar)])), dict(zip(ma, beta[len(ar) :]))
-    noise = np.r_[np.zeros(start), residual]
-    path, shocks = list(w), list(noise)
-    for _ in range(steps):
-        path.append(sum(c * path[-k] for k, c in phi.items()) + sum(c * shocks[-k] for k, c in theta.items()))
-        shocks.append(0.0)
-    future = np.array(path[len(w) :]) + drift
-    levels = list(y.astype(float))
-    for value in future:  # undo the differencing
-        levels.append(value - sum(c * levels[-k] for k, c in enumerate(polynomial) if k))
-    yhat = np.array(levels[len(y) :])
-    # forecast variance from the weights of past shocks, differencing included
-    psi = np.zeros(steps)
-    for i in range(steps):
-        ma_part = 1.0 if i == 0 else theta.get(i, 0.0)
-        ar_part = sum(c * (psi[i - k] if i >= k else 0.0) for k, c in phi.items())
-        psi[i] = ma_part + ar_part
-    for i in range(steps):
-        psi[i] -= sum(c * psi[i - k] for k, c in enumerate(polynomial) if k and i >= k)
-    n, k = len(residual), len(beta) + 1
-    variance = max(float(residual @ residual) / max(n, 1), 1e-12)
-    width = normal_z(level) * np.sqrt(variance * np.cumsum(psi**2))
-    loglik = -0.5 * n * (np.log(2 * np.pi * variance) + 1)
+    mean = float(np.nanmean(y)) if d + sd == 0 else 0.0
+    scale = max(float(np.nanstd(y)), 1e-9)
+    model, free = state_space.fit((y - mean) / scale, (p, d, q), (sp, sd, sq), fixed)
+    loglik, variance, n, state, cov = model.filter((y - mean) / scale)
+    points, spreads = model.ahead(state, cov, steps)
+    yhat = points * scale + mean
+    width = normal_z(level) * np.sqrt(variance * np.maximum(spreads, 0.0)) * scale
+    loglik, k = loglik - n * np.log(scale), free + 1
     return {
-        "yhat": yhat, "lower": yhat - width, "upper": yhat + width,
-        "aic": 2 * k - 2 * loglik, "bic": k * np.log(max(n, 1)) - 2 * loglik, "loglik": loglik,
+        "yhat": yhat, "lower": yhat - width, "upper": yhat + width, "aic": 2 * k - 2 * loglik,
+        "bic": k * np.log(max(n, 1)) - 2 * loglik, "loglik": loglik, "spec": f"({p},{d},{q})({sp},{sd},{sq},{SEASON})",
     }
