@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scopeledger.catalog.registry import query
+from scopeledger.catalog.reports import _AUDIT as AUDIT
 from scopeledger.model.lookups import TARGET_CUTS, TYPE_SHARES
 from scopeledger.operators.joins import literal_dim, orphans
 from scopeledger.plans import allocation as G
 from scopeledger.plans import quality as Q
+from scopeledger.plans.reports import q07_audit
 from scopeledger.sources.binding import AS_OF, YEAR, Bound
 
 #: Months since year 0 and facility decide the defect of a row.
@@ -117,6 +119,88 @@ def d05(b: Bound):
     return Q.row_summary(b.facilities(), Q.facility_rules())
 
 
+def _rules_sql(relation: str, rules: dict[str, str], lead: str = "") -> str:
+    """Failures and pass rate of every rule over a relation with defects."""
+    counts = " union all ".join(f"select '{rule}' as rule, count(*) filter (where {bad}) as failed from {relation}" for rule, bad in rules.items())
+    return f"with {lead}n as (select count(*) as n from {relation}), r as ({counts}) " \
+        "select rule, 'error' as severity, failed, round((n - failed) * 100.0::double / n, 2) as pass_rate_pct from r, n"
+
+
+@query("d04_quality_flags", _rules_sql(
+    "flagged", _RULES | {"allowed:data_quality_flag": "flag not in ('Verified', 'Estimated', 'Flagged')"},
+    DIRTY.strip() + """, flagged as (select *, case when month(date) % 12 = 5 then 'Unchecked' when month(date) % 3 = 0 then 'Verified'
+    when month(date) % 3 = 1 then 'Estimated' when year(date) % 2 = 0 then 'Flagged' end as flag from defects), """))
+def d04_flags(b: Bound):
+    month = F.month("date")
+    flag = F.when(month == 5, "Unchecked").when(month % 3 == 0, "Verified").when(month % 3 == 1, "Estimated").when(F.year("date") % 2 == 0, "Flagged")
+    return Q.row_summary(dirty(b).withColumn("data_quality_flag", flag), Q.emission_rules(AS_OF, flagged=True))
+
+
+@query("d04_site_enumerations", _rules_sql("claimed", {
+    "not_null:facility_id": "facility_id is null", "not_null:facility_name": "name is null", "not_null:region": "place is null",
+    "not_null:facility_type": "kind is null", "allowed:facility_type": "kind not in ('Data Center', 'Office', 'Manufacturing')",
+    "range:typical_renewable_pct": "share not between 0 and 100", "allowed:relative_size": "size not in ('Small', 'Medium', 'Large')",
+}, """claimed as (select facility_id, case when facility_id % 17 <> 2 then facility_name end as name, case when facility_id % 19 <> 3 then region end as place,
+    case when facility_id % 13 = 4 then 'Warehouse' when facility_id % 11 <> 5 then facility_type end as kind, facility_id * 7 % 120 - 5 as share,
+    case facility_id % 5 when 0 then 'Small' when 1 then 'Medium' when 2 then 'Large' when 3 then 'Huge' end as size from facilities), """))
+def d04_sites(b: Bound):
+    at = F.col("facility_id")
+    size = F.when(at % 5 == 0, "Small").when(at % 5 == 1, "Medium").when(at % 5 == 2, "Large").when(at % 5 == 3, "Huge")
+    claimed = b.facilities().select(
+        "facility_id", F.when(at % 17 != 2, F.col("facility_name")).alias("facility_name"), F.when(at % 19 != 3, F.col("region")).alias("region"),
+        F.when(at % 13 == 4, "Warehouse").when(at % 11 != 5, F.col("facility_type")).alias("facility_type"),
+        (at * 7 % 120 - 5).alias("typical_renewable_pct"), size.alias("relative_size"),
+    )
+    return Q.row_summary(claimed, Q.facility_rules(full=True))
+
+
+@query("d04_factor_scopes", _rules_sql("factors", {
+    "allowed:scope": "scope not in ('Scope 1', 'Scope 2', 'Scope 3')", "non_negative:emission_factor": "factor < 0",
+}, "factors as (select 'Scope ' || (p_size % 4 + 1) as scope, p_retailprice - 1000 as factor from part), "))
+def d04_factors(b: Bound):
+    scope = F.concat(F.lit("Scope "), (F.col("p_size") % 4 + 1).cast("string"))
+    return Q.row_summary(b.read("part").select(scope.alias("scope"), (F.col("p_retailprice") - 1000).alias("emission_factor")), Q.factor_rules())
+
+
+@query("d06_business_defects", _rules_sql("wrong", {
+    "not_null:facility_id": "facility_id is null", "not_null:date": "date is null", "non_negative:revenue_millions": "revenue < 0",
+    "non_negative:headcount": "people < 0", "non_negative:square_feet": "space < 0", "non_negative:server_count": "servers < 0",
+}, """wrong as (select case when k % 43 <> 1 then facility_id end as facility_id, case when k % 47 <> 2 then date end as date,
+    case when k % 37 = 3 then -revenue_millions else revenue_millions end as revenue, case when k % 41 = 4 then -headcount else headcount end as people,
+    case when k % 31 = 5 then null when k % 29 = 6 then -square_feet else square_feet end as space, case when k % 23 = 7 then -server_count else server_count end as servers
+    from (select *, year(date) * 12 + month(date) + facility_id * 7 as k from business)), """))
+def d06_defects(b: Bound):
+    def turned(c: str, modulus: int, rest: int):
+        return F.when(k % modulus == rest, -F.col(c)).otherwise(F.col(c)).alias(c)
+
+    k = F.year("date") * 12 + F.month("date") + F.col("facility_id") * 7
+    wrong = b.business().select(
+        F.when(k % 43 != 1, F.col("facility_id")).alias("facility_id"), F.when(k % 47 != 2, F.col("date")).alias("date"),
+        turned("revenue_millions", 37, 3), turned("headcount", 41, 4),
+        F.when(k % 31 == 5, None).when(k % 29 == 6, -F.col("square_feet")).otherwise(F.col("square_feet")).alias("square_feet"), turned("server_count", 23, 7),
+    )
+    return Q.row_summary(wrong, Q.business_rules())
+
+
+@query("d10_target_defects", _rules_sql("aims", {
+    "non_negative:baseline_emissions": "base < 0", "non_negative:target_emissions": "aim < 0", "target_after_baseline": "target_year <= baseline_year",
+}, """aims as (select year(date) as baseline_year, year(date) + facility_id % 4 - 1 as target_year, sum(scope1_tonnes) - 900 as base, sum(scope1_tonnes) - 1100 as aim
+    from emissions group by facility_id, year(date)), """))
+def d10_defects(b: Bound):
+    """A target of every facility and year, cut too deep for small ones and dated too early for some."""
+    yearly = b.meters(facility=True, unit="year").select(
+        F.year("date").alias("baseline_year"), (F.year("date") + F.col("facility_id") % 4 - 1).alias("target_year"),
+        (F.col("scope1_tonnes") - 900).alias("baseline_emissions"), (F.col("scope1_tonnes") - 1100).alias("target_emissions"),
+    )
+    return Q.row_summary(yearly, Q.target_rules())
+
+
+@query("q07_quality_audit_of_defects", "with " + DIRTY + AUDIT.replace("with d as", ", d as", 1).replace(" from emissions)", " from defects)").format(
+    extra="union all select 'Complete Scope 3', n - m3, n from d"))
+def q07_defects(b: Bound):
+    return q07_audit(dirty(b), with_scope3=True)
+
+
 @query("d06_business_rules", """
 with n as (select count(*) as n from business),
 r as (select 'not_null:facility_id' as rule, count(*) filter (where facility_id is null) as failed from business
@@ -253,7 +337,14 @@ def g04(b: Bound):
     return _allocated(b, 0.0).select("facility_id", "date", *SPREAD)
 
 
-@query("g05_facility_allocation_varied")
+@query("g05_facility_allocation_varied", _INTERPOLATED + """,
+ty as (select facility_type, count(*) as n from facilities group by 1),
+al as (select f.facility_id, date, case f.facility_type when 'Data Center' then 0.85::double when 'Office' then 0.10::double else 0.05::double end / n
+                * ((1 - 0.05::double) + 0.1::double * (('0x' || substr(md5(f.facility_id || '|' || strftime(date, '%Y-%m-%d')), 1, 8))::bigint / 4294967296.0::double)) as fr,
+              scope1, scope2_market * m.f as s2, scope3
+       from facilities f join ty on ty.facility_type = f.facility_type, mo m)
+select facility_id, date, round(scope1 * fr, 6) as scope1, round(s2 * fr, 6) as scope2_market, round(scope3 * fr, 6) as scope3 from al""",
+       digits={"scope1": 6, "scope2_market": 6, "scope3": 6})
 def g05(b: Bound):
     return _allocated(b, 0.05).select("facility_id", "date", *SPREAD)
 

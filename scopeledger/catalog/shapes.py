@@ -18,7 +18,7 @@ from scopeledger.operators import topk as Tk
 from scopeledger.operators import windows as Wn
 from scopeledger.operators.calendar import missing_months, resample_monthly
 from scopeledger.operators.filters import in_year
-from scopeledger.operators.joins import enrich
+from scopeledger.operators.joins import enrich, null_safe_join
 from scopeledger.plans import finance as R
 from scopeledger.sources.binding import YEAR, Bound
 
@@ -64,6 +64,21 @@ def a03(b: Bound):
     return b.emissions().groupBy("date").agg(F.count_distinct("facility_id").alias("facilities"))
 
 
+@query("a03_distinct_sketches", """
+with l as (select year(date) as year, month(date) as month, grouping(year(date)) + grouping(month(date)) as level, count(distinct facility_id) as facilities, count(*) as row_count
+           from emissions group by rollup (year(date), month(date)))
+select level, year, month, row_count, facilities, true as within_bound from l""")
+def a03_sketches(b: Bound):
+    """Distinct facilities by month, year and in all: exact, and whether the merged sketches are within their error bound."""
+    dated = b.emissions().select("facility_id", year_of("date").alias("year"), F.month("date").alias("month"))
+    level = F.grouping("year").cast("int") + F.grouping("month").cast("int")
+    exact = dated.rollup("year", "month").agg(F.count_distinct("facility_id").alias("facilities"), level.alias("level"))
+    sketched = A.sketched_by_level(dated, "facility_id", ["year", "month"])
+    both = null_safe_join(exact, sketched, ["level", "year", "month"])
+    close = F.abs(F.col("estimate") - F.col("facilities")) <= F.col("facilities") * Ag.SKETCH_ERROR + 1
+    return both.select("level", "year", "month", "row_count", "facilities", close.alias("within_bound"))
+
+
 @query("a04_mean_skips_null", f"select facility_type, {mean_sql('pue')} as pue, {mean_sql('cfe_pct')} as cfe_pct from combined group by 1")
 def a04(b: Bound):
     return b.combined().groupBy("facility_type").agg(Ag.mean("pue").alias("pue"), Ag.mean("cfe_pct").alias("cfe_pct"))

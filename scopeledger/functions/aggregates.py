@@ -37,3 +37,23 @@ def scope_sums(s1: str = "scope1", s2: str = "scope2", s3: str = "scope3", total
         F.sum("scope3_tonnes").alias(s3),
         F.sum(total_emissions()).alias(total),
     ]
+
+
+#: Registers of a distinct sketch as a power of two.
+SKETCH_BITS = 12
+#: Three standard errors of a sketch's estimate.
+SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def distinct_sketch(c: str | Column) -> Column:
+    """Mergeable sketch of the distinct non-NULL values."""
+    return F.hll_sketch_agg(as_col(c), F.lit(SKETCH_BITS))
+
+
+def merged_sketch(c: str | Column) -> Column:
+    return F.hll_union_agg(as_col(c))
+
+
+def sketched_count(c: str | Column) -> Column:
+    """Estimated distinct values, within :data:`SKETCH_ERROR` of the count in all but a few of a thousand cases."""
+    return F.hll_sketch_estimate(as_col(c))

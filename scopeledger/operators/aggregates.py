@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scopeledger.functions.aggregates import mean, scope_sums
+from scopeledger.functions.aggregates import distinct_sketch, mean, merged_sketch, scope_sums, sketched_count
 from scopeledger.functions.scalars import as_col, pct_change
 from scopeledger.operators.joins import checked_join
 from scopeledger.operators.windows import with_index
@@ -130,6 +130,19 @@ def row_and_distinct_count(key: str, rows: str = "row_count", distinct: str = "d
     return [F.count(F.lit(1)).alias(rows), F.count_distinct(key).alias(distinct)]
 
 
+def sketched_by_level(df: DataFrame, key: str, dims: Sequence[str]) -> DataFrame:
+    """Estimated distinct ``key`` of every prefix of ``dims`` and in all, from one scan.
+
+    One sketch a leaf is built from the rows; the levels above merge sketches,
+    so their cost follows the leaves, not the rows. ``level`` is 0 for leaves.
+    """
+    leaves = df.groupBy(*dims).agg(distinct_sketch(key).alias("_sketch"), F.count(F.lit(1)).alias("_rows"))
+    flags = sum((F.grouping(d).cast("int") for d in dims), F.lit(0))
+    return leaves.rollup(*dims).agg(
+        F.sum("_rows").alias("row_count"), sketched_count(merged_sketch("_sketch")).alias("estimate"), flags.alias("level")
+    )
+
+
 def metric_agg(aggregate: str, column: str) -> Column:
     """Aggregate named by the metric catalogue."""
     return mean(column) if aggregate == "mean" else F.sum(column)

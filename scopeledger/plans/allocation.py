@@ -54,8 +54,9 @@ def seasonal(df: DataFrame) -> DataFrame:
 
 
 def variation(amplitude: float = 0.05) -> Column:
-    """Repeatable ±amplitude noise from a hash of facility and month."""
-    unit = F.pmod(F.xxhash64("facility_id", "date"), F.lit(1_000_000)) / F.lit(1e6)
+    """Repeatable ±amplitude noise: the first 32 bits of a digest of facility and month, which any engine can compute."""
+    digest = F.md5(F.concat_ws("|", F.col("facility_id").cast("string"), F.date_format("date", "yyyy-MM-dd")))
+    unit = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
     return F.lit(1 - amplitude) + F.lit(2 * amplitude) * unit
 
 
