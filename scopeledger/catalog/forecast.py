@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scopeledger.catalog.kpis import change_sql, mean_sql
 from scopeledger.catalog.registry import query
+from scopeledger.functions.scalars import total_emissions
 from scopeledger.model.lookups import METRIC_ROWS
 from scopeledger.operators.calendar import future_months, resample_monthly
 from scopeledger.operators.reshape import unpivot_report
@@ -149,8 +150,8 @@ def f04(b: Bound):
 
 @query("f04_holt_winters_damped_by_facility", digits={"yhat": 2, "lower": 2, "upper": 2})
 def f04_damped(b: Bound):
-    series = P.prepare_series(load_emissions(b.spark, b.tables()), "total_emissions", ["facility_id"])
-    return P.fit_forecast(series, "holt_winters", HORIZON, {"damped": True}, ["facility_id"])
+    readings = b.emissions().withColumn("total_emissions", total_emissions())
+    return P.fit_forecast(P.prepare_series(readings, "total_emissions", ["facility_id"]), "holt_winters", HORIZON, {"damped": True}, ["facility_id"])
 
 
 @query("f05_trend_fourier_by_region", digits={"yhat": 2, "lower": 2, "upper": 2})

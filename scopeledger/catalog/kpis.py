@@ -35,7 +35,7 @@ o as (select {mean_sql('pue')} as avg_pue, {mean_sql('cfe_pct')} as avg_cfe, {me
              {mean_sql('waste_diversion_pct')} as avg_waste_diversion from operations where pue is not null)
 select * from t, y, o""")
 def k01(b: Bound):
-    return K.k01_summary(b.emissions(), b.operations())
+    return K.k01_summary_in_one_pass(b.combined())
 
 
 @query("k02_scope_shares", """

@@ -349,6 +349,42 @@ def g05(b: Bound):
     return _allocated(b, 0.05).select("facility_id", "date", *SPREAD)
 
 
+_DIGITS = {c: 6 for c in ("water_consumption_gallons", "water_withdrawal_gallons", "water_discharge_gallons", "waste_diverted_tons", "electricity_mwh", "pue", "cfe_pct")}
+
+
+@query("g06_derived_operations", _INTERPOLATED + """,
+ty as (select facility_type, count(*) as n from facilities group by 1),
+yw as (select year, scope1 * 100 as water, (select scope1 * 100 from annual where year = 1997) as base from annual),
+al as (select f.facility_id, f.region, f.facility_type, date, year(date) as year, m.f,
+              case month(date) when 6 then 1.04::double when 7 then 1.04::double when 8 then 1.04::double when 12 then 0.98::double when 1 then 0.98::double when 2 then 0.98::double
+                   else 1.0::double end as wf,
+              case f.facility_type when 'Data Center' then 0.85::double when 'Office' then 0.10::double else 0.05::double end / ty.n as share, scope1,
+              (1 - 0.05::double) + 0.1::double * (('0x' || substr(md5(f.facility_id || '|' || strftime(date, '%Y-%m-%d')), 1, 8))::bigint / 4294967296.0::double) as v
+       from facilities f join ty on ty.facility_type = f.facility_type, mo m),
+op as (select al.*, case when al.facility_type = 'Data Center' and al.facility_id % 20 < 3 then al.facility_id * 1000.0::double / 12 * yw.water / yw.base * v
+              else scope1 * 100 * wf * (share * v) end as water, coalesce(cast(p.cfe_share as double), 0.65::double) as cfe
+       from al join yw on yw.year = al.year left join prices p on p.region = al.region)
+select facility_id, date, round(water, 6) as water_consumption_gallons, round(water * 1.35::double, 6) as water_withdrawal_gallons,
+       round(water * 1.35::double - water, 6) as water_discharge_gallons, round(scope1 * (share * v) * 0.8::double, 6) as waste_diverted_tons,
+       round(scope1 * 10 * f * (share * v), 6) as electricity_mwh,
+       case when facility_type = 'Data Center' and facility_id % 20 < 3 then round(1.1::double + (facility_id % 5) / 100.0::double + (year - 1997) * 0.002::double, 6) end as pue,
+       round(cfe, 6) as cfe_pct
+from op""", digits=_DIGITS)
+def g06(b: Bound):
+    """Operations derived from yearly totals for every facility and month; some data centres are metered."""
+    yearly = annual(b).withColumns({
+        "scope2_location": F.col("scope2_market"), "electricity": F.col("scope1") * 10, "fuel": F.col("scope1") * 5, "water": F.col("scope1") * 100,
+        "waste": F.col("scope1"), "replenishment_pct": F.lit(0.2), "diversion_pct": F.lit(0.8),
+    })
+    monthly = G.seasonal(G.interpolate_annual(yearly, b.emissions().select("date").distinct()))
+    shares = literal_dim(b.spark, TYPE_SHARES, "facility_type STRING, share DOUBLE")
+    records = G.allocate(monthly, b.facilities(), shares)
+    at = F.col("facility_id")
+    metered = b.facilities().where(at % 20 < 3).select(at, (at * 1000.0).alias("water_2024"), (1.1 + at % 5 / F.lit(100.0)).alias("pue_2024"))
+    derived = G.derive_operations(records, metered, b.regional_prices(), yearly, reference_year=YEAR - 1)
+    return derived.select("facility_id", "date", *_DIGITS)
+
+
 @query("g07_regional_costs", """
 select facility_id, date, cast(energy_cost_usd as double) as energy_cost_usd, cast(water_cost_usd as double) as water_cost_usd, round(cast(carbon_cost_usd as double), 8) as carbon_cost_usd
 from combined""", digits={"carbon_cost_usd": 8})

@@ -418,7 +418,13 @@ def u04(b: Bound):
     ])
 
 
-@query("u05_payback_matrix", digits=None)
+@query("u05_payback_matrix", f"""
+with o as (select {mean_sql('pue')} as pue, cast(sum(electricity_mwh) as double) / cast(count(distinct date) as double) * 12 as mwh from combined
+           where electricity_mwh is not null and pue is not null and energy_cost_usd is not null and facility_type = 'Data Center'),
+s as (select mwh * (pue - 1.08::double) as saved, 0.5::double + j * (1.5::double / 19) as capital from o, (select unnest(range(20)) as j))
+select round(capital, 4) as capital_musd, """ + ", ".join(
+    f"round(case when saved * (40 + {i} * (80::double / 19)) / 1000 > 0 then capital * 1000 / (saved * (40 + {i} * (80::double / 19)) / 1000) else 999 end, 6) as price_{i}"
+    for i in range(20)) + " from s", digits={f"price_{i}": 6 for i in range(20)})
 def u05(b: Bound):
     """Capital by price matrix of the fleet: rows capital, one column per price."""
     saved = R.pue_base(R.base_slice(b.combined())).select(

@@ -72,13 +72,15 @@ def allocate(
 
 
 def derive_operations(
-    records: DataFrame, sites: DataFrame, regions: DataFrame, annual: DataFrame, noise: float = 0.05
+    records: DataFrame, sites: DataFrame, regions: DataFrame, annual: DataFrame, noise: float = 0.05,
+    reference_year: int = L.REFERENCE_YEAR,
 ) -> DataFrame:
     """PUE, CFE, water and waste of every facility-month.
 
-    ``sites`` holds (facility_id, water_2024, pue_2024) for metered data centres.
+    ``sites`` holds (facility_id, water_2024, pue_2024) for metered data centres,
+    as measured in ``reference_year``.
     """
-    base = annual.filter(F.col("year") == L.REFERENCE_YEAR).select(F.col("water").alias("_base_water"))
+    base = annual.filter(F.col("year") == reference_year).select(F.col("water").alias("_base_water"))
     levels = annual.select("year", F.col("water").alias("_year_water")).crossJoin(base)
     df = records.join(sites, "facility_id", "left").join(F.broadcast(levels), "year")
     df = lookup(df, regions, "region", "cfe_share", L.REGION_DEFAULTS["cfe_share"])
@@ -102,7 +104,7 @@ def derive_operations(
         F.col("cfe_share").cast("double").alias("cfe_pct"),
         F.when(
             F.col("facility_type") == "Data Center",
-            F.col("pue_2024") + (F.col("year") - L.REFERENCE_YEAR) * L.PUE_STEP_PER_YEAR,
+            F.col("pue_2024") + (F.col("year") - reference_year) * L.PUE_STEP_PER_YEAR,
         ).alias("pue"),
         withdrawn.alias("water_withdrawal_gallons"),
         (withdrawn - F.col("water")).alias("water_discharge_gallons"),

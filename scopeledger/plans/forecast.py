@@ -139,9 +139,13 @@ def fit_forecast(
     values of zero or less no multiplicative waves.
     """
     keys = list(p) or ["series"]
-    split = split_tail(df, test_size, p).withColumn("y", F.col("y").cast("double"))
-    if not p:
-        split = split.withColumn("series", F.lit("all"))
+    # Fits are slow for their size in bytes, so adaptive merging would leave them to a few tasks.
+    # A partition count of its own keeps this exchange, smaller tasks balance better, and the
+    # windows below find their series in place.
+    tasks = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    series = df if p else df.withColumn("series", F.lit("all"))
+    spread = series.select(*keys, "date", F.col("y").cast("double").alias("y")).repartition(tasks, *keys)
+    split = split_tail(spread, test_size, keys)
     trained = F.count_if(~F.col("is_test")).over(W.partitionBy(*keys))
     split = split.withColumn("_train", trained).filter(F.col("_train") >= MIN_POINTS).drop("_train")
     schema = T.StructType([split.schema[k] for k in keys] + FORECAST_FIELDS)
@@ -149,11 +153,7 @@ def fit_forecast(
     def fit(series: pd.DataFrame) -> pd.DataFrame:
         return _forecast_one(series, keys, model, horizon, params or {})
 
-    # Fits are slow for their size in bytes, so adaptive merging would leave them to a few tasks.
-    # A partition count of its own keeps this exchange, and smaller tasks balance better.
-    tasks = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = split.select(*keys, "date", "y", "is_test").repartition(tasks, *keys)
-    return spread.groupBy(*keys).applyInPandas(fit, schema)
+    return split.select(*keys, "date", "y", "is_test").groupBy(*keys).applyInPandas(fit, schema)
 
 
 def extend_trend(series: DataFrame, horizon: int, p: Sequence[str] = (), z: float = 1.96) -> DataFrame:

@@ -52,6 +52,27 @@ def k01_summary(emissions: DataFrame, operations: DataFrame) -> DataFrame:
     return with_constant_row(with_constant_row(totals, yoy), fleet)
 
 
+def k01_summary_in_one_pass(combined: DataFrame) -> DataFrame:
+    """The summary from facts that hold emissions and operations side by side: one aggregate by month, one over the months."""
+    fleet = {"avg_pue": "pue", "avg_cfe": "cfe_pct", "avg_water_replen": "water_replenishment_pct", "avg_waste_diversion": "waste_diversion_pct"}
+    site = F.col("pue").isNotNull()
+    known = {name: F.when(site, F.col(c)) for name, c in fleet.items()}
+    monthly = combined.groupBy("date").agg(
+        *scope_sums(), *[F.sum(c).alias(f"s_{n}") for n, c in known.items()], *[F.count(c).alias(f"n_{n}") for n, c in known.items()]
+    )
+    # the calendar bounds the months of the map
+    totals = F.map_from_entries(F.collect_list(F.struct("date", "total")))
+    one = monthly.agg(
+        *[F.sum(c).alias(c) for c in ("scope1", "scope2", "scope3", "total")], F.max("date").alias("recent_date"),
+        F.max_by("total", "date").alias("recent_emissions"), totals.alias("_totals"),
+        *[safe_div(F.sum(f"s_{n}"), F.sum(f"n_{n}")).alias(n) for n in fleet],
+    ).withColumn("prior_emissions", F.try_element_at("_totals", F.add_months("recent_date", -12)))
+    return one.select(
+        "scope1", "scope2", "scope3", "total", "recent_date", "recent_emissions", "prior_emissions",
+        F.round(pct_change("recent_emissions", "prior_emissions"), 1).alias("yoy_pct"), *fleet,
+    )
+
+
 def k02_scope_shares(emissions: DataFrame) -> DataFrame:
     """Tonnes and percent by scope."""
     wide = emissions.agg(*scope_sums())

@@ -1,8 +1,9 @@
 """Batch validation: rules are predicates that good rows satisfy.
 
 Row rules are evaluated in one pass over the rows. Rules about keys (uniqueness,
-foreign keys) are decided on aggregated keys and joined back, so a key repeated
-any number of times never gathers its rows in one task.
+foreign keys) are decided on aggregated keys and joined back by the planner:
+few bad keys are broadcast at run time, many are merged and skewed ones split.
+Everything is lazy, and the summary is one aggregate of the same rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from scopeledger.functions.aggregates import count_where
 from scopeledger.functions.scalars import as_of, safe_div
 from scopeledger.model import schemas as S
 from scopeledger.operators.calendar import missing_months
-from scopeledger.operators.joins import checked_join
+from scopeledger.operators.joins import null_safe_join
 
 __all__ = [
     "Rule", "emission_rules", "business_rules", "facility_rules", "target_rules", "category_rules",
@@ -169,27 +170,32 @@ def validate(
     """
     references = references or {}
     failed = [F.when(r.broken(), F.lit(r.rule_id)) for r in rules]
+    names = [r.rule_id for r in rules]
     marked = df
     if unique:
         covered = {c: dim for c, dim in references.items() if c in unique}
-        marked = checked_join(marked, _bad_keys(df, unique, covered), unique)
-        failed.append(F.when(F.col("_repeated"), F.lit("unique:" + ",".join(unique))))
+        marked = null_safe_join(marked, _bad_keys(df, unique, covered), unique, "left")
+        names.append("unique:" + ",".join(unique))
+        failed.append(F.when(F.col("_repeated"), F.lit(names[-1])))
     for column, dim in references.items():
         if column not in unique:
-            marked = checked_join(marked, _bad_keys(df, [column], {column: dim}, once=False), [column])
-        failed.append(F.when(F.col(f"_lost_{column}"), F.lit(f"reference:{column}")))
+            marked = null_safe_join(marked, _bad_keys(df, [column], {column: dim}, once=False), [column], "left")
+        names.append(f"reference:{column}")
+        failed.append(F.when(F.col(f"_lost_{column}"), F.lit(names[-1])))
     tagged = marked.withColumn("failed_rules", F.array_compact(F.array(*failed))).select(*df.columns, "failed_rules")
     clean = tagged.filter(F.size("failed_rules") == 0).drop("failed_rules")
     quarantined = tagged.filter(F.size("failed_rules") > 0)
-    return clean, quarantined, summary(tagged)
+    return clean, quarantined, summary(tagged, names)
 
 
-def summary(tagged: DataFrame) -> DataFrame:
-    """Rows per failed rule, most frequent first, next to the row count."""
-    rows = tagged.agg(F.count(F.lit(1)).alias("total_rows"))
-    per_rule = tagged.select(F.explode("failed_rules").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("failed"))
-    return per_rule.crossJoin(F.broadcast(rows)).withColumn(
-        "pass_rate_pct", F.round(safe_div((F.col("total_rows") - F.col("failed")) * 100.0, "total_rows"), 2)
+def summary(tagged: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows per failed rule of ``names``, most frequent first, next to the row count, from one aggregate."""
+    counts = [F.count_if(F.array_contains("failed_rules", name)).alias(f"f{i}") for i, name in enumerate(names)]
+    one = tagged.agg(F.count(F.lit(1)).alias("total_rows"), *counts)
+    rules = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"f{i}").alias("failed")) for i, name in enumerate(names)])
+    per_rule = one.select("total_rows", F.inline(rules)).where("failed > 0")
+    return per_rule.select(
+        "rule", "failed", "total_rows", F.round(safe_div((F.col("total_rows") - F.col("failed")) * 100.0, "total_rows"), 2).alias("pass_rate_pct")
     ).orderBy(F.col("failed").desc(), "rule")
 
 

@@ -236,3 +236,16 @@ def test_long_list_keeps_columns_and_rows(spark):
     df = spark.createDataFrame([("EU", 1), ("US", 250), ("US", None), ("EU", 900)], "region string, facility_id long")
     short, long_ = keep_values(df, "facility_id", [1, 250]), keep_values(df, "facility_id", [1, 250, *range(1000, 1300)])
     assert short.schema == long_.schema and sorted(short.collect()) == sorted(long_.collect())
+
+
+def test_distinct_sketches_merge_within_their_bound(spark):
+    from scopeledger.functions.aggregates import SKETCH_ERROR
+    from scopeledger.operators.aggregates import sketched_by_level
+
+    rows = spark.range(60_000).selectExpr("id % 20000 as site", "id % 3 as year", "id % 7 as month").unionByName(
+        spark.createDataFrame([(None, 0, 0)], "site long, year long, month long"))
+    got = {(r["level"], r["year"], r["month"]): r for r in sketched_by_level(rows, "site", ["year", "month"]).collect()}
+    assert len(got) == 1 + 3 + 21 and got[2, None, None]["row_count"] == 60_001
+    for level, where in (((2, None, None), "true"), ((1, 1, None), "year = 1"), ((0, 2, 5), "year = 2 and month = 5")):
+        exact = rows.where(where).select("site").where("site is not null").distinct().count()
+        assert abs(got[level]["estimate"] - exact) <= exact * SKETCH_ERROR + 1

@@ -19,7 +19,7 @@ def test_year_filter_reaches_line_items(spark, name):
     assert "GreaterThanOrEqual(l_shipdate" in text or "Scan ExistingRDD" in text
 
 
-@pytest.mark.parametrize("name", ["q01_monthly_trend", "q06_region_type_subtotals", "q07_quality_audit", "k14_latest_operations", "s03_combined_single_pass", "k19_scorecard", "w04_year_over_year_calendar", "a10_monthly_resample"])
+@pytest.mark.parametrize("name", ["q01_monthly_trend", "q06_region_type_subtotals", "q07_quality_audit", "k14_latest_operations", "s03_combined_single_pass", "k19_scorecard", "w04_year_over_year_calendar", "a10_monthly_resample", "k01_summary_kpis", "a03_distinct_counts", "d01_row_rules"])
 def test_line_items_are_read_once(spark, name):
     assert plan_of(spark, name).count("lineitem.parquet") == 1
 
@@ -43,3 +43,12 @@ def test_monthly_report_shuffles_months_only(spark):
     """Readings are summed by month before any exchange."""
     text = plan_of(spark, "q01_monthly_trend")
     assert "hashpartitioning(l_suppkey" not in text
+
+
+def test_validation_builds_without_a_job(spark):
+    """The line items are read for the rows and, only their keys and months, for the keys."""
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    df = entry.queries()["d02_failed_rule_summary"](spark, SF_DIR)
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    assert df._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet") == 2

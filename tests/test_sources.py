@@ -116,3 +116,62 @@ def test_checkpoint_folder_named_by_cluster_is_required(spark, monkeypatch):
     Session.conf["spark.checkpoint.dir"] = "/shared/points"
     session.ensure_checkpoint_dir(Session)
     assert Session.sparkContext.folder == "/shared/points"
+
+
+def test_upsert_replaces_only_touched_months(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    schema = "facility_id STRING, date DATE, v DOUBLE"
+
+    def rows(*some):
+        return spark.createDataFrame([(f, date(2020, m, 1), v) for f, m, v in some], schema)
+
+    def stored():
+        return {(r["facility_id"], r["date"].month): r for r in spark.read.parquet(path).collect()}
+
+    key = ["facility_id", "date"]
+    sinks.upsert_table(rows(("a", 1, 1.0), ("b", 1, 2.0), ("a", 2, 3.0)), path, key)
+    first, files = stored(), {p.name for p in (tmp_path / "fact" / "month=202001").glob("*.parquet")}
+    sinks.upsert_table(rows(("a", 2, 30.0), ("c", 2, 4.0), ("a", 3, 5.0)), path, key)
+    second = stored()
+    assert {k: r["v"] for k, r in second.items()} == {("a", 1): 1.0, ("b", 1): 2.0, ("a", 2): 30.0, ("c", 2): 4.0, ("a", 3): 5.0}
+    assert {p.name for p in (tmp_path / "fact" / "month=202001").glob("*.parquet")} == files
+    assert second["a", 2]["created_at"] == first["a", 2]["created_at"] and second["a", 2]["updated_at"] > first["a", 2]["updated_at"]
+    assert second["a", 1]["updated_at"] == first["a", 1]["updated_at"]
+    sinks.upsert_table(rows(("a", 2, 30.0), ("c", 2, 4.0), ("a", 3, 5.0)), path, key)
+    assert {k: r["v"] for k, r in stored().items()} == {k: r["v"] for k, r in second.items()}
+    sinks.upsert_table(rows(), path, key)
+    for wrong in (rows(("a", 1, 1.0), ("a", 1, 2.0)), rows().union(spark.createDataFrame([("a", None, 1.0)], schema))):
+        with pytest.raises(ValueError):
+            sinks.upsert_table(wrong, path, key)
+
+
+def test_upsert_that_breaks_off_leaves_the_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "fact")
+    df = spark.createDataFrame([("a", date(2020, 1, 1), 1.0)], "facility_id STRING, date DATE, v DOUBLE")
+    sinks.upsert_table(df, path, ["facility_id", "date"])
+    broken = df.withColumn("v", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.upsert_table(broken, path, ["facility_id", "date"])
+    assert spark.read.parquet(path).first()["v"] == 1.0
+    sinks.upsert_table(df.withColumn("v", F.lit(2.0)), path, ["facility_id", "date"])
+    assert [r["v"] for r in spark.read.parquet(path).collect()] == [2.0]
+
+
+def test_bucketed_facts_join_without_an_exchange(spark, bound, tmp_path):
+    spark.sql(f"create database facts location '{tmp_path / 'facts.db'}'")
+    before = spark.conf.get(sinks.BUCKET_CONF)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for name, df in (("emissions", bound.emissions()), ("operations", bound.operations())):
+            sinks.write_bucketed(df, f"facts.{name}", 4)
+        spark.conf.set(sinks.BUCKET_CONF, "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        left, right = spark.table("facts.emissions"), spark.table("facts.operations")
+        for how in ("inner", "left"):
+            joined = left.join(right, ["facility_id", "date"], how)
+            assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+            assert joined.count() == bound.emissions().count()
+    finally:
+        spark.conf.set(sinks.BUCKET_CONF, before)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.sql("drop database facts cascade")
