@@ -46,17 +46,36 @@ def canonical(url: Column) -> Column:
     return F.when(host != "", found)
 
 
+def resolved(target: Column, url: Column) -> Column:
+    """A link's target as a whole url, from the page's scheme, root or folder; null for other schemes and bare fragments."""
+    parts = F.split(F.regexp_extract(target, r"^([^?#]*)", 1), "/")
+    rest = F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    root = F.regexp_extract(url, r"^(.*?://[^/?#]*)", 1)
+    own = F.split(path_of(url), "/")
+    folder = F.when(target.startswith("/"), F.array().cast("array<string>")).otherwise(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))))
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part.isin(".", ""), done).otherwise(F.concat(done, F.array(part)))
+
+    kept = F.aggregate(F.concat(folder, parts), F.array().cast("array<string>"), step)
+    path = F.concat(F.array_join(F.transform(kept, lambda p: F.concat(F.lit("/"), p)), ""), F.when(target.rlike(r"/([?#]|$)"), "/").otherwise(""))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|#|$)"), None)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"^(.*?:)//", 1), target))
+        .when(target.startswith("?"), F.concat(root, path_of(url), rest)).otherwise(F.concat(root, path, rest))
+    )
+
+
 def declared(html: Column, url: Column) -> Column:
-    """Urls that a page names as its own: canonical links, Open Graph urls and refresh targets; relative ones are resolved at the root."""
+    """Urls that a page names as its own: canonical links, Open Graph urls and refresh targets, resolved against the page's url."""
     tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(TAG), F.lit(0))
 
     def target(tag: Column) -> Column:
         link = F.when(tag.rlike(r"""(?i)\brel\s*=\s*["']?canonical\b"""), F.regexp_extract(tag, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
         graph = F.when(tag.rlike(r"""(?i)\bproperty\s*=\s*["']?og:url\b"""), F.regexp_extract(tag, r"""(?i)\bcontent\s*=\s*["']?([^"'\s>]+)""", 1))
         moved = F.when(tag.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract(tag, r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
-        named = F.coalesce(link, graph, moved)
-        rooted = F.concat(F.regexp_extract(url, r"^(.*?://[^/?#]*)", 1), named)
-        return F.when(named.startswith("/") & ~named.startswith("//"), rooted).when(named.contains("://"), named)
+        return resolved(F.coalesce(link, graph, moved), url)
 
     return F.array_distinct(F.array_compact(F.transform(tags, target)))
 

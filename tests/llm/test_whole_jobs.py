@@ -7,7 +7,7 @@ import random
 import re
 
 import corpus_pipeline
-from scopeledger.llm import suffixes
+from scopeledger.llm import suffixes, urls
 from scopeledger.llm.common import stage
 
 BLANK = re.compile(r"[\x20\x09-\x0D]")
@@ -102,3 +102,22 @@ def test_every_stage_of_the_pipeline_takes_effect(spark, tmp_path):
         assert at <= 2048
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert collections.Counter((r.doc_id, r.piece, r.ids_crc32) for r in again) == collections.Counter((r.doc_id, r.piece, r.ids_crc32) for r in packed)
+
+
+def test_aliases_named_relative_to_the_page(spark):
+    page = "https://a.org/x/y/z.html?q=1#f"
+    cases = {
+        "//b.com/de/p": "https://b.com/de/p", "/r/s": "https://a.org/r/s", "w.html": "https://a.org/x/y/w.html", "../w?k=2": "https://a.org/x/w?k=2",
+        "./": "https://a.org/x/y/", "../../../../w/./v/": "https://a.org/w/v/", "?k=3": "https://a.org/x/y/z.html?k=3", "http://c.de/../p": "http://c.de/../p",
+        "#top": None, "mailto:x@y.z": None, "": None,
+    }
+    rows = spark.createDataFrame([(t, page) for t in cases], "t string, u string")
+    assert {r.t: r.v for r in rows.select("t", urls.resolved(rows.t, rows.u).alias("v")).collect()} == cases
+    bare = spark.createDataFrame([("w", "http://a.org"), ("w", "no scheme"), ("w", None), (None, page)], "t string, u string")
+    assert {r.v for r in bare.select(urls.canonical(urls.resolved(bare.t, bare.u)).alias("v")).collect()} == {"https://a.org/w", None}
+    link = '<html><head><link rel="canonical" href="{}"></head>'
+    pages = [(1, "http://a.net/q/one.html", link.format("//b.com/de/p")), (2, "http://b.com/de/x/y", link.format("../z")), (3, "http://b.com/fr/z", None),
+             (4, "http://c.net/k/", link.format("../../m/n")), (5, "http://c.net/m/n", "x" * 200_000 + link.format("https://b.com/de/end"))]
+    frame = stage(spark.createDataFrame([(*p, "v", "h") for p in pages], "page_id long, url string, html string, verdict string, host string"), "relative")
+    rules = spark.createDataFrame([("com", "/de/", "block"), ("com", "/fr/", "allow")], "host string, path string, verdict string")
+    assert {r.page_id: r.verdict for r in urls.judge_urls(frame, rules).collect()} == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block"}
