@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import random
 import re
+import zlib
 
 import corpus_pipeline
 from scopeledger.llm import suffixes, urls
@@ -121,3 +122,16 @@ def test_aliases_named_relative_to_the_page(spark):
     frame = stage(spark.createDataFrame([(*p, "v", "h") for p in pages], "page_id long, url string, html string, verdict string, host string"), "relative")
     rules = spark.createDataFrame([("com", "/de/", "block"), ("com", "/fr/", "allow")], "host string, path string, verdict string")
     assert {r.page_id: r.verdict for r in urls.judge_urls(frame, rules).collect()} == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block"}
+
+
+def test_a_document_without_id_is_not_held_out(spark, tmp_path):
+    from scopeledger.llm.queries import op5_toxicity
+
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 30) + (" vile hateful scum" * 3 if i % 3 == 0 else "")) for i in range(60)] + [(None, "vile hateful scum"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = op5_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and [r.held_out for r in got if r.doc_id is None] == [False, False]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
