@@ -18,13 +18,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scopeledger.llm.common import BLANK_RUN, BLANKS, join_rows, join_small, number_rows, ship, stage, text_of
+from scopeledger.operators.ranking import with_order_stats
 
 ship(__name__)
 
 #: Bits of the hash decided at each step of the search; two steps leave one bucket in a million.
 STEP_BITS = 10
 STEPS = 2
-#: Open rows that a source may have to be finished in one task.
+#: Open rows up to which one task goes through the remaining rounds of a source; they choose the same rows either way.
 SMALL = 4096
 #: Share of the fraction that a source may be short or over before drawn documents make room for a larger one.
 NEAR = 0.005
@@ -40,7 +41,8 @@ def water_fill(sources: DataFrame, size: str, weight: str, cap_epochs: float, sh
 
     If all are clamped, the targets add up to less than the share. A null or
     non-positive weight has target zero. Each round aggregates the table to two
-    numbers; there are at most as many rounds as sources clamped one by one.
+    numbers and clamps every source under the level at once: Newton's method on a
+    concave broken line, which comes from below and ends exactly.
     """
     w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
     cap = F.coalesce(F.col(size).cast("double"), F.lit(0.0)) * cap_epochs
@@ -62,10 +64,10 @@ def water_fill(sources: DataFrame, size: str, weight: str, cap_epochs: float, sh
 
 
 def cyclic_weights(sources: DataFrame, source: str, weights: Sequence[float]) -> DataFrame:
-    """Weights dealt in turn to the sources by code point, null last. One row per source is ordered."""
-    order = W.orderBy(F.col(source).cast("binary").asc_nulls_last())
-    turn = (F.row_number().over(order) - 1) % len(weights)
-    return sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), turn + 1))
+    """Weights dealt in turn to the sources by code point, null last. Many sources are ordered by ranges, not in one task."""
+    ordered = with_order_stats(sources.withColumn("_code", F.col(source).cast("binary")).withColumn("_one", F.lit(1)), "_code", [], amount="_one")
+    turn = ((F.col("row_no") - 1) % len(weights) + 1).cast("int")
+    return ordered.select(*sources.columns, F.element_at(F.array(*[F.lit(float(x)) for x in weights]), turn).alias("weight"))
 
 
 def _draw(items: DataFrame, goals: DataFrame, row: str, source: str, size: str) -> DataFrame:
@@ -99,38 +101,43 @@ def _draw(items: DataFrame, goals: DataFrame, row: str, source: str, size: str)
     return stage(chosen.unionByName(last.select(row, source, size, "_h")), "drawn")
 
 
-def _first_fit(rows: pa.Table) -> pa.Table:
-    """Rows of one source that fit, one after the other in the order of the hash."""
+def _remaining_rounds(rows: pa.Table) -> pa.Table:
+    """Rows that the rounds of :func:`_fill` still take from one source, in the same order and by the same caps."""
     rows = rows.take(np.lexsort((rows.column(0).to_numpy(), rows.column(3).to_numpy())))
-    left, taken = rows.column(4)[0].as_py(), []
-    for i, n in enumerate(rows.column(2).to_pylist()):
-        if n <= left:
-            left -= n
-            taken.append(i)
-    return rows.take(pa.array(taken, pa.int64())).drop_columns([rows.column_names[4]])
+    sizes, goal, cap = rows.column(2).to_numpy(), rows.column(4)[0].as_py(), rows.column(5)[0].as_py()
+    open_, taken = np.arange(len(sizes)), np.zeros(len(sizes), bool)
+    while len(open_):
+        offered = open_[sizes[open_] <= cap]
+        now = offered[np.cumsum(sizes[offered]) <= goal]
+        taken[now] = True
+        goal -= float(sizes[now].sum())
+        open_ = open_[~taken[open_] & (sizes[open_] > 0) & (sizes[open_] <= goal)]
+        if len(open_):
+            cap = goal / 2 if sizes[open_].min() <= goal / 2 else goal
+    return rows.take(pa.array(np.flatnonzero(taken))).drop_columns(rows.column_names[4:])
 
 
 def _fill(items: DataFrame, goals: DataFrame, row: str, source: str, size: str) -> DataFrame:
     """Rows of ``items`` that fill each source up to its ``_goal``, until none of the others fits.
 
-    A round draws in hash order among the rows that are no larger than what is
-    left. After the first it takes rows up to half of that, as long as there are
-    any: then it ends at a row that small or has taken all of them, so what is
-    left halves in two rounds at most. Once no source has more than ``SMALL``
-    rows open, each is gone through row by row.
+    A round draws in hash order among the rows that are no larger than the cap,
+    up to the first that does not fit. The first cap is the goal; later ones are
+    half of what is left, as long as there are rows that small, else all of it.
+    A round under a cap of half ends at a row that small or has taken all of
+    them, so what is left halves in two rounds at most. Sources are worked on
+    together; once none has more than ``SMALL`` rows open, a task for each goes
+    through the rounds that are left, by the same rule.
     """
     drawn = None
+    goals = goals.select("_gs", F.col("_goal").cast("double").alias("_goal"), F.col("_goal").cast("double").alias("_cap"))
     open_ = join_small(items.select(row, source, size, "_h"), goals.select("_gs", "_goal"), [(source, "_gs")], "inner")
     open_ = stage(open_.where(F.col(size) <= F.col("_goal")).drop("_goal"), "open")
     while most := open_.groupBy(source).count().agg(F.max("count")).first()[0]:
+        ready = join_small(open_, goals, [(source, "_gs")], "inner").select(row, source, size, "_h", "_goal", "_cap")
         if most <= SMALL:
-            ready = join_small(open_, goals.select("_gs", "_goal"), [(source, "_gs")], "inner").select(row, source, size, "_h", "_goal")
-            now = ready.groupBy(source).applyInArrow(_first_fit, open_.select(row, source, size, "_h").schema)
+            now = ready.groupBy(source).applyInArrow(_remaining_rounds, open_.select(row, source, size, "_h").schema)
             return now if drawn is None else drawn.unionByName(now)
-        offered = open_
-        if drawn is not None:
-            offered = join_small(open_, goals.select("_gs", "_goal", "_cap"), [(source, "_gs")], "inner").where(F.col(size) <= F.col("_cap"))
-        now = _draw(offered, goals, row, source, size)
+        now = _draw(ready.where(F.col(size) <= F.col("_cap")).drop("_goal", "_cap"), goals, row, source, size)
         drawn = now if drawn is None else drawn.unionByName(now)
         added = now.groupBy(source).agg(F.sum(size).alias("_add")).withColumnRenamed(source, "_as")
         goals = stage(join_small(goals.select("_gs", "_goal"), added, [("_gs", "_as")]).select(
