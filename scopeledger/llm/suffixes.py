@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scopeledger.llm.common import number_rows, ship, stage, text_of
+from scopeledger.llm.common import join_small, number_rows, ship, stage, text_of
 
 ship(__name__)
 
@@ -152,30 +152,33 @@ def _around(out: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], ["rank", "_row", "at", "first", "before", "behind"])
 
 
-def repeated_offsets(group: list[tuple[bytes, bytes]], half: int, size: int) -> list[list[int] | range]:
-    """For each member of a group of equal rank, the offsets (bytes of the window before the position) repeated in the group."""
+def repeated_runs(group: list[tuple[bytes, bytes]], half: int, size: int) -> list[list[list[int]]]:
+    """For each member of a group of equal rank, the runs of offsets (bytes of the window before the position) repeated in the group.
+
+    Windows are compared at one offset after the other, so no more than one
+    window of each member is held.
+    """
     counts = Counter(group)
-    spans = {c: range(size - half - len(c[1]) if len(c[1]) < size - half else 0, len(c[0]) + 1) for c in counts}
-    found = {c: spans[c] if n > 1 else [] for c, n in counts.items()}
-    if len(counts) > 1:
-        seen: Counter = Counter()
-        windows = {c: [(c[0][len(c[0]) - r:], c[1][:size - half - r]) for r in spans[c]] for c in counts}
-        for of in windows.values():
-            seen.update(of)
-        for c, n in counts.items():
-            if n == 1:
-                found[c] = [r for r, w in zip(spans[c], windows[c]) if seen[w] > 1]
-    return [found[c] for c in group]
-
-
-def _runs(offsets) -> list[tuple[int, int]]:
-    runs: list[list[int]] = []
-    for r in offsets:
-        if runs and r == runs[-1][1] + 1:
-            runs[-1][1] = r
-        else:
-            runs.append([r, r])
-    return runs
+    members = list(counts)
+    reach = [(max(size - half - len(behind), 0), len(before)) for before, behind in members]
+    runs = [[list(span)] if counts[m] > 1 else [] for m, span in zip(members, reach)]
+    if len(members) > 1:
+        for r in range(min(lo for lo, _ in reach), max(hi for _, hi in reach) + 1):
+            first: dict[bytes, int] = {}
+            twice: set[int] = set()
+            for i, (before, behind) in enumerate(members):
+                if reach[i][0] <= r <= reach[i][1]:
+                    other = first.setdefault(before[len(before) - r:] + behind[:size - half - r], i)
+                    if other != i:
+                        twice.update((other, i))
+            for i in twice:
+                if counts[members[i]] == 1:
+                    if runs[i] and runs[i][-1][1] == r - 1:
+                        runs[i][-1][1] = r
+                    else:
+                        runs[i].append([r, r])
+    found = dict(zip(members, runs))
+    return [found[m] for m in group]
 
 
 def _compare(size: int):
@@ -199,8 +202,8 @@ def _compare(size: int):
     def close(members, out):
         if len(members) < 2:
             return
-        for (_, row, at, _, _), offsets in zip(members, repeated_offsets([(m[3], m[4]) for m in members], half, size)):
-            for lo, hi in _runs(offsets):
+        for (_, row, at, _, _), runs in zip(members, repeated_runs([(m[3], m[4]) for m in members], half, size)):
+            for lo, hi in runs:
                 for to, value in zip(out, (row, at - hi, at - lo + size)):
                     to.append(value)
 
@@ -252,6 +255,18 @@ def _cut_out(batches):
             ["_row", "_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
 
+def _rows_of(rows: DataFrame, counted: DataFrame, keys: list[str], shared: int) -> DataFrame:
+    """Rows whose key is among ``counted`` (keys and their number ``n``, staged).
+
+    Keys of more than ``shared`` rows are looked up where the rows are, so that
+    no task gets all rows of one; the others are shuffled.
+    """
+    hot = counted.where(F.col("n") > shared).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    on = [(k, f"_{k}") for k in keys]
+    usual = join_small(rows, hot, on, "left_anti").join(counted.where(F.col("n") <= shared), keys, "left_semi")
+    return usual.unionByName(join_small(rows, hot, on, "left_semi"))
+
+
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 400, shared: int = SHARED) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept_sha256`` for every row of ``docs``.
 
@@ -271,23 +286,23 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copied = stage(digests.join(copies.where("n > 1"), "digest").select("_row", (F.col("_row") == F.col("least")).alias("stands")), "copied")
 
     ranked = stage(long_.select("_row", "_text").mapInArrow(_rank_positions(size), "rank long, _row long, at int, first int, last int"), "ranks")
-    common = ranked.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank")
-    taking_part = ranked.join(common, "rank").join(copied.where("not stands"), "_row", "left_anti")
+    common = stage(ranked.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common")
+    taking_part = _rows_of(ranked, common, ["rank"], shared).join(copied.where("not stands"), "_row", "left_anti")
     spots = taking_part.groupBy("_row").agg(F.collect_list(F.struct("rank", "at", "first", "last")).alias("spots"))
     dealt = base.select("_row", "_id", "_text").repartition("_row")
     around = dealt.select("_row", "_text").join(spots, "_row").select("_row", "_text", "spots").mapInArrow(
         _surroundings(size), "rank long, _row long, at int, first int, before binary, behind binary"
     )
     around = stage(around.select("rank", "_row", "at", "before", "behind"), "around")
-    sizes = around.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    usual = around.join(sizes.where(F.col("n") <= shared), "rank").select(around.columns)
+    sizes = stage(around.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    hot = sizes.where(F.col("n") > shared).select(F.col("rank").alias("_hot"))
+    usual = join_small(around, hot, [("rank", "_hot")], "left_anti").join(sizes, "rank", "left_semi")
     few = usual.repartition("rank").sortWithinPartitions("rank", "_row", "at").mapInArrow(_compare(size), "_row long, a int, b int")
     spans = few
-    hot = sizes.where(F.col("n") > shared)
     if not hot.isEmpty():
-        windows = around.join(hot, "rank").select(around.columns).mapInArrow(_every_window(size), "rank long, name binary, _row long, a int")
-        twice = windows.groupBy("rank", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        many = windows.join(twice, ["rank", "name"]).select("_row", "a", (F.col("a") + size).alias("b"))
+        windows = join_small(around, hot, [("rank", "_hot")], "left_semi").mapInArrow(_every_window(size), "rank long, name binary, _row long, a int")
+        twice = stage(windows.groupBy("rank", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
+        many = _rows_of(windows, twice, ["rank", "name"], shared).select("_row", "a", (F.col("a") + size).alias("b"))
         spans = spans.unionByName(many)
     whole = copied.select("_row", F.lit(0).alias("a"), F.lit(-1).alias("b"))
     per_row = spans.join(copied, "_row", "left_anti").unionByName(whole).groupBy("_row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
