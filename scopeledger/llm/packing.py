@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scopeledger.llm.common import ship, text_of
+from scopeledger.llm.common import join_small, number_rows, ship, stage, text_of
 
 ship(__name__)
 
@@ -199,6 +199,9 @@ def pack(
 ) -> DataFrame:
     """Pack whole documents, cutting only those longer than ``limit``, into sequences.
 
+    Pieces are staged, counted and dealt to groups of ``group_pieces`` on
+    average, each packed by one task, however long or often repeated documents are.
+
     A sequence holds at most ``limit`` tokens, ``max_docs`` pieces and
     ``max_attention`` (by default ``limit`` squared) of summed squared lengths;
     the bin is chosen by ``score`` over all three, as :func:`pack_group` says.
@@ -209,9 +212,14 @@ def pack(
     """
     attention = float(limit) ** 2 if max_attention is None else float(max_attention)
     caps = (float(limit), float(max_docs), attention)
-    groups = max(1, -(-docs.count() // group_pieces))
-    pieces = token_pieces(docs.select(doc_id, text), doc_id, text, paths, limit)
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("row", "piece", "ids_crc32"), F.lit(groups)))
+    pieces = stage(token_pieces(docs.select(doc_id, text), doc_id, text, paths, limit), "pieces")
+    groups = max(1, -(-pieces.count() // group_pieces))
+    # pieces are dealt by content; those repeated so often that they would fill a group are dealt by row as well
+    alike = ("row", "piece", "ids_crc32")
+    repeated = pieces.groupBy(*[F.col(c).alias(f"_{c}") for c in alike]).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_pieces // 2)
+    marked = join_small(number_rows(pieces, "at"), stage(repeated, "repeated"), [(c, f"_{c}") for c in alike])
+    salt = F.when(F.col("n").isNotNull(), F.col("at"))
+    dealt = marked.select(*pieces.columns, F.pmod(F.xxhash64(*alike, salt), F.lit(groups)).alias("group"))
 
     def run(table: pa.Table) -> pa.Table:
         keys = [("length", "descending"), ("row", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
