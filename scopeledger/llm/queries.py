@@ -186,7 +186,7 @@ ORACLES = {
                      || case when regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) = '' then '/'
                              when regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) like '?%'
                              then '/' || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1)
-                             else regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) end end as key
+                             else regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) end else url end as key
             from pages
         ), r as (
             select page_id * 4 as record_id, key, visited as s, md5(html) as digest, length(html) as n,

@@ -29,11 +29,11 @@ MOST_PERIODS = 1_000
 
 
 def canonical_uri(uri: Column) -> Column:
-    """Scheme and host in lower case, without default port, fragment and empty path."""
+    """Scheme and host in lower case, without default port, fragment and empty path; without a scheme the uri as it is."""
     head = F.lower(F.regexp_extract(uri, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
     rest = F.regexp_extract(uri, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
     head = F.regexp_replace(F.regexp_replace(head, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
-    return F.when(head != "", F.concat(head, F.when(rest == "", "/").when(rest.startswith("?"), F.concat(F.lit("/"), rest)).otherwise(rest)))
+    return F.when(head != "", F.concat(head, F.when(rest == "", "/").when(rest.startswith("?"), F.concat(F.lit("/"), rest)).otherwise(rest))).otherwise(uri)
 
 
 def _etag(value: Column) -> Column:
