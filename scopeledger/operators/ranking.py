@@ -1,10 +1,13 @@
-"""Global order statistics without a one-task window.
+"""Global order statistics without a one-task window and without a checkpoint.
 
 Rank, NTILE, row number and running total over a whole relation need a total
-order. Small relations (counted, not guessed) use one plain window. Larger ones
-are range-partitioned on the sort key, each range is numbered on its own and
-shifted by the totals of the ranges before it. The ranges are checkpointed, so
-every later read sees the same split.
+order. The rows are cut into ranges of about ``single_task_rows`` by splitters
+that are a pure function of the rows: in each of ``SAMPLE`` hash buckets the row
+of the least hash stands for its bucket. That summary merges map-side in any
+order, so each evaluation finds the same ranges. Each range is numbered on its
+own and shifted by the totals of the ranges before it. A small relation has no
+splitter and so one range per group, and one made of small files takes a plain
+window. Nothing runs until the result is read.
 """
 
 from __future__ import annotations
@@ -17,13 +20,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scopeledger.functions.scalars import as_col, safe_div
-from scopeledger.operators.joins import null_safe_join
-from scopeledger.session import settle
+from scopeledger.operators.joins import null_safe_join, with_constant_row
 
-#: Rows one task may order; beyond it the ranged path is taken.
+#: Rows of a range, on average, that one task may order.
 SINGLE_TASK_ROWS = 200_000
+#: Bytes of input for each of them, up to which no ranges are made.
+INPUT_BYTES = 320
+#: Rows of the summary; bounds the splitters that are broadcast.
+SAMPLE = 8_192
+#: Most ranges; beyond this many times ``single_task_rows`` they grow with the rows.
+MOST_RANGES = 1_024
+#: Splitters looked at in one step of the search for a row's range.
+STRIDE = 32
 #: Type in which floating amounts are added, exactly and in any order.
 FLOATING_SUM = "decimal(38,18)"
+#: Sum of magnitudes up to which that type can hold every partial sum.
+EXACT_BELOW = 1e19
 
 
 def ntile_of(row_no: Column, rows: Column, tiles: int) -> Column:
@@ -46,95 +58,139 @@ def with_order_stats(
 ) -> DataFrame:
     """Add ``row_no``, ``rank``, ``running``, ``total`` and ``rows`` per group ``p``.
 
-    Order is ``value`` (NULL last) and then ``tie``, which must make it total.
-    ``running`` and ``total`` sum ``amount``, by default the value itself, and
-    have the type of its sum. Floating amounts are added as decimals with 18
-    places (magnitudes up to 1e19), so the split into ranges cannot show.
-    """
-    p, tie, name = list(p), list(tie), amount or value
-    floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
-    amount = F.col(name).cast(FLOATING_SUM) if floating else F.col(name)
-    sum_type = df.select(F.sum(name)).schema[0].dataType
-    stats = _with_order_stats(df, value, tie, asc, p, amount, single_task_rows)
-    return stats.withColumns({c: F.col(c).cast(sum_type) for c in ("running", "total")})
+    Order is ``value`` (NULL last, NaN above all numbers) and then ``tie``, which
+    must make it total. ``running`` and ``total`` sum ``amount``, by default the
+    value itself, and have the type of its sum. Floating amounts are added as
+    decimals with 18 places, so the split into ranges cannot show; where their
+    magnitudes reach 1e19, or are not finite, the sum is that of doubles.
 
+    ``df`` must give the same rows whenever it is read: settle it first if it
+    numbers rows or adds doubles.
+    """
+    p, tie, amount = list(p), list(tie), amount or value
+    kind = df.schema[amount].dataType
+    floating = isinstance(kind, (T.DoubleType, T.FloatType))
+    sum_type = df.select(F.sum(amount)).schema[0].dataType
+    if floating:
+        terms = {"exact": F.col(amount).try_cast(FLOATING_SUM), "plain": F.col(amount).cast("double"), "size": F.abs(F.col(amount).cast("double"))}
+    else:
+        terms = {"exact": F.col(amount)}
+    add = F.try_sum if floating else F.sum
+
+    def result(name: str) -> Column:
+        exact = F.col(f"_{name}_exact").cast(sum_type)
+        if floating:
+            exact = F.when(F.col(f"_{name}_size") < EXACT_BELOW, exact).otherwise(F.col(f"_{name}_plain"))
+        return exact.alias(name)
 
-def _with_order_stats(
-    df: DataFrame, value: str, tie: list[str], asc: bool, p: list[str], amount: Column, single_task_rows: int
-) -> DataFrame:
-    base = settle(df)
-    rows = base.count()
     by_value = F.col(value).asc_nulls_last() if asc else F.col(value).desc_nulls_last()
-    if rows <= single_task_rows:
-        return _one_window(base, value, by_value, tie, p, amount)
-    return _ranged(base, value, by_value, tie, p, amount, -(-rows // single_task_rows))
-
+    if _small(df, single_task_rows):
+        ordered, whole = W.partitionBy(*p).orderBy(by_value, *tie), W.partitionBy(*p)
+        upto = ordered.rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumns({
+            "row_no": F.row_number().over(ordered).cast("long"),
+            "rank": F.rank().over(W.partitionBy(*p).orderBy(by_value)).cast("long"),
+            "rows": F.count(F.lit(1)).over(whole),
+            **{f"_{name}_{t}": add(x).over(frame) for name, frame in (("running", upto), ("total", whole)) for t, x in terms.items()},
+        }).select(*df.columns, "row_no", "rank", result("running"), result("total"), "rows")
+    slot = [*p, "_part"]
+    inside = W.partitionBy(*slot).orderBy(by_value, *tie)
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    local = _ranges(df, value, tie, asc, p, single_task_rows).withColumns({
+        "_row": F.row_number().over(inside).cast("long"),
+        "_rank": F.rank().over(W.partitionBy(*slot).orderBy(by_value)).cast("long"),
+        **{f"_here_{t}": add(x).over(upto) for t, x in terms.items()},
+    })
+    shifts = _shifts(local, df.columns, value, p, terms, add)
+    joined = null_safe_join(local, shifts, slot)
+    in_run = F.col("_run").isNotNull() & F.col(value).eqNullSafe(F.col("_first"))
+    both = {f"_running_{t}": _plus(F.col(f"_before_{t}"), F.col(f"_here_{t}"), joined.schema[f"_here_{t}"].dataType) for t in terms}
+    numbers = {
+        "row_no": F.col("_before") + F.col("_row"),
+        "rank": F.when(in_run, F.col("_run")).otherwise(F.col("_before") + F.col("_rank")),
+        "rows": F.col("rows"),
+    }
+    joined = joined.withColumns({**both, **{n: F.coalesce(c, F.lit(0).cast("long")) for n, c in numbers.items()}})
+    return joined.select(*df.columns, "row_no", "rank", result("running"), result("total"), "rows")
 
-def _one_window(base: DataFrame, value: str, by_value: Column, tie: list[str], p: list[str], amount: Column) -> DataFrame:
-    ordered = W.partitionBy(*p).orderBy(by_value, *tie)
-    whole = W.partitionBy(*p)
-    return (
-        base.withColumn("row_no", F.row_number().over(ordered).cast("long"))
-        .withColumn("rank", F.rank().over(W.partitionBy(*p).orderBy(by_value)).cast("long"))
-        .withColumn("running", F.sum(amount).over(ordered.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("total", F.sum(amount).over(whole))
-        .withColumn("rows", F.count(F.lit(1)).over(whole))
-    )
 
+def _small(df: DataFrame, rows: int) -> bool:
+    """Whether the planner knows the inputs to be small enough for one task to order what is made of them.
 
-def _ranged(
-    base: DataFrame, value: str, by_value: Column, tie: list[str], p: list[str], amount: Column, ranges: int
-) -> DataFrame:
-    keys = [F.col(c) for c in p]
-    parts = settle(
-        base.repartitionByRange(ranges, *keys, by_value, *tie).withColumn("_part", F.spark_partition_id())
+    Only the plan hangs on it, never the result; inputs of unknown size count as large.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
+    return sum(sizes) <= rows * INPUT_BYTES
+
+
+def _plus(before: Column, here: Column, kind: T.DataType) -> Column:
+    """Sum in which NULL adds nothing; one digit less on both sides, or two widest decimals would lose a place."""
+    if isinstance(kind, T.DecimalType):
+        narrow = T.DecimalType(min(kind.precision, 37), kind.scale)
+        before, here = before.try_cast(narrow), here.try_cast(narrow)
+    return F.coalesce(before + here, here, before)
+
+
+def _ranges(df: DataFrame, value: str, tie: list[str], asc: bool, p: list[str], single_task_rows: int) -> DataFrame:
+    """Add ``_part``, which grows with the order inside every group of ``p``."""
+    head = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(p)], F.col(value).isNull().alias("none"), F.col(value).alias("v"))
+    # nested twice, so that rows compare by group and value first, and by the ties only then
+    key = F.struct(head.alias("h"), F.struct(F.lit(0).alias("t"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(tie)]).alias("t"))
+    # all columns are read here too, so that this branch and the rows share one exchange below them
+    hashed = [f.name for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    drawn = df.select(key.alias("k"), F.xxhash64(*hashed).alias("x")).groupBy(F.pmod("x", F.lit(SAMPLE)).alias("b")).agg(
+        F.min(F.struct("x", "k")).alias("least"), F.count(F.lit(1)).alias("n")
     )
+    sample = drawn.agg(F.sort_array(F.collect_list("least.k")).alias("s"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    parts = F.least(F.ceil(F.col("n") / single_task_rows), F.size("s"), F.lit(MOST_RANGES)).cast("int")
+    at = F.when(F.col("parts") > 1, F.sequence(F.lit(1), F.col("parts") - 1)).otherwise(F.array().cast("array<int>"))
+    cuts = sample.withColumn("parts", parts).select(
+        F.transform(at, lambda i: F.get("s", F.floor(i * F.size("s") / F.col("parts")).cast("int"))).alias("_cuts")
+    ).select("_cuts", F.filter("_cuts", lambda x, i: i % STRIDE == 0).alias("_coarse"))
+    with_key = with_constant_row(df.withColumn("_key", key), cuts)
+
+    def below(smaller) -> Column:
+        """How many cuts are smaller than the row, by two steps."""
+        full = F.greatest(F.size(F.filter("_coarse", smaller)) - 1, F.lit(0)) * STRIDE
+        return full + F.size(F.filter(F.slice("_cuts", full + 1, F.lit(STRIDE)), smaller))
+
+    whole = below(lambda x: x < F.col("_key"))
+    if asc:
+        return with_key.withColumn("_part", whole.cast("long")).drop("_key", "_cuts", "_coarse")
+    width = MOST_RANGES + 1
+    # falling values, rising ties; NULL comes last either way
+    upto = below(lambda x: x["h"] <= F.col("_key.h"))
+    falling = F.when(F.col(value).isNull(), F.lit(width)).otherwise(width - 1 - upto)
+    rising = whole - below(lambda x: x["h"] < F.col("_key.h"))
+    return with_key.withColumn("_part", (falling * width + rising).cast("long")).drop("_key", "_cuts", "_coarse")
+
+
+def _shifts(local: DataFrame, columns: list[str], value: str, p: list[str], terms: dict[str, Column], add) -> DataFrame:
+    """What the ranges before a range hold, one row per range: sizes, sums and where a run of equal values starts."""
     slot = [*p, "_part"]
-    inside = W.partitionBy(*slot).orderBy(by_value, *tie)
-    local = (
-        parts.withColumn("_row", F.row_number().over(inside).cast("long"))
-        .withColumn("_rank", F.rank().over(W.partitionBy(*slot).orderBy(by_value)).cast("long"))
-        .withColumn("_running", F.sum(amount).over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    )
-    # one row per range: sizes, sums, edge values and where the last value starts
     edges = local.groupBy(*slot).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.sum(amount).alias("_sum"),
-        F.min_by(value, "_row").alias("_first"),
+        *[add(x).alias(f"_sum_{t}") for t, x in terms.items()],
+        # whole rows at the edges: no column is pruned, so the ranges are sorted once for rows and edges
+        F.min_by(F.struct(*columns), "_row").alias("_lowest"),
         F.max_by(value, "_row").alias("_last"),
         F.max("_rank").alias("_last_rank"),
-    )
+    ).withColumn("_first", F.col("_lowest").getField(value))
     earlier = W.partitionBy(*p).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*p)
-    edges = (
-        edges.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .withColumn("_sum_before", F.sum("_sum").over(earlier))
-        .withColumn("rows", F.sum("_n").over(whole))
-        .withColumn("total", F.sum("_sum").over(whole))
-        # a run of equal values that crosses ranges starts in the first range ending with it
-        .withColumn("_run_start", F.min(F.col("_before") + F.col("_last_rank")).over(W.partitionBy(*p, "_last")))
-    )
-    previous = W.partitionBy(*p).orderBy("_part")
-    edges = edges.withColumn("_carried", F.lag(F.struct(F.col("_last").alias("v"), F.col("_run_start").alias("r"))).over(previous))
-    shifts = edges.select(
-        *slot, "_before", "_sum_before", "rows", "total", "_first",
-        F.when(F.col("_carried").isNotNull() & F.col("_carried.v").eqNullSafe(F.col("_first")), F.col("_carried.r")).alias("_run"),
-    )
-    joined = null_safe_join(local, shifts, slot)
-    in_run = F.col("_run").isNotNull() & F.col(value).eqNullSafe(F.col("_first"))
-    # one digit less on both sides, or the sum of two widest decimals would lose a place
-    kind = joined.schema["_running"].dataType
-    narrow = T.DecimalType(min(kind.precision, 37), kind.scale) if isinstance(kind, T.DecimalType) else kind
-    before, here = F.col("_sum_before").cast(narrow), F.col("_running").cast(narrow)
-    carried_sum = F.coalesce(before + here, here, before)
-    return (
-        joined.withColumn("row_no", F.col("_before") + F.col("_row"))
-        .withColumn("rank", F.when(in_run, F.col("_run")).otherwise(F.col("_before") + F.col("_rank")))
-        .withColumn("running", carried_sum)
-        # never null, and declared so as in the plain window
-        .withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("row_no", "rank", "rows")})
-        .select(*base.columns, "row_no", "rank", "running", "total", "rows")
-    )
+    edges = edges.withColumns({
+        "_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
+        "rows": F.sum("_n").over(whole),
+        **{f"_before_{t}": add(f"_sum_{t}").over(earlier) for t in terms},
+        **{f"_total_{t}": add(f"_sum_{t}").over(whole) for t in terms},
+    })
+    # a run of equal values that crosses ranges starts in the first range ending with it
+    edges = edges.withColumn("_run_start", F.min(F.col("_before") + F.col("_last_rank")).over(W.partitionBy(*p, "_last")))
+    previous = F.lag(F.struct(F.col("_last").alias("v"), F.col("_run_start").alias("r"))).over(W.partitionBy(*p).orderBy("_part"))
+    edges = edges.withColumn("_carried", previous)
+    run = F.when(F.col("_carried").isNotNull() & F.col("_carried.v").eqNullSafe(F.col("_first")), F.col("_carried.r"))
+    return edges.select(*slot, "_before", "rows", "_first", run.alias("_run"), *[f"_{k}_{t}" for k in ("before", "total") for t in terms])
 
 
 def rank_quartile(

@@ -249,3 +249,31 @@ def test_distinct_sketches_merge_within_their_bound(spark):
     for level, where in (((2, None, None), "true"), ((1, 1, None), "year = 1"), ((0, 2, 5), "year = 2 and month = 5")):
         exact = rows.where(where).select("site").where("site is not null").distinct().count()
         assert abs(got[level]["estimate"] - exact) <= exact * SKETCH_ERROR + 1
+
+
+@pytest.mark.parametrize("asc", [True, False])
+def test_ranges_follow_ties_nulls_and_groups(spark, asc):
+    """Every cut of the order, also inside a hot value, numbers rows as one window does."""
+    rows = [(i, "hot" if i % 3 else None, f"t{i * 7919 % 1000:03}", None if i % 13 == 0 else 7.5 if i % 2 else float(i % 40)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id INT, g STRING, t STRING, v DOUBLE")
+    order = lambda r: (r[3] is None, (r[3] or 0.0) * (1 if asc else -1), r[2], r[0])
+    for p in ([], ["g"]):
+        groups = {}
+        for r in sorted(rows, key=order):
+            groups.setdefault(r[1] if p else 0, []).append(r)
+        want = {r[0]: (n, 1 + next(i for i, o in enumerate(g) if o[3] == r[3]), len(g)) for g in groups.values() for n, r in enumerate(g, 1)}
+        got = Rk.with_order_stats(df, "v", ["t", "id"], asc, p, single_task_rows=25).collect()
+        assert {r["id"]: (r["row_no"], r["rank"], r["rows"]) for r in got} == want
+
+
+def test_amounts_that_decimals_cannot_hold(spark):
+    """Beyond 1e19, infinite or not a number: sums of doubles, in one range and in many."""
+    values = [1.5, None, 2.25, 3e19, 4e25, float("inf"), float("nan"), 0.5]
+    df = spark.createDataFrame(list(enumerate(values)), "id INT, v DOUBLE")
+    for size in (2, 100):
+        got = {r["id"]: r for r in Rk.with_order_stats(df, "id", [], amount="v", single_task_rows=size).collect()}
+        assert [got[i]["running"] for i in range(6)] == [1.5, 1.5, 3.75, 3.75 + 3e19, 3.75 + 3e19 + 4e25, float("inf")]
+        assert got[7]["running"] != got[7]["running"] and got[0]["total"] != got[0]["total"]
+        top = Rk.with_order_stats(df, "v", ["id"], asc=False, single_task_rows=size).orderBy("row_no").collect()
+        assert [r["id"] for r in top] == [6, 5, 4, 3, 2, 0, 7, 1]
+    assert Rk.with_order_stats(df.limit(0), "v", ["id"]).collect() == []
