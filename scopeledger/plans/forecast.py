@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +24,8 @@ from scopeledger.operators.windows import with_index, year_ago_of_last
 from scopeledger.plans import series_models as models
 
 MIN_POINTS = 12
+#: Series whose forecasts are made and sent at once.
+AT_ONCE = 512
 
 
 def metric_catalogue(spark: SparkSession) -> DataFrame:
@@ -89,41 +91,63 @@ FORECAST_FIELDS = [
 ]
 
 
-def _forecast_one(series: pd.DataFrame, keys: list[str], model: str, horizon: int, params: dict) -> pd.DataFrame:
-    """Fit one series on its training rows; forecast the test months and ``horizon`` beyond."""
-    series = series.sort_values("date")
-    train, test = series[~series["is_test"]], series[series["is_test"]]
-    months = pd.to_datetime(series["date"]).to_numpy().astype("datetime64[M]").astype(int)
-    slots = months - months[0]
-    known = slots[: len(train)]
-    # months go by the calendar: places without a row are missing, and a forecast steps over them
-    ahead = pd.date_range(pd.Timestamp(series["date"].iloc[-1]), periods=horizon + 1, freq="MS")[1:]
-    stamps = list(pd.to_datetime(test["date"])) + list(ahead)
-    wanted = np.r_[slots[len(train) :], slots[-1] + 1 + np.arange(horizon)]
-    steps, places = int(slots[-1] - known[-1]) + horizon, wanted - known[-1] - 1
-    y = np.full(known[-1] + 1, np.nan)
-    y[known] = train["y"].to_numpy(dtype=float)
+def _fits(model: str, params: dict, series: list[dict]) -> list[dict]:
+    """Forecasts of every series, at its ``places`` of the months after training."""
     if model == "holt_winters":
-        fit = models.holt_winters(y, steps, **params)
-    elif model == "trend_fourier":
-        days = pd.to_datetime(train["date"]).to_numpy().astype("datetime64[D]").astype(float)
-        future = np.array(stamps, dtype="datetime64[D]").astype(float)
-        fit = models.trend_fourier(y[known], days, future, **params)
-        places = np.arange(len(stamps))
-    elif model == "sarima":
-        fit = models.sarima(y, steps, **params)
-    else:
-        raise ValueError(f"unknown model {model}")
-    out = pd.DataFrame({k: [series[k].iloc[0]] * len(stamps) for k in keys})
-    out["date"] = (pd.DatetimeIndex(stamps) + pd.offsets.MonthEnd(0)).date
-    out["step"] = (wanted - slots[-1] - 1).astype("int32")
-    out["is_future"] = out["step"] >= 0
-    out["y"] = list(test["y"].astype(float)) + [None] * horizon
-    for name in ("yhat", "lower", "upper"):
-        out[name] = fit[name][places]
-    for name in ("aic", "bic", "loglik", "spec"):
-        out[name] = fit.get(name)
-    return out
+        return models.holt_winters_many([s["y"] for s in series], [s["steps"] for s in series], **params)
+    if model == "trend_fourier":
+        return [models.trend_fourier(s["y"][s["known"]], s["days"], s["future"], **params) for s in series]
+    if model == "sarima":
+        return [models.sarima(s["y"], s["steps"], **params) for s in series]
+    raise ValueError(f"unknown model {model}")
+
+
+def _laid_out(days: np.ndarray, y: np.ndarray, horizon: int, test_size: int) -> dict:
+    """A series on its calendar: places without a row are missing, and a forecast steps over them."""
+    months = days.astype("datetime64[D]").astype("datetime64[M]")
+    slots = (months - months[0]).astype(int)
+    train = len(days) - test_size
+    known = slots[:train]
+    whole = np.full(known[-1] + 1, np.nan)
+    whole[known] = y[:train]
+    ahead = months[-1] + 1 + np.arange(horizon)
+    wanted = np.r_[slots[train:], slots[-1] + 1 + np.arange(horizon)]
+    return {
+        "y": whole, "known": known, "steps": int(slots[-1] - known[-1]) + horizon, "places": wanted - known[-1] - 1,
+        "days": days[:train].astype(float), "future": np.r_[days[train:], ahead.astype("datetime64[D]").astype(int)].astype(float),
+        "ends": (np.r_[months[train:], ahead] + 1).astype("datetime64[D]") - 1,
+        "step": wanted - slots[-1] - 1, "tested": np.r_[y[train:], np.full(horizon, np.nan)],
+    }
+
+
+def _forecasts(keys: list[str], model: str, horizon: int, params: dict, test_size: int):
+    """Forecast rows of batches whose last column holds the months of a series, in order."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                months = part.column(part.num_columns - 1)
+                flat, ends = months.flatten(), np.cumsum(months.value_lengths().to_numpy())[:-1]
+                days = np.split(flat.field(0).cast(pa.int32()).to_numpy().astype(int), ends)
+                values = np.split(flat.field(1).to_numpy(zero_copy_only=False).astype(float), ends)
+                series = [_laid_out(d, y, horizon, test_size) for d, y in zip(days, values)]
+                fits = _fits(model, params, series)
+                sizes = [len(s["step"]) for s in series]
+                of = pa.array(np.repeat(np.arange(len(series)), sizes))
+                step = np.concatenate([s["step"] for s in series]).astype("int32")
+                # the waves are fitted at the wanted days alone
+                places = [slice(None) if model == "trend_fourier" else s["places"] for s in series]
+                columns = [part.column(i).take(of) for i in range(len(keys))]
+                columns += [pa.array(np.concatenate([s["ends"] for s in series])), pa.array(step), pa.array(step >= 0)]
+                columns.append(pa.array(np.concatenate([s["tested"] for s in series]), from_pandas=True))
+                for name in ("yhat", "lower", "upper"):
+                    columns.append(pa.array(np.concatenate([fit[name][p] for fit, p in zip(fits, places)]), from_pandas=True))
+                for name, kind in (("aic", pa.float64()), ("bic", pa.float64()), ("loglik", pa.float64()), ("spec", pa.string())):
+                    columns.append(pa.array([fit.get(name) for fit in fits], kind, from_pandas=True).take(of))
+                yield pa.RecordBatch.from_arrays(columns, [*keys, *[f.name for f in FORECAST_FIELDS]])
+
+    return run
 
 
 def fit_forecast(
@@ -141,19 +165,14 @@ def fit_forecast(
     keys = list(p) or ["series"]
     # Fits are slow for their size in bytes, so adaptive merging would leave them to a few tasks.
     # A partition count of its own keeps this exchange, smaller tasks balance better, and the
-    # windows below find their series in place.
+    # series are put together in place.
     tasks = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     series = df if p else df.withColumn("series", F.lit("all"))
     spread = series.select(*keys, "date", F.col("y").cast("double").alias("y")).repartition(tasks, *keys)
-    split = split_tail(spread, test_size, keys)
-    trained = F.count_if(~F.col("is_test")).over(W.partitionBy(*keys))
-    split = split.withColumn("_train", trained).filter(F.col("_train") >= MIN_POINTS).drop("_train")
-    schema = T.StructType([split.schema[k] for k in keys] + FORECAST_FIELDS)
-
-    def fit(series: pd.DataFrame) -> pd.DataFrame:
-        return _forecast_one(series, keys, model, horizon, params or {})
-
-    return split.select(*keys, "date", "y", "is_test").groupBy(*keys).applyInPandas(fit, schema)
+    months = F.sort_array(F.collect_list(F.struct(F.col("date").cast("date").alias("date"), "y")))
+    whole = spread.groupBy(*keys).agg(months.alias("_months")).filter(F.size("_months") >= MIN_POINTS + test_size)
+    schema = T.StructType([whole.schema[k] for k in keys] + FORECAST_FIELDS)
+    return whole.mapInArrow(_forecasts(keys, model, horizon, params or {}, test_size), schema)
 
 
 def extend_trend(series: DataFrame, horizon: int, p: Sequence[str] = (), z: float = 1.96) -> DataFrame:

@@ -11,6 +11,8 @@ import numpy as np
 from scopeledger.plans import state_space
 
 SEASON = 12
+#: Series smoothed at once; their states under all constants fit a core's cache.
+TOGETHER = 16
 
 
 def normal_z(level: float) -> float:
@@ -23,7 +25,25 @@ def holt_winters(y: np.ndarray, steps: int, damped: bool = False, margin: float
     ``y`` has a place for every calendar month; in a missing one (NaN) the level
     moves on by the trend and nothing is updated.
     """
-    n = len(y)
+    return holt_winters_many([y], [steps], damped, margin)[0]
+
+
+def holt_winters_many(ys: list[np.ndarray], steps: list[int], damped: bool = False, margin: float = 0.1) -> list[dict]:
+    """:func:`holt_winters` of many series; those of equal length advance together, ``TOGETHER`` at a time."""
+    found: list[dict] = [{}] * len(ys)
+    lengths = np.array([len(y) for y in ys])
+    for n in np.unique(lengths):
+        alike = np.flatnonzero(lengths == n)
+        for at in range(0, len(alike), TOGETHER):
+            some = alike[at : at + TOGETHER]
+            for i, fit in zip(some, _smoothed(np.stack([ys[i] for i in some]), [steps[i] for i in some], damped, margin)):
+                found[i] = fit
+    return found
+
+
+def _smoothed(y: np.ndarray, steps: list[int], damped: bool, margin: float) -> list[dict]:
+    """Fits of the series in the rows of ``y``."""
+    n = y.shape[1]
     alpha, beta, gamma, phi = (
         g.ravel()
         for g in np.meshgrid(
@@ -34,28 +54,36 @@ def holt_winters(y: np.ndarray, steps: int, damped: bool = False, margin: float
             indexing="ij",
         )
     )
-    slope, head = _start(y)
-    average = float(np.nanmean(head))
-    level = np.full(alpha.shape, average - slope)
-    trend = np.full(alpha.shape, slope)
-    season = np.repeat(np.nan_to_num(head - average)[:, None], len(alpha), axis=1)
-    sse = np.zeros(alpha.shape)
+    starts = [_start(row) for row in y]
+    slope = np.array([s for s, _ in starts])[:, None]
+    heads = np.stack([h for _, h in starts])
+    average = np.array([float(np.nanmean(h)) for h in heads])[:, None]
+    ones = np.ones(alpha.shape)
+    level, trend = (average - slope) * ones, slope * ones
+    season = np.nan_to_num(heads - average).T[:, :, None] * ones
+    sse = np.zeros(level.shape)
+    keep_level, keep_trend, keep_season = 1 - alpha, 1 - beta, 1 - gamma
     for t in range(n):
-        drift, slot = phi * trend, t % SEASON
-        if np.isnan(y[t]):
-            level, trend = level + drift, drift
-            continue
-        sse += (y[t] - (level + drift + season[slot])) ** 2
-        previous = level
-        level = alpha * (y[t] - season[slot]) + (1 - alpha) * (level + drift)
-        trend = beta * (level - previous) + (1 - beta) * drift
-        season[slot] = gamma * (y[t] - level) + (1 - gamma) * season[slot]
-    best = int(np.argmin(sse))
-    h = np.arange(1, steps + 1)
-    damping = np.cumsum(phi[best] ** h)
-    yhat = level[best] + damping * trend[best] + season[(n + h - 1) % SEASON, best]
-    spec = f"additive, alpha {alpha[best]:g}, beta {beta[best]:g}, gamma {gamma[best]:g}, phi {phi[best]:g}"
-    return {"yhat": yhat, "lower": yhat * (1 - margin), "upper": yhat * (1 + margin), "spec": spec}
+        drift, slot, now = phi * trend, t % SEASON, y[:, t, None]
+        expected, old = level + drift, season[slot]
+        missing = np.isnan(now)
+        moved = alpha * (now - old) + keep_level * expected
+        turned = beta * (moved - level) + keep_trend * drift
+        waved = gamma * (now - moved) + keep_season * old
+        error = (now - (expected + old)) ** 2
+        if missing.any():
+            moved, turned = np.where(missing, expected, moved), np.where(missing, drift, turned)
+            waved, error = np.where(missing, old, waved), np.where(missing, 0.0, error)
+        sse += error
+        level, trend, season[slot] = moved, turned, waved
+    fits = []
+    for i, best in enumerate(np.argmin(sse, axis=1)):
+        h = np.arange(1, steps[i] + 1)
+        damping = np.cumsum(phi[best] ** h)
+        yhat = level[i, best] + damping * trend[i, best] + season[(n + h - 1) % SEASON, i, best]
+        spec = f"additive, alpha {alpha[best]:g}, beta {beta[best]:g}, gamma {gamma[best]:g}, phi {phi[best]:g}"
+        fits.append({"yhat": yhat, "lower": yhat * (1 - margin), "upper": yhat * (1 + margin), "spec": spec})
+    return fits
 
 
 def _start(y: np.ndarray) -> tuple[float, np.ndarray]:

@@ -119,3 +119,34 @@ def test_summary_and_kpis(spark):
     kpi = P.series_kpis(history, ["k"]).first()
     assert (kpi["current_value"], kpi["mean_value"], kpi["trend"]) == (123.0, 111.5, "Increasing")
     assert kpi["yoy_pct"] == pytest.approx(12 / 111 * 100)
+
+
+def test_series_of_one_batch_are_fitted_together_and_alike(spark, monkeypatch):
+    """Many series share a batch and a fit; each gets the result it has alone."""
+    rng = np.random.default_rng(5)
+    ys = [50 + rng.normal(size=n).cumsum() for n in (60, 60, 60, 48, 60, 19, 60, 30)]
+    ys[1][[14, 15, 33]] = ys[6][[20]] = np.nan
+    sizes, smoothed = [], M._smoothed
+
+    def counted(y, *rest):
+        sizes.append(len(y))
+        return smoothed(y, *rest)
+
+    monkeypatch.setattr(M, "_smoothed", counted)
+    together = M.holt_winters_many(ys, [6] * len(ys), damped=True)
+    assert sorted(sizes) == [1, 1, 1, 5]
+    for y, fit in zip(ys, together):
+        alone = M.holt_winters(y, 6, damped=True)
+        assert alone["spec"] == fit["spec"] and np.array_equal(alone["yhat"], fit["yhat"])
+    monkeypatch.undo()
+    rows = [(i, month(t), float(v)) for i, y in enumerate(ys) for t, v in enumerate(y) if not np.isnan(v)]
+    frame_ = spark.createDataFrame(rows, "k INT, date DATE, y DOUBLE")
+    got = by(P.fit_forecast(frame_, "holt_winters", 6, {"damped": True}, ["k"]), "k", "step")
+    for i, y in enumerate(ys):
+        if len(y) == 19:
+            continue
+        fit = M.holt_winters(y[:-6], 12, True)
+        for step in range(-6, 6):
+            assert got[i, step]["yhat"] == fit["yhat"][step + 6] and (got[i, step]["y"] is None) == (step >= 0)
+    plan = P.fit_forecast(frame_, "holt_winters", 6, p=["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
