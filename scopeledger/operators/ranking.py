@@ -26,11 +26,11 @@ from scopeledger.operators.joins import null_safe_join, with_constant_row
 SINGLE_TASK_ROWS = 200_000
 #: Bytes of input for each of them, up to which no ranges are made.
 INPUT_BYTES = 320
-#: Rows of the summary; bounds the splitters that are broadcast.
+#: Rows of the summary, from which the splitters are taken.
 SAMPLE = 8_192
 #: Most ranges; beyond this many times ``single_task_rows`` they grow with the rows.
 MOST_RANGES = 1_024
-#: Splitters looked at in one step of the search for a row's range.
+#: Splitters looked at in one step of the search for a row's range, a power of two.
 STRIDE = 32
 #: Type in which floating amounts are added, exactly and in any order.
 FLOATING_SUM = "decimal(38,18)"
@@ -120,7 +120,10 @@ def _small(df: DataFrame, rows: int) -> bool:
     Only the plan hangs on it, never the result; inputs of unknown size count as large.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
+    try:
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
+    except ValueError:  # estimates multiply over the joins of checkpointed rows, to more digits than Python reads
+        return False
     return sum(sizes) <= rows * INPUT_BYTES
 
 
@@ -132,38 +135,64 @@ def _plus(before: Column, here: Column, kind: T.DataType) -> Column:
     return F.coalesce(before + here, here, before)
 
 
+def _falling(value: str, kind: T.DataType) -> list[Column] | None:
+    """Columns that rise as a number falls; other types have none."""
+    v = F.col(value)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return [(~F.isnan(v)).alias("n"), (-v).alias("v")]
+    if isinstance(kind, T.DecimalType):
+        return [(-v).alias("v")]
+    # unlike the negative, the complement of the smallest number exists
+    return [F.bitwise_not(v).alias("v")] if isinstance(kind, T.IntegralType) else None
+
+
 def _ranges(df: DataFrame, value: str, tie: list[str], asc: bool, p: list[str], single_task_rows: int) -> DataFrame:
-    """Add ``_part``, which grows with the order inside every group of ``p``."""
-    head = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(p)], F.col(value).isNull().alias("none"), F.col(value).alias("v"))
-    # nested twice, so that rows compare by group and value first, and by the ties only then
-    key = F.struct(head.alias("h"), F.struct(F.lit(0).alias("t"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(tie)]).alias("t"))
+    """Add ``_part``, which grows with the order inside every group of ``p``.
+
+    A row's range is the number of cuts before it, found by halving among every
+    ``STRIDE``-th cut and then among those that follow; no row carries them all.
+    """
+    group = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(p)], F.col(value).isNull().alias("none"))
+    ties = F.struct(F.lit(0).alias("t"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(tie)])
+    falling = None if asc else _falling(value, df.schema[value].dataType)
+    rises = asc or falling is not None
+    # structs, as they compare with NULL and NaN like the windows do
+    key = F.struct(group.alias("g"), F.struct(*(falling or [F.col(value).alias("v")])).alias("v"), ties.alias("t"))
+
+    def before(x: Column, y: Column) -> Column:
+        if rises:
+            return x < y
+        falls = (x["v"] > y["v"]) | ((x["v"] == y["v"]) & (x["t"] < y["t"]))
+        return (x["g"] < y["g"]) | ((x["g"] == y["g"]) & falls)
+
     # all columns are read here too, so that this branch and the rows share one exchange below them
     hashed = [f.name for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     drawn = df.select(key.alias("k"), F.xxhash64(*hashed).alias("x")).groupBy(F.pmod("x", F.lit(SAMPLE)).alias("b")).agg(
         F.min(F.struct("x", "k")).alias("least"), F.count(F.lit(1)).alias("n")
     )
-    sample = drawn.agg(F.sort_array(F.collect_list("least.k")).alias("s"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    keys = F.collect_list("least.k")
+    ordered = F.sort_array(keys) if rises else F.array_sort(keys, lambda x, y: F.when(before(x, y), -1).when(before(y, x), 1).otherwise(0))
+    sample = drawn.agg(ordered.alias("s"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     parts = F.least(F.ceil(F.col("n") / single_task_rows), F.size("s"), F.lit(MOST_RANGES)).cast("int")
     at = F.when(F.col("parts") > 1, F.sequence(F.lit(1), F.col("parts") - 1)).otherwise(F.array().cast("array<int>"))
     cuts = sample.withColumn("parts", parts).select(
-        F.transform(at, lambda i: F.get("s", F.floor(i * F.size("s") / F.col("parts")).cast("int"))).alias("_cuts")
-    ).select("_cuts", F.filter("_cuts", lambda x, i: i % STRIDE == 0).alias("_coarse"))
-    with_key = with_constant_row(df.withColumn("_key", key), cuts)
-
-    def below(smaller) -> Column:
-        """How many cuts are smaller than the row, by two steps."""
-        full = F.greatest(F.size(F.filter("_coarse", smaller)) - 1, F.lit(0)) * STRIDE
-        return full + F.size(F.filter(F.slice("_cuts", full + 1, F.lit(STRIDE)), smaller))
-
-    whole = below(lambda x: x < F.col("_key"))
-    if asc:
-        return with_key.withColumn("_part", whole.cast("long")).drop("_key", "_cuts", "_coarse")
-    width = MOST_RANGES + 1
-    # falling values, rising ties; NULL comes last either way
-    upto = below(lambda x: x["h"] <= F.col("_key.h"))
-    falling = F.when(F.col(value).isNull(), F.lit(width)).otherwise(width - 1 - upto)
-    rising = whole - below(lambda x: x["h"] < F.col("_key.h"))
-    return with_key.withColumn("_part", (falling * width + rising).cast("long")).drop("_key", "_cuts", "_coarse")
+        F.transform(at, lambda i: F.get("s", F.floor(i * F.size("s") / F.col("parts")).cast("int"))).alias("cuts")
+    )
+
+    def preceding(x: Column) -> Column:
+        """How many of the ordered cuts ``x`` are before the row; there is none beyond the last: NULL."""
+        steps = F.array(*[F.lit(STRIDE >> i) for i in range(STRIDE.bit_length())])
+        passed = lambda n, step: F.coalesce(before(F.get(x, n + step - 1), F.col("_key")), F.lit(False))
+        return F.aggregate(steps, F.lit(0), lambda n, step: F.when(passed(n, step), n + step).otherwise(n))
+
+    coarse = cuts.select(F.filter("cuts", lambda x, i: i % STRIDE == 0).alias("_coarse"))
+    placed = with_constant_row(df.withColumn("_key", key), coarse)
+    placed = placed.withColumn("_stride", F.greatest(preceding(F.col("_coarse")) - 1, F.lit(0))).drop("_coarse")
+    strides = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("cuts") / STRIDE).cast("int") - 1, F.lit(0)))
+    fine = cuts.select("cuts", F.explode(strides).alias("_stride")).select("_stride", F.slice("cuts", F.col("_stride") * STRIDE + 1, F.lit(STRIDE)).alias("_fine"))
+    placed = placed.join(F.broadcast(fine), "_stride")
+    part = F.col("_stride") * STRIDE + preceding(F.col("_fine"))
+    return placed.select(*df.columns, part.cast("long").alias("_part"))
 
 
 def _shifts(local: DataFrame, columns: list[str], value: str, p: list[str], terms: dict[str, Column], add) -> DataFrame:

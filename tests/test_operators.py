@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 from datetime import date
 
 import pytest
@@ -277,3 +279,31 @@ def test_amounts_that_decimals_cannot_hold(spark):
         top = Rk.with_order_stats(df, "v", ["id"], asc=False, single_task_rows=size).orderBy("row_no").collect()
         assert [r["id"] for r in top] == [6, 5, 4, 3, 2, 0, 7, 1]
     assert Rk.with_order_stats(df.limit(0), "v", ["id"]).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(24,4)", "long", "string", "date"])
+def test_a_thousand_ranges_are_searched_in_small_steps(spark, kind):
+    """No row carries all cuts while its range is searched, and every range is found, falling and rising."""
+    v = F.when(F.col("id") % 17 != 0, (F.col("id") * 7919) % 1013 - 500)
+    v = F.date_add(F.lit("2020-01-01").cast("date"), v.cast("int")) if kind == "date" else v.cast(kind)
+    df = spark.range(3000).select("id", v.alias("v"), F.lit(1).alias("one"))
+    assert Rk.MOST_RANGES == 1024
+    for asc in (True, False):
+        one = Rk.with_order_stats(df, "v", ["id"], asc, amount="one")
+        many = Rk.with_order_stats(df, "v", ["id"], asc, amount="one", single_task_rows=2)
+        assert sorted(one.collect()) == sorted(many.collect())
+    placed = Rk._ranges(df, "v", ["id"], False, [], 2)
+    assert placed.select("_part").distinct().count() > 900
+    # each side that is sent to the rows holds a stride of cuts: the splitters appear in slices only
+    sent = [n for n in placed._jdf.queryExecution().optimizedPlan().toString().split("\n") if re.search(r"AS (_cuts|_coarse|_fine)#", n)]
+    assert sent and all(re.search(r"(filter|slice)\(", n) for n in sent)
+
+
+def test_sizes_of_thousands_of_digits_count_as_large(spark):
+    from scopeledger.session import settle
+
+    df = spark.createDataFrame([(1, 2.0)], "id INT, v DOUBLE")
+    for _ in range(12):  # each round squares the estimate that a checkpoint keeps
+        df = settle(df.join(df.select("id"), "id"))
+    got = Rk.with_order_stats(df, "v", ["id"]).first()
+    assert (got["row_no"], got["rank"], got["running"]) == (1, 1, 2.0)
