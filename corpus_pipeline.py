@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scopeledger.llm import exact, mixing, packing, quality, similar
+from scopeledger.llm import exact, mixing, packing, quality, simhash, similar
 from scopeledger.llm.common import stage
 from scopeledger.llm.queries import ALPHA, CAP_EPOCHS, DELTA, SEQUENCE_TOKENS, WEIGHTS, table, tokenizer_paths
 
@@ -25,8 +25,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are alike at 0.8 or more."""
-    return similar.drop_similar(docs)
+    """One document of each group of near copies.
+
+    SimHash links fingerprints within two bits, which pivot tables and equal
+    blocks find; most copies alike at 0.8 lie further apart, and five-word
+    shingles link those as well.
+    """
+    return similar.drop_similar(docs, known=simhash.near_rows(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -215,6 +215,14 @@ def _members(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, b
     return rows.join(of_fp, "fp")
 
 
+def near_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, bits: int = 2, **kw) -> DataFrame:
+    """``_row, keep_row``: the number of each row that leaves its component of :func:`near_groups`, and of the row that stays.
+
+    Row numbers are those of :func:`number_rows` on ``docs``.
+    """
+    return _members(docs, doc_id, text, shingle, seed, bits, **kw).where(F.col("_row") != F.col("keep_row")).select("_row", "keep_row")
+
+
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, bits: int = 2, **kw) -> DataFrame:
     """One row of each component of :func:`near_groups`, with the columns of ``docs``."""
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}

@@ -175,8 +175,8 @@ def _cells(nodes: DataFrame, bands: range, sweep: int) -> DataFrame:
         width *= 2
 
 
-def _links(nodes: DataFrame, texts: DataFrame, shingle: int, seed: int, at_least: float, sweep: int) -> DataFrame:
-    """Links between nodes: spanning forests of all cells."""
+def _links(nodes: DataFrame, texts: DataFrame, shingle: int, seed: int, at_least: float, sweep: int, known: DataFrame | None = None) -> DataFrame:
+    """Links between nodes: the known ones and spanning forests of all cells."""
     bands = nodes.select("node", F.explode("bands").alias("key"))
     # a node in no shared cell needs no set; bands of different place have different keys
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
@@ -189,14 +189,16 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle: int, seed: int, at_least
         rows = _cells(labelled, which, sweep).join(sets, "node").select("key", "node", "label", "items")
         return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_sweep(at_least), "a long, b long")
 
-    links = stage(swept(active, range(FIRST)), "links")
+    links = swept(active, range(FIRST))
+    links = stage(links if known is None else links.unionByName(known), "links")
     joined = components(links, "a", "b").select("node", "component")
     relabelled = active.drop("label").join(joined, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     return stage(links.unionByName(swept(relabelled, range(FIRST, BANDS))), "links")
 
 
 def drop_similar(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, at_least: float = 0.8, seed: int = 42, sweep: int = SWEEP
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, at_least: float = 0.8, seed: int = 42, sweep: int = SWEEP,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """One row of each component of near copies, with the columns of ``docs``.
 
@@ -205,6 +207,9 @@ def drop_similar(
     (null last), then the first. A text of fewer words is one shingle; null and
     blank texts are alike. ``docs`` must be a scan of files or staged, as its
     rows are numbered. ``at_least`` under 0.8 finds fewer of its pairs.
+
+    ``known`` gives rows that are linked already, ``_row`` and ``keep_row`` as
+    by :func:`simhash.near_rows` of the same ``docs``; shingles add to its links.
     """
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.select(*[F.col(c).alias(n) for c, n in at.items()])
@@ -214,8 +219,12 @@ def drop_similar(
         _signatures(shingle, seed), f"_row long, _id {id_type}, name binary, bands array<long>"), "signatures")
     order = F.struct(F.col("_id").isNull().alias("unknown"), F.col("_id").alias("id"), F.col("_row").alias("row"))
     nodes = stage(signed.groupBy("name").agg(F.min(order).alias("best"), F.first("bands").alias("bands")).select(
-        F.col("best.row").alias("node"), "best", "bands"), "nodes")
-    links = _links(nodes.drop("best"), numbered, shingle, seed, at_least, sweep)
+        F.col("best.row").alias("node"), "name", "best", "bands"), "nodes")
+    if known is not None:
+        of_row = signed.select("_row", "name").join(nodes.select(F.col("best.row").alias("node"), "name"), "name").select("_row", "node")
+        a, b = of_row.withColumnRenamed("node", "a"), of_row.select(F.col("_row").alias("keep_row"), F.col("node").alias("b"))
+        known = known.join(a, "_row").join(b, "keep_row").where("a <> b").select("a", "b").distinct()
+    links = _links(nodes.select("node", "bands"), numbered, shingle, seed, at_least, sweep, known)
     joined = components(links, "a", "b")
     best = nodes.select("node", "best").join(joined, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("best").alias("best"))
     goes = signed.select("_row").join(best.select(F.col("best.row").alias("_row")), "_row", "left_anti")

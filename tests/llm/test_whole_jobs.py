@@ -135,3 +135,28 @@ def test_a_document_without_id_is_not_held_out(spark, tmp_path):
     assert len(got) == len(rows) and [r.held_out for r in got if r.doc_id is None] == [False, False]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+
+
+def test_the_near_dedup_stage_links_by_simhash_and_by_shingles(spark, tmp_path):
+    """Fingerprints within two bits are linked where shingles are not alike, through copies of equal shingles and chains of both."""
+    from scopeledger.llm import simhash, similar
+
+    rng = random.Random(9)
+    base = prose(rng, 13).split()
+    # the repeated part decides the fingerprint; the ends differ, so the shingle sets are less than 0.8 alike
+    common = " ".join(base * 60)
+    texts = {1: common + " " + prose(rng, 4), 2: common + " " + prose(rng, 4), 3: prose(rng, 150)}
+    fps = {k: simhash.fingerprint(t.encode()) for k, t in texts.items()}
+    assert (fps[1] ^ fps[2]).bit_count() <= 2 < (fps[1] ^ fps[3]).bit_count()
+    x, y = shingled(texts[1]), shingled(texts[2])
+    assert len(x & y) < 0.8 * len(x | y)
+    texts[4] = texts[2].replace(" ", "  ")  # the shingles of 2
+    texts[5] = texts[3] + " one more end"
+    x, y = shingled(texts[3]), shingled(texts[5])
+    assert 0.8 * len(x | y) <= len(x & y)
+    frame = stage(spark.createDataFrame([(k, t) for k, t in sorted(texts.items())], "doc_id long, text string"), "both")
+    assert {r.doc_id for r in similar.drop_similar(frame).collect()} == {1, 2, 3}
+    step = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    left = step(spark, frame, str(tmp_path))
+    assert left.columns == frame.columns and {r.doc_id for r in left.collect()} == {1, 3}
+    assert step(spark, stage(frame.limit(0), "none"), str(tmp_path)).count() == 0
