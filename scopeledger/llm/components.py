@@ -2,7 +2,9 @@
 
 Every step is a grouped minimum, combined on the map side, and a join on the
 node, which adaptive execution splits where a node has very many neighbours.
-The edges of each round are checkpointed; only two numbers reach the driver.
+The edges of each round are staged, so that a round has as many tasks as they
+have bytes for; the rounds end when they are stars. Only that answer reaches
+the driver.
 """
 
 from __future__ import annotations
@@ -10,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scopeledger.session import settle
+from scopeledger.llm.common import stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("way")
+    both = edges.select(ways).select("way.u", "way.v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
@@ -31,23 +34,20 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Loops, repeated edges and null ends are ignored; no edge gives no row.
     """
-    now = settle(
+    now = stage(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    mark = _mark(now)
-    while mark[0]:
-        now = settle(_small_star(_large_star(now)))
-        if (after := _mark(now)) == mark:
-            break
-        mark = after
+    while not _stars(now):
+        now = stage(_small_star(_large_star(now)), "edges")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))
     )
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Row count and an order-free sum of hashes; equal marks mean that a round changed nothing."""
-    found = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return found[0], found[1]
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour or only larger ones: a round would change nothing then."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("end")
+    nodes = edges.select(ends).groupBy("end.node").agg(F.sum("end.up").alias("up"), F.min("end.up").alias("least"))
+    return nodes.where("up > 1 or (up = 1 and least = 0)").isEmpty()

@@ -199,9 +199,14 @@ def near_groups(
     )
 
 
-def _members(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, bits: int, **kw) -> DataFrame:
+def _prints(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int) -> DataFrame:
+    """``_row, _id, fp`` of all rows, staged."""
     numbered = number_rows(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_source")), "_row")
-    rows = stage(fingerprints(numbered, ["_row", "_id"], "_source", shingle, seed), "simhash")
+    return stage(fingerprints(numbered, ["_row", "_id"], "_source", shingle, seed), "simhash")
+
+
+def _members(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, bits: int, **kw) -> DataFrame:
+    rows = _prints(docs, doc_id, text, shingle, seed)
     first = F.min(F.struct(F.col("_id").isNull().alias("unknown"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     distinct = rows.groupBy("fp").agg(first.alias("first"))
     found = components(links(distinct.select("fp"), bits, **kw), "a", "b")
@@ -216,11 +221,15 @@ def _members(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, b
 
 
 def near_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, bits: int = 2, **kw) -> DataFrame:
-    """``_row, keep_row``: the number of each row that leaves its component of :func:`near_groups`, and of the row that stays.
+    """``_row, other``: links between rows that join exactly the components of :func:`near_groups`, which are not built here.
 
     Row numbers are those of :func:`number_rows` on ``docs``.
     """
-    return _members(docs, doc_id, text, shingle, seed, bits, **kw).where(F.col("_row") != F.col("keep_row")).select("_row", "keep_row")
+    rows = _prints(docs, doc_id, text, shingle, seed)
+    distinct = stage(rows.groupBy("fp").agg(F.min("_row").alias("first")), "fingerprints")
+    copies = rows.join(distinct, "fp").where("_row <> first").select("_row", F.col("first").alias("other"))
+    a, b = distinct.select(F.col("fp").alias("a"), F.col("first").alias("_row")), distinct.select(F.col("fp").alias("b"), F.col("first").alias("other"))
+    return copies.unionByName(links(distinct.select("fp"), bits, **kw).join(a, "a").join(b, "b").select("_row", "other"))
 
 
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, bits: int = 2, **kw) -> DataFrame:

@@ -97,7 +97,7 @@ def _sets(bits: bytes, shingle: int, seed: int):
 
 
 def forest(nodes: list[int], labels: list[int], sets: list[np.ndarray], at_least: float) -> list[tuple[int, int]]:
-    """Verified links that join the nodes of a cell which are alike, directly or through others; equal labels are joined already."""
+    """Verified links between the labels of nodes of a cell that are alike, directly or through others; equal labels are joined already."""
     root = {label: label for label in labels}
 
     def top(x):
@@ -119,7 +119,7 @@ def forest(nodes: list[int], labels: list[int], sets: list[np.ndarray], at_least
         for j, both in zip(rest, shared.tolist()):
             if both >= (sizes[i] + sizes[j] - both) * at_least - 1e-9 and top(labels[j]) != top(labels[i]):
                 root[top(labels[j])] = top(labels[i])
-                found.append((nodes[i], nodes[j]))
+                found.append((labels[i], labels[j]))
     return found
 
 
@@ -175,25 +175,28 @@ def _cells(nodes: DataFrame, bands: range, sweep: int) -> DataFrame:
         width *= 2
 
 
-def _links(nodes: DataFrame, texts: DataFrame, shingle: int, seed: int, at_least: float, sweep: int, known: DataFrame | None = None) -> DataFrame:
-    """Links between nodes: the known ones and spanning forests of all cells."""
+def _components(nodes: DataFrame, texts: DataFrame, shingle: int, seed: int, at_least: float, sweep: int, known: DataFrame | None = None) -> DataFrame:
+    """``node, component`` of all nodes, over the known links and spanning forests of all cells."""
     bands = nodes.select("node", F.explode("bands").alias("key"))
     # a node in no shared cell needs no set; bands of different place have different keys
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     busy = stage(bands.join(shared, "key").select("node").distinct(), "busy")
     bits = filters.bitmap_of(busy, F.col("node").cast("string"))
     sets = stage(texts.select("_row", "_text").mapInArrow(_sets(bits, shingle, seed), "node long, items array<long>"), "shingles")
-    active = nodes.join(busy, "node", "left_semi").withColumn("label", F.col("node"))
 
     def swept(labelled, which):
         rows = _cells(labelled, which, sweep).join(sets, "node").select("key", "node", "label", "items")
         return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_sweep(at_least), "a long, b long")
 
-    links = swept(active, range(FIRST))
-    links = stage(links if known is None else links.unionByName(known), "links")
-    joined = components(links, "a", "b").select("node", "component")
-    relabelled = active.drop("label").join(joined, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    return stage(links.unionByName(swept(relabelled, range(FIRST, BANDS))), "links")
+    def labelled(rows):
+        return rows.join(joined, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+    active = nodes.join(busy, "node", "left_semi")
+    links = swept(active.withColumn("label", F.col("node")), range(FIRST))
+    joined = components(links if known is None else links.unionByName(known), "a", "b")
+    # further links join labels, so only those are left to be joined
+    more = components(swept(labelled(active), range(FIRST, BANDS)), "a", "b").withColumnRenamed("node", "label")
+    return labelled(nodes.select("node")).join(more, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
 
 
 def drop_similar(
@@ -208,8 +211,8 @@ def drop_similar(
     blank texts are alike. ``docs`` must be a scan of files or staged, as its
     rows are numbered. ``at_least`` under 0.8 finds fewer of its pairs.
 
-    ``known`` gives rows that are linked already, ``_row`` and ``keep_row`` as
-    by :func:`simhash.near_rows` of the same ``docs``; shingles add to its links.
+    ``known`` gives links between rows, ``_row`` and ``other`` as by
+    :func:`simhash.near_rows` of the same ``docs``; shingles add to them.
     """
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.select(*[F.col(c).alias(n) for c, n in at.items()])
@@ -222,11 +225,10 @@ def drop_similar(
         F.col("best.row").alias("node"), "name", "best", "bands"), "nodes")
     if known is not None:
         of_row = signed.select("_row", "name").join(nodes.select(F.col("best.row").alias("node"), "name"), "name").select("_row", "node")
-        a, b = of_row.withColumnRenamed("node", "a"), of_row.select(F.col("_row").alias("keep_row"), F.col("node").alias("b"))
-        known = known.join(a, "_row").join(b, "keep_row").where("a <> b").select("a", "b").distinct()
-    links = _links(nodes.select("node", "bands"), numbered, shingle, seed, at_least, sweep, known)
-    joined = components(links, "a", "b")
-    best = nodes.select("node", "best").join(joined, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("best").alias("best"))
+        a, b = of_row.withColumnRenamed("node", "a"), of_row.select(F.col("_row").alias("other"), F.col("node").alias("b"))
+        known = known.join(a, "_row").join(b, "other").select("a", "b")
+    joined = _components(nodes.select("node", "bands"), numbered, shingle, seed, at_least, sweep, known)
+    best = nodes.select("node", "best").join(joined, "node").groupBy("component").agg(F.min("best").alias("best"))
     goes = signed.select("_row").join(best.select(F.col("best.row").alias("_row")), "_row", "left_anti")
     kept = join_rows(number_rows(plain, "_row"), goes, "_row", "left_anti")
     return kept.select(*[F.col(n).alias(c) for c, n in at.items()])

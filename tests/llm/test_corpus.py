@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from scopeledger.llm import credentials, exact, mixing, packing, quality, simhash, similar, suffixes, toxicity, urls, warc
 from scopeledger.llm.common import MIN_SPLITS, number_rows, stage
+from scopeledger.llm import components as components_of  # the module
 from scopeledger.llm.components import components
 from scopeledger.llm.queries import tokenizer_paths
 
@@ -440,3 +441,22 @@ def test_revisits(spark, period_rows):
     merged = next(r for r in got if r.record_id == 2)
     assert merged.headers == {"etag": 'W/"1"', "content-length": "9", "date": "d2"} and merged.payload_digest == "p1"
     assert warc.resolve_revisits(frame.limit(0)).count() == 0
+
+
+def test_components_stop_at_stars_and_take_few_tasks(spark, monkeypatch):
+    """Edges that are stars already take no round; a round over few edges reads them in few tasks."""
+    rounds = []
+    monkeypatch.setattr(components_of, "_large_star", lambda edges, f=components_of._large_star: rounds.append(edges.rdd.getNumPartitions()) or f(edges))
+    stars = spark.createDataFrame([(9, k) for k in range(10, 40)] + [(2, 1), (None, 4), (3, 3)], "a long, b long").repartition(64)
+    got = {r.node: r.component for r in components(stars, "a", "b").collect()}
+    assert not rounds and got == {k: 9 for k in range(9, 40)} | {1: 1, 2: 1}
+    path = spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long").repartition(64)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = {r.node: r.component for r in components(path, "a", "b").collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(7)} and rounds and max(rounds) <= 16
