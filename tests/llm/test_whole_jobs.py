@@ -8,8 +8,10 @@ import re
 import zlib
 
 import corpus_pipeline
+from conftest import SF_DIR
 from scopeledger.llm import suffixes, urls
 from scopeledger.llm.common import stage
+from scopeledger.llm.queries import op3_repeated_strings
 
 BLANK = re.compile(r"[\x20\x09-\x0D]")
 
@@ -160,3 +162,22 @@ def test_the_near_dedup_stage_links_by_simhash_and_by_shingles(spark, tmp_path):
     left = step(spark, frame, str(tmp_path))
     assert left.columns == frame.columns and {r.doc_id for r in left.collect()} == {1, 3}
     assert step(spark, stage(frame.limit(0), "none"), str(tmp_path)).count() == 0
+
+
+def test_benchmark_passages_over_50_words_have_fewer_than_400_bytes(spark, tmp_path):
+    """Such a passage alone stays, however many documents hold it; two of them in a row reach 400 bytes and go."""
+    items = [r.text for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").orderBy("item_id").collect()]
+    items = [t for t in items if len(t.split()) > 50]
+    assert len(items) >= 10 and max(len(t.encode()) for t in items) < 400
+    rng = random.Random(10)
+    pairs = [" ".join(items[i:i + 2]) for i in range(0, 10, 2)]
+    held = [(0, t) for t in items for _ in range(3)] + [(len(t.encode()), t) for t in pairs for _ in range(3)]
+    texts = [f"{prose(rng, 30)}\n{t}\n{prose(rng, 30)}" for _, t in held]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op3_repeated_strings(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, (least, _) in enumerate(held):
+        # the texts around may share a few bytes with the passage's ends
+        assert got[i].n_spans == (least > 0) and least <= got[i].n_removed <= least + 10 * (least > 0), i
+        assert got[i].n_bytes == len(texts[i].encode())
