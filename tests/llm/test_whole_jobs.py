@@ -181,3 +181,20 @@ def test_benchmark_passages_over_50_words_have_fewer_than_400_bytes(spark, tmp_p
         # the texts around may share a few bytes with the passage's ends
         assert got[i].n_spans == (least > 0) and least <= got[i].n_removed <= least + 10 * (least > 0), i
         assert got[i].n_bytes == len(texts[i].encode())
+
+
+def test_shorter_passages_stay_for_their_size_alone(spark, tmp_path):
+    """Passages of 51 words or more and 395 to 404 bytes, between different bytes: at 400 those below stay, at 250 all go."""
+    rng = random.Random(11)
+    passages = []
+    for n in range(395, 405):
+        passage = prose(rng, 51)
+        while len(passage) < n:
+            passage += " " + prose(rng, 1)
+        passages += [passage[:n - 1] + "z"] * 3
+    texts = [f"{prose(rng, 40)}{'XYZ'[i % 3]}{t}{'PQR'[i % 3]}{prose(rng, 40)}" for i, t in enumerate(passages)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for size in (400, 250):
+        got = {r.doc_id: [texts[r.doc_id][s.a:s.b] for s in r.spans] for r in suffixes.repeated_spans(docs, size=size).collect()}
+        assert got == {i: [t] if len(t) >= size else [] for i, t in enumerate(passages)}
