@@ -6,6 +6,7 @@ pass, so whoever uses one must settle the rest exactly afterwards.
 
 from __future__ import annotations
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,3 +43,14 @@ def seed_of(first: str) -> int:
 def has(bits: bytes, value: bytes, seed: int = SEED) -> bool:
     slot = xxhash.xxh64_intdigest(value, seed) % BITS
     return bool(bits[slot >> 3] >> (slot & 7) & 1)
+
+
+def digests(values: list[bytes], seed: int = SEED) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(v, seed) for v in values), np.uint64, len(values))
+
+
+def held(bits: bytes, found: np.ndarray) -> np.ndarray:
+    """Which of many digests have their bit, as :func:`has` tells of one value."""
+    slots = found % np.uint64(BITS)
+    return (np.frombuffer(bits, np.uint8)[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
