@@ -3,8 +3,8 @@
 Every step is a grouped minimum, combined on the map side, and a join on the
 node, which adaptive execution splits where a node has very many neighbours.
 The edges of each round are staged, so that a round has as many tasks as they
-have bytes for; the rounds end when they are stars. Only that answer reaches
-the driver.
+have bytes for; the rounds end when they are stars. Only that answer and the
+number of edges reach the driver.
 """
 
 from __future__ import annotations
@@ -12,7 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scopeledger.llm.common import stage
+from scopeledger.llm.common import BROADCAST_ROWS, stage
+
+
+def _merged(edges: DataFrame, counted: int) -> DataFrame:
+    """Edges whose next join is shuffled and merged unless they are few: both its sides are made of them, and Spark may size them too low."""
+    return edges if counted <= BROADCAST_ROWS else edges.hint("merge")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,16 +43,17 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    while not _stars(now):
-        now = stage(_small_star(_large_star(now)), "edges")
+    while counted := _unfinished(now):
+        now = stage(_small_star(_merged(_large_star(_merged(now, counted)), counted)), "edges")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))
     )
 
 
-def _stars(edges: DataFrame) -> bool:
-    """Whether every node has one smaller neighbour or only larger ones: a round would change nothing then."""
+def _unfinished(edges: DataFrame) -> int:
+    """How many edges there are, or 0 if every node has one smaller neighbour or only larger ones: a round would change nothing then."""
     ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("end")
     nodes = edges.select(ends).groupBy("end.node").agg(F.sum("end.up").alias("up"), F.min("end.up").alias("least"))
-    return nodes.where("up > 1 or (up = 1 and least = 0)").isEmpty()
+    open_, n = nodes.agg(F.count_if(F.expr("up > 1 or (up = 1 and least = 0)")), F.sum("up")).first()
+    return n if open_ else 0

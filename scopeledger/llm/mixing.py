@@ -132,7 +132,8 @@ def _fill(items: DataFrame, goals: DataFrame, row: str, source: str, size: str)
     goals = goals.select("_gs", F.col("_goal").cast("double").alias("_goal"), F.col("_goal").cast("double").alias("_cap"))
     open_ = join_small(items.select(row, source, size, "_h"), goals.select("_gs", "_goal"), [(source, "_gs")], "inner")
     open_ = stage(open_.where(F.col(size) <= F.col("_goal")).drop("_goal"), "open")
-    while most := open_.groupBy(source).count().agg(F.max("count")).first()[0]:
+    while (found := open_.groupBy(source).count().agg(F.max("count"), F.sum("count")).first())[0]:
+        most, counted = found
         ready = join_small(open_, goals, [(source, "_gs")], "inner").select(row, source, size, "_h", "_goal", "_cap")
         if most <= SMALL:
             now = ready.groupBy(source).applyInArrow(_remaining_rounds, open_.select(row, source, size, "_h").schema)
@@ -143,7 +144,7 @@ def _fill(items: DataFrame, goals: DataFrame, row: str, source: str, size: str)
         goals = stage(join_small(goals.select("_gs", "_goal"), added, [("_gs", "_as")]).select(
             "_gs", (F.col("_goal") - F.coalesce("_add", F.lit(0))).alias("_goal")), "left")
         rest = join_small(open_, goals, [(source, "_gs")], "inner").where((F.col(size) > 0) & (F.col(size) <= F.col("_goal")))
-        open_ = stage(rest.drop("_goal").join(now.select(row), row, "left_anti"), "open")
+        open_ = stage(join_rows(rest.drop("_goal"), now.select(row), row, "left_anti", counted), "open")
         least = open_.groupBy(source).agg(F.min(size).alias("_least")).withColumnRenamed(source, "_ls")
         half = F.col("_goal") / 2
         goals = stage(join_small(goals, least, [("_gs", "_ls")], "inner").withColumn(
@@ -177,7 +178,7 @@ def sample_epochs(docs: DataFrame, row: str, source: str, size: str, order: str)
     state = join_small(goals, filled, [("_gs", "_fs")]).select(
         "_gs", F.col("_goal").alias("_rest"), (F.col("_goal") - F.coalesce("_sum", F.lit(0))).alias("_left")
     )
-    others = items.where(F.col(size) > 0).join(drawn.select(row), row, "left_anti")
+    others = join_rows(items.where(F.col(size) > 0), drawn.select(row), row, "left_anti")
     nearest = others.groupBy(source).agg(F.min_by(F.struct(row, size), F.struct(size, "_h", row)).alias("_pick"))
     state = stage(join_small(state, nearest.withColumnRenamed(source, "_ns"), [("_gs", "_ns")], "inner").select(
         "_gs", "_rest", "_left", F.col(f"_pick.{row}").alias("_add"), (F.col(f"_pick.{size}") - F.col("_left")).alias("_over")
@@ -190,9 +191,9 @@ def sample_epochs(docs: DataFrame, row: str, source: str, size: str, order: str)
     state = join_small(state, less, [("_gs", "_os")]).where(F.col("_over") - F.coalesce("_less", F.lit(0)) < F.col("_left"))
     state = stage(state.select("_gs", "_add"), "added")
     gone = join_small(gone, state.select("_gs"), [(source, "_gs")], "inner").select(row)
-    extra = drawn.select(row).join(gone, row, "left_anti").unionByName(state.select(F.col("_add").alias(row)))
+    extra = join_rows(drawn.select(row), gone, row, "left_anti").unionByName(state.select(F.col("_add").alias(row)))
     extra = extra.withColumnRenamed(row, "_extra")
-    return docs.join(extra, docs[row] == extra["_extra"], "left").withColumn(
+    return join_rows(docs, extra, docs[row] == extra["_extra"], "left").withColumn(
         "copies", F.col("whole") + F.when(F.col("_extra").isNotNull(), 1).otherwise(0)
     ).drop("_extra", "_h", order, "whole", "rest")
 

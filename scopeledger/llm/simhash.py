@@ -150,7 +150,7 @@ def links(distinct: DataFrame, bits: int = 2, blocks: int = BLOCKS, n_pivots: in
     )
     # groups of one are dropped; sizes decide the way of the others
     sizes = dealt.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    grouped = dealt.join(sizes, ["band", "key"])
+    grouped = join_rows(dealt, sizes, ["band", "key"])
     usual = grouped.where(F.col("size") <= sweep).select("band", "key", "fp")
     swept = usual.repartition("band", "key").sortWithinPartitions("band", "key", "fp").mapInArrow(_swept(bits, n_pivots), "a long, b long")
     hot = grouped.where(F.col("size") > sweep).select("band", "fp")
@@ -173,7 +173,7 @@ def _by_variants(hot: DataFrame, keys: list[int], bits: int) -> DataFrame:
         "band", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant")
     )
     least = made.groupBy("variant").agg(F.min("fp").alias("a"))
-    pairs = made.select("variant", "fp").distinct().join(least, "variant").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    pairs = join_rows(made.select("variant", "fp").distinct(), least, "variant").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
     if bits == 2:
         return pairs
     exact = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
@@ -210,14 +210,14 @@ def _members(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, b
     first = F.min(F.struct(F.col("_id").isNull().alias("unknown"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     distinct = rows.groupBy("fp").agg(first.alias("first"))
     found = components(links(distinct.select("fp"), bits, **kw), "a", "b")
-    linked = distinct.join(found, distinct["fp"] == found["node"], "left").select(
+    linked = join_rows(distinct, found, distinct["fp"] == found["node"], "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
     )
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    of_fp = linked.join(least, "component").select(
+    of_fp = join_rows(linked, least, "component").select(
         "fp", F.col("least.id").alias("component_id"), F.col("least.row").alias("keep_row")
     )
-    return rows.join(of_fp, "fp")
+    return join_rows(rows, of_fp, "fp")
 
 
 def near_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, bits: int = 2, **kw) -> DataFrame:
@@ -227,9 +227,9 @@ def near_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     """
     rows = _prints(docs, doc_id, text, shingle, seed)
     distinct = stage(rows.groupBy("fp").agg(F.min("_row").alias("first")), "fingerprints")
-    copies = rows.join(distinct, "fp").where("_row <> first").select("_row", F.col("first").alias("other"))
+    copies = join_rows(rows, distinct, "fp").where("_row <> first").select("_row", F.col("first").alias("other"))
     a, b = distinct.select(F.col("fp").alias("a"), F.col("first").alias("_row")), distinct.select(F.col("fp").alias("b"), F.col("first").alias("other"))
-    return copies.unionByName(links(distinct.select("fp"), bits, **kw).join(a, "a").join(b, "b").select("_row", "other"))
+    return copies.unionByName(join_rows(join_rows(links(distinct.select("fp"), bits, **kw), a, "a"), b, "b").select("_row", "other"))
 
 
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, bits: int = 2, **kw) -> DataFrame:

@@ -156,7 +156,7 @@ def _cells(nodes: DataFrame, bands: range, sweep: int) -> DataFrame:
     while True:
         sizes = dealt.groupBy("key").agg(
             F.count(F.lit(1)).alias("n"), F.min_by(F.struct("node", "label"), "node").alias("leader"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        open_ = stage(dealt.join(sizes.where("lo <> hi").select("key", "n", "leader"), "key"), "cells")
+        open_ = stage(join_rows(dealt, sizes.where("lo <> hi").select("key", "n", "leader"), "key"), "cells")
         small = open_.where(F.col("n") <= sweep).select("key", "node", "label")
         done = small if done is None else done.unionByName(small)
         large = open_.where(F.col("n") > sweep)
@@ -180,23 +180,23 @@ def _components(nodes: DataFrame, texts: DataFrame, shingle: int, seed: int, at_
     bands = nodes.select("node", F.explode("bands").alias("key"))
     # a node in no shared cell needs no set; bands of different place have different keys
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    busy = stage(bands.join(shared, "key").select("node").distinct(), "busy")
+    busy = stage(join_rows(bands, shared, "key").select("node").distinct(), "busy")
     bits = filters.bitmap_of(busy, F.col("node").cast("string"))
     sets = stage(texts.select("_row", "_text").mapInArrow(_sets(bits, shingle, seed), "node long, items array<long>"), "shingles")
 
     def swept(labelled, which):
-        rows = _cells(labelled, which, sweep).join(sets, "node").select("key", "node", "label", "items")
+        rows = join_rows(_cells(labelled, which, sweep), sets, "node").select("key", "node", "label", "items")
         return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_sweep(at_least), "a long, b long")
 
     def labelled(rows):
-        return rows.join(joined, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        return join_rows(rows, joined, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
 
-    active = nodes.join(busy, "node", "left_semi")
+    active = join_rows(nodes, busy, "node", "left_semi")
     links = swept(active.withColumn("label", F.col("node")), range(FIRST))
     joined = components(links if known is None else links.unionByName(known), "a", "b")
     # further links join labels, so only those are left to be joined
     more = components(swept(labelled(active), range(FIRST, BANDS)), "a", "b").withColumnRenamed("node", "label")
-    return labelled(nodes.select("node")).join(more, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
+    return join_rows(labelled(nodes.select("node")), more, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
 
 
 def drop_similar(
@@ -224,11 +224,11 @@ def drop_similar(
     nodes = stage(signed.groupBy("name").agg(F.min(order).alias("best"), F.first("bands").alias("bands")).select(
         F.col("best.row").alias("node"), "name", "best", "bands"), "nodes")
     if known is not None:
-        of_row = signed.select("_row", "name").join(nodes.select(F.col("best.row").alias("node"), "name"), "name").select("_row", "node")
+        of_row = join_rows(signed.select("_row", "name"), nodes.select(F.col("best.row").alias("node"), "name"), "name").select("_row", "node")
         a, b = of_row.withColumnRenamed("node", "a"), of_row.select(F.col("_row").alias("other"), F.col("node").alias("b"))
-        known = known.join(a, "_row").join(b, "other").select("a", "b")
+        known = join_rows(join_rows(known, a, "_row"), b, "other").select("a", "b")
     joined = _components(nodes.select("node", "bands"), numbered, shingle, seed, at_least, sweep, known)
-    best = nodes.select("node", "best").join(joined, "node").groupBy("component").agg(F.min("best").alias("best"))
-    goes = signed.select("_row").join(best.select(F.col("best.row").alias("_row")), "_row", "left_anti")
+    best = join_rows(nodes.select("node", "best"), joined, "node").groupBy("component").agg(F.min("best").alias("best"))
+    goes = join_rows(signed.select("_row"), best.select(F.col("best.row").alias("_row")), "_row", "left_anti")
     kept = join_rows(number_rows(plain, "_row"), goes, "_row", "left_anti")
     return kept.select(*[F.col(n).alias(c) for c, n in at.items()])

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from scopeledger.llm import filters, phrases
+from scopeledger.llm import common, components, filters, mixing, phrases, quality, simhash, similar
 from scopeledger.llm.common import stage
 
 
@@ -75,3 +75,58 @@ def test_wide_and_narrow_messages_meet_in_a_group():
     parts = [phrases.messages(lang, found, digests, 1, t, 5 * ones(t), ones(t)) for lang, t in (("a", wide), ("a", narrow), ("b", narrow))]
     out = phrases._subtree(6, 2, 2)(pa.Table.from_batches(parts))
     assert out.to_pylist() == [{"lang": "a", "phrase": b"w0 w1", "f": 10}]
+
+
+def _texts(n: int) -> list[str]:
+    rng = random.Random(8)
+    words = [f"x{i}" for i in range(400)]
+    made = [" ".join(rng.choices(words, k=60)) for _ in range(n)]
+    near = [t + " end" for t in made[::3]] + [t.replace("x1 ", "y ") for t in made[1::3]] + made[::5]
+    return made + near
+
+
+def _plans_of(monkeypatch, *modules) -> list[str]:
+    """Plans of all tables that the modules stage from here on, as they are first made."""
+    plans = []
+
+    def staged(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, name)
+
+    for module in modules:
+        monkeypatch.setattr(module, "stage", staged)
+    return plans
+
+
+def test_near_dedup_broadcasts_no_side_that_grows(spark, monkeypatch):
+    """However small Spark takes a side to be, as after an explode: blocks of fingerprints, bands, cells and nodes are merged."""
+    texts = _texts(60)
+    docs = stage(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(3), "growth-docs")
+    for module in (components, simhash, similar):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0, raising=False)
+    plans = _plans_of(monkeypatch, components, simhash, similar)
+    kept = similar.drop_similar(docs, known=simhash.near_rows(docs))
+    groups = simhash.near_groups(docs)
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (kept, groups)]
+    assert sum("SortMergeJoin" in p for p in plans) >= 8
+    assert not any("BroadcastHashJoin" in p or "ShuffledHashJoin" in p for p in plans)
+    assert kept.count() == 60 and groups.where("kept").count() <= len(texts) - 12
+
+
+def test_mixing_and_labels_broadcast_no_side_that_grows(spark, monkeypatch):
+    """Rows drawn, added and taken back, and the labels, are merged; only counted tables, by source or language, are broadcast."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randint(20, 60)) + f" {i}", "abc"[i % 7 % 3], "en") for i in range(400)]
+    docs = stage(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").coalesce(3), "growth-docs")
+    labels = stage(spark.createDataFrame([(i, i % 2) for i in range(0, 400, 2)], "doc_id long, quality int"), "growth-labels")
+    plans = _plans_of(monkeypatch, mixing, quality)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(mixing, "SMALL", 20)
+    plan = mixing.mix_plan(docs, (5, 2, 1), 3.0)
+    plans.append(plan._jdf.queryExecution().executedPlan().toString())
+    quality.keep_good(docs, labels).count()
+    joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
+    assert joins and not [line for line in joins if "_row" in line or "_label_id" in line]
+    taken = {r.source_size: r.taken for r in plan.groupBy("source_size").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "taken").collect()}
+    target = {r.source_size: r.target for r in plan.select("source_size", "target").distinct().collect()}
+    assert all(abs(taken[s] - t) < 0.01 * t for s, t in target.items())
